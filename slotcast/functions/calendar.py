@@ -9,7 +9,7 @@ from slotcast import fixed
 
 
 def _pick(names: list[str], position: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(n) for n in names]), position)
+    return F.element_at(F.split(F.lit(",".join(names)), ","), position)
 
 
 def weekday_name(stamp: Column, abbreviated: bool = False) -> Column:
@@ -24,7 +24,7 @@ def month_name(stamp: Column, abbreviated: bool = False) -> Column:
 
 def level_rank(value: Column, levels: list[str]) -> Column:
     """One-based place of a factor level; NULL for text outside the levels."""
-    place = F.array_position(F.array(*[F.lit(v) for v in levels]), value)
+    place = F.array_position(F.split(F.lit(",".join(levels)), ","), value)
     return F.when(place > 0, place.cast("int"))
 
 

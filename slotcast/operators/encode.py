@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotcast.fixed import LEVELS
+from slotcast.functions.quoting import name, text
 
 MAX_LEVELS = 1000
 _SHORT = {"y", "n", "Y", "N"}
@@ -75,9 +76,9 @@ class OneHotModel:
 
     def transform(self, df: DataFrame) -> DataFrame:
         """0/1 columns; a NULL or an unknown level has 0 in all columns of its variable."""
-        flags: list[Column] = [
-            F.coalesce((F.col(v).cast("string") == F.lit(str(level))).cast("int"), F.lit(0)).alias(name)
-            for (v, level), name in self.names.items()
+        flags = [
+            f"int(coalesce(string({name(v)}) = {text(str(level))}, false)) AS {name(column)}"
+            for (v, level), column in self.names.items()
         ]
         kept = [c for c in df.columns if not (self.remove and c in self.levels)]
-        return df.select(*kept, *flags)
+        return df.selectExpr(*[name(c) for c in kept], *flags)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotcast.fixed import SLOT_HOURS
+from slotcast.functions.quoting import name
 from slotcast.functions.stamps import shift_hours, slot_offset, slot_start
 
 
@@ -78,5 +79,5 @@ def unfold(
 def unpivot_measures(
     df: DataFrame, ids: list[str], measures: list[str], variable: str = "variable", value: str = "value"
 ) -> DataFrame:
-    wide = df.select(*ids, *[F.col(c).cast("double").alias(c) for c in measures])
+    wide = df.selectExpr(*[name(c) for c in ids], *[f"double({name(c)}) AS {name(c)}" for c in measures])
     return wide.unpivot(ids, measures, variable, value)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from slotcast.functions.quoting import name, text
 from slotcast.operators.fold import unpivot_measures
 from slotcast.operators.quantiles import exact_quantiles
 
@@ -37,10 +38,9 @@ def crosstab(df: DataFrame, row: str, column: str, levels: list[str], value: str
 def _rows_per_column(one_row: DataFrame, columns: list[str], fields: list[str]) -> DataFrame:
     """Turn one wide row with columns ``<field>_<i>`` into one row per profiled column."""
     entries = [
-        F.struct(F.lit(c).alias("variable"), *[F.col(f"{f}_{i}").alias(f) for f in fields])
-        for i, c in enumerate(columns)
+        f"struct({text(c)} AS variable, {', '.join(f'{f}_{i} AS {f}' for f in fields)})" for i, c in enumerate(columns)
     ]
-    return one_row.select(F.inline(F.array(*entries)))
+    return one_row.selectExpr(f"inline(array({', '.join(entries)}))")
 
 
 def null_profile(df: DataFrame, simplify: bool = True, pareto: bool = True) -> DataFrame:
@@ -50,11 +50,10 @@ def null_profile(df: DataFrame, simplify: bool = True, pareto: bool = True) -> D
     falling share and then name (else by name).
     """
     columns = df.columns
-    counts: list[Column] = []
+    counts = []
     for i, c in enumerate(columns):
-        missing = F.col(c).isNull()
-        counts.append(F.count_if(missing).alias(f"nb_na_{i}"))
-        counts.append(F.avg(missing.cast("double")).alias(f"p_na_{i}"))
+        counts.append(F.expr(f"count_if({name(c)} IS NULL) AS nb_na_{i}"))
+        counts.append(F.expr(f"avg(double({name(c)} IS NULL)) AS p_na_{i}"))
     out = _rows_per_column(df.agg(*counts), columns, ["nb_na", "p_na"])
     if simplify:
         out = out.filter(F.col("nb_na") >= 1)
@@ -65,20 +64,19 @@ def null_profile(df: DataFrame, simplify: bool = True, pareto: bool = True) -> D
 
 def moments(df: DataFrame, columns: list[str]) -> DataFrame:
     """Mean and sample standard deviation per column."""
-    parts = [e for i, c in enumerate(columns)
-             for e in (F.avg(c).alias(f"mean_{i}"), F.stddev_samp(c).alias(f"sd_{i}"))]
+    parts = [F.expr(f"{f}({name(c)}) AS {field}_{i}") for i, c in enumerate(columns)
+             for f, field in (("avg", "mean"), ("stddev_samp", "sd"))]
     return _rows_per_column(df.agg(*parts), columns, ["mean", "sd"])
 
 
 def table_summary(df: DataFrame, columns: list[str]) -> DataFrame:
     """Minimum, quartiles, mean, maximum, standard deviation and NULL count per column."""
-    parts: list[Column] = []
+    parts = []
     for i, c in enumerate(columns):
-        x = F.col(c).cast("double")
-        parts += [
-            F.min(x).alias(f"min_{i}"), F.avg(x).alias(f"mean_{i}"), F.max(x).alias(f"max_{i}"),
-            F.stddev_samp(x).alias(f"sd_{i}"), F.count_if(x.isNull()).alias(f"nulls_{i}"),
-        ]
+        x = f"double({name(c)})"
+        parts += [F.expr(f"{f}({x}) AS {field}_{i}") for f, field in (
+            ("min", "min"), ("avg", "mean"), ("max", "max"), ("stddev_samp", "sd"))]
+        parts.append(F.expr(f"count_if({x} IS NULL) AS nulls_{i}"))
     plain = _rows_per_column(df.agg(*parts), columns, ["min", "mean", "max", "sd", "nulls"])
     quartiles = exact_quantiles(df, columns, QUARTILES)
     return plain.join(quartiles, "variable", "left").select(

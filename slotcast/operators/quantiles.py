@@ -1,94 +1,93 @@
-"""Exact quantiles in bounded memory.
+"""Exact quantiles in bounded memory, from two passes over the data.
 
-A sketch brackets every wanted rank, exact counts of bins inside the brackets say which bins
-hold the ranks, and only the values of those bins are counted one by one. No task sees more
-than the distinct values of one narrow bin; whatever the sketch returns, the result is exact.
+The first pass brackets every wanted rank with a sketch. The second counts: values inside a
+bracket one by one, all others only per region between brackets. Running counts then give the
+value at each rank. The counted table holds a small share of the rows, and windows over it are
+cut into bins, so no task holds more than the distinct values of one bin. The sketch only
+saves work: should a rank fall outside its bracket, that region is counted in full.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slotcast.functions.quoting import name
 from slotcast.operators.fold import unpivot_measures
 from slotcast.operators.sizing import lookup_side, settle
+from slotcast.session import materialise
 
 ACCURACY = 10_000
 MARGIN = 2.0 / ACCURACY
 BINS = 256
+SMALL_GROUP = 100_000  # rows up to which every value is counted
 
 
-def _same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
-    condition = F.lit(True)
-    for name in names:
-        condition = condition & left[name].eqNullSafe(right["k_" + name])
-    return condition
+def _same(names: list[str]) -> str:
+    return " AND ".join(f"a.{name(n)} <=> b.{name(n)}" for n in names)
 
 
-def _keyed(table: DataFrame, names: list[str]) -> DataFrame:
-    return table.withColumnsRenamed({name: "k_" + name for name in names})
-
-
-def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], by: list[str] | None = None) -> DataFrame:
+def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], by: list[str] | None = None,
+                    small_group: int = SMALL_GROUP) -> DataFrame:
     """One row per group and column: ``variable``, ``n`` known values and ``q0``, ``q1``...,
     one per probability, interpolated linearly between neighbouring ranks."""
     by = list(by or [])
     keys = [*by, "variable"]
-    long = unpivot_measures(df, by, columns).filter(F.col("value").isNotNull())
+    names = [name(k) for k in keys]
+    listed = ", ".join(names)
+    long = unpivot_measures(df, by, columns).filter("value IS NOT NULL")
 
     marks = sorted(min(max(p + side, 0.0), 1.0) for p in probs for side in (-MARGIN, MARGIN))
     sketch, groups = settle(
         long.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("n"),
-            F.percentile_approx("value", marks, ACCURACY).alias("edges"),
-        )
-    )
-    edges = lookup_side(_keyed(sketch, keys), groups)
-
-    def edge(i: int) -> Column:
-        return F.get(F.col("edges"), F.lit(i))
-
-    region = sum((F.col("value") >= edge(i)).cast("int") for i in range(len(marks)))
-    inner_bin = F.lit(0)
-    for i in range(1, len(marks)):
-        width = F.width_bucket(F.col("value"), edge(i - 1), edge(i), F.lit(BINS)).cast("int")
-        inner_bin = F.when(region == i, F.coalesce(width, F.lit(0))).otherwise(inner_bin)
-    placed = long.join(edges, _same(long, edges, keys)).select(
-        *keys, "n", "value", (region * (BINS + 2) + inner_bin).alias("cell")
-    )
-
-    running = Window.partitionBy(*keys).orderBy("cell")
-    counted = (
-        placed.groupBy(*keys, "n", "cell").agg(F.count(F.lit(1)).alias("here"))
-        .withColumn("before", F.sum("here").over(running) - F.col("here"))
+            F.count(F.lit(1)).alias("n"), F.percentile_approx("value", marks, ACCURACY).alias("edges")))
+    edges = lookup_side(sketch, groups)
+
+    # 0 below the first edge, i between edges i - 1 and i
+    region = " + ".join(f"int(value >= edges[{i}])" for i in range(len(marks)))
+    low, high = "edges[region - 1]", "edges[region]"
+    inside = f"region BETWEEN 1 AND {len(marks) - 1}"
+    width = f"CASE WHEN {inside} THEN coalesce(int(width_bucket(value, {low}, {high}, {BINS})), 0) ELSE 0 END"
+    placed = (
+        long.alias("a").join(edges.alias("b"), F.expr(_same(keys)))
+        .selectExpr(*[f"a.{k}" for k in names], "n", "value", "edges", f"{region} AS region")
+        .selectExpr(*names, "n", "value", "region", f"{width} AS bin")
     )
-
-    def position(p: float) -> Column:
-        return (F.col("n") - 1) * F.lit(p)
-
-    ranks = [rank for p in probs for rank in (F.floor(position(p)), F.ceil(position(p)))]
-    hit = F.lit(False)
-    for rank in ranks:
-        hit = hit | ((rank >= F.col("before")) & (rank < F.col("before") + F.col("here")))
-    cells = counted.filter(hit).select(*keys, "cell", "before")
-    cells = lookup_side(_keyed(cells, [*keys, "cell"]), groups * len(ranks))
-
-    within = Window.partitionBy(*keys, "cell").orderBy("value")
+    bracket = f"n <= {small_group} OR region IN ({', '.join(str(i) for i in range(1, len(marks), 2))})"
+
+    positions = [f"(n - 1) * {p!r}D" for p in probs]
+    ranks = [f"{f}({at})" for at in positions for f in ("floor", "ceil")]
+
+    def counted(keep: str) -> tuple[DataFrame, DataFrame]:
+        """Frequencies (``value`` is NULL where only the region was counted) and, of these,
+        the cells that hold a wanted rank."""
+        frequencies = materialise(
+            placed.selectExpr(*names, "n", "region",
+                              f"CASE WHEN {keep} THEN bin ELSE -1 END AS bin", f"CASE WHEN {keep} THEN value END AS value")
+            .groupBy(*keys, "n", "region", "bin", "value").agg(F.count(F.lit(1)).alias("here")))
+        cells = frequencies.groupBy(*keys, "n", "region", "bin").agg(F.sum("here").alias("here")).selectExpr(
+            "*", f"sum(here) OVER (PARTITION BY {listed} ORDER BY region, bin) - here AS before")
+        hit = " OR ".join(f"({rank} >= before AND {rank} < before + here)" for rank in ranks)
+        return frequencies, cells.filter(hit).drop("here", "n")
+
+    frequencies, cells = counted(bracket)
+    missed = {r["region"] for r in cells.filter("bin = -1").select("region").distinct().collect()}
+    if missed:
+        frequencies, cells = counted(f"{bracket} OR region IN ({', '.join(map(str, sorted(missed)))})")
+
+    cells = lookup_side(cells, groups * len(ranks))
+    within = f"PARTITION BY {listed}, region, bin ORDER BY value"
     values = (
-        placed.join(cells, _same(placed, cells, [*keys, "cell"]))
-        .groupBy(*keys, "n", "cell", "before", "value").agg(F.count(F.lit(1)).alias("here"))
-        .withColumn("last", F.col("before") + F.sum("here").over(within) - 1)
-        .withColumn("first", F.col("last") - F.col("here") + 1)
+        frequencies.alias("a").join(cells.alias("b"), F.expr(_same([*keys, "region", "bin"])))
+        .selectExpr(*[f"a.{k}" for k in names], "n", "a.region", "a.bin", "value", "here", "before")
+        .selectExpr("*", f"before + sum(here) OVER ({within}) - 1 AS last")
     )
 
-    def at(rank: Column) -> Column:
-        return F.max(F.when((rank >= F.col("first")) & (rank <= F.col("last")), F.col("value")))
+    def at(rank: str) -> str:
+        return f"max(CASE WHEN {rank} BETWEEN last - here + 1 AND last THEN value END)"
 
-    found = values.groupBy(*keys, "n").agg(
-        *[at(F.floor(position(p))).alias(f"low{i}") for i, p in enumerate(probs)],
-        *[at(F.ceil(position(p))).alias(f"high{i}") for i, p in enumerate(probs)],
-    )
-    return found.select(*keys, "n", *[
-        (F.col(f"low{i}") + (F.col(f"high{i}") - F.col(f"low{i}")) * (position(p) - F.floor(position(p)))).alias(f"q{i}")
-        for i, p in enumerate(probs)
-    ])
+    found = values.groupBy(*keys, "n").agg(*[
+        F.expr(f"{at(f'{f}({position})')} AS {f}{i}") for i, position in enumerate(positions) for f in ("floor", "ceil")])
+    return found.selectExpr(*names, "n", *[
+        f"floor{i} + (ceil{i} - floor{i}) * ({position} - floor({position})) AS q{i}"
+        for i, position in enumerate(positions)])

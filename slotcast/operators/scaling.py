@@ -9,41 +9,40 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slotcast.functions.quoting import name
 from slotcast.operators.clean import numeric_columns
 from slotcast.operators.sizing import lookup_side, settle
 
 
-def _adjust(x: Column, mean: Column, sd: Column, impute: bool, center: bool, scale: bool) -> Column:
+def _adjust(x: str, mean: str, sd: str, impute: bool, center: bool, scale: bool) -> str:
     """An unknown mean leaves the value as it is; an unknown or zero deviation only centres."""
-    value = F.coalesce(x, mean) if impute else x
+    value = f"coalesce({x}, {mean})" if impute else x
     if center:
-        value = value - F.coalesce(mean, F.lit(0.0))
+        value = f"({value} - coalesce({mean}, 0D))"
     if scale:
-        value = value / F.coalesce(F.nullif(sd, F.lit(0.0)), F.lit(1.0))
+        value = f"{value} / coalesce(nullif({sd}, 0D), 1D)"
     return value
 
 
-def _replace(df: DataFrame, new: dict[str, Column]) -> list[Column]:
-    return [new[c].alias(c) if c in new else df[c] for c in df.columns]
+def _statistics(c: str, imputed: bool) -> list[str]:
+    """Aggregates of one column: mean, population variance and known rows, and the sample
+    deviation. Imputed rows lie on the mean: they add nothing to the squares but count as
+    rows, so the known rows' variance is spread over all n - 1."""
+    x = f"double({name(c)})"
+    rows = "count(1)" if imputed else f"count({x})"
+    return [
+        f"avg({x}) AS {name(c + '__mean')}",
+        f"var_pop({x}) AS {name(c + '__var')}",
+        f"count({x}) AS {name(c + '__known')}",
+        f"sqrt(var_pop({x}) * count({x}) / nullif({rows} - 1, 0)) AS {name(c + '__sd')}",
+    ]
 
 
-def _sums(columns: list[str]) -> list[Column]:
-    parts = [F.count(F.lit(1)).alias("n_")]
-    for c in columns:
-        x = F.col(c).cast("double")
-        parts += [F.avg(x).alias(f"{c}__mean"), F.var_pop(x).alias(f"{c}__var"), F.count(x).alias(f"{c}__known")]
-    return parts
-
-
-def _deviation(c: str, imputed: bool) -> Column:
-    """Sample deviation. Imputed rows lie on the mean: they add nothing to the squares but
-    count as rows, so the known rows' variance is spread over all n - 1."""
-    rows = F.col("n_") if imputed else F.col(f"{c}__known")
-    squares = F.col(f"{c}__var") * F.col(f"{c}__known")
-    return F.sqrt(squares / F.nullif(rows - 1, F.lit(0).cast("bigint")))
+def _number(value: float | None) -> str:
+    return "cast(NULL AS double)" if value is None else f"{value!r}D"
 
 
 @dataclass(frozen=True)
@@ -58,12 +57,9 @@ class Standardiser:
         numeric = numeric_columns(train, self.columns)
         if not numeric:
             return StandardiserModel(self, [], None, 0, {})
-        sums = train.groupBy(*self.by).agg(*_sums(numeric))
-        stats = sums.select(
-            *[F.col(b).alias(f"{b}__by") for b in self.by], "n_",
-            *[F.col(f"{c}__{part}") for c in numeric for part in ("mean", "var", "known")],
-            *[_deviation(c, self.na_replace).alias(f"{c}__sd") for c in numeric],
-        )
+        columns = [F.expr(part) for c in numeric for part in _statistics(c, self.na_replace)]
+        stats = train.groupBy(*self.by).agg(F.count(F.lit(1)).alias("n_"), *columns)
+        stats = stats.withColumnsRenamed({b: f"{b}__by" for b in self.by})
         if not self.by:
             row = stats.first()
             fixed = {c: (row[f"{c}__mean"], row[f"{c}__sd"]) for c in numeric}
@@ -84,22 +80,25 @@ class StandardiserModel:
         if not self.columns:
             return df
         spec = self.spec
-
-        def adjusted(c: str, mean: Column, sd: Column) -> Column:
-            return _adjust(df[c].cast("double"), mean, sd, spec.na_replace, spec.center, spec.scale)
-
+        numbers = set(self.columns)
+
+        def adjusted(column: str) -> str:
+            if column not in numbers:
+                return f"rows.{name(column)}"
+            if self.stats is None:
+                mean, sd = (_number(v) for v in self.constants[column])
+            else:
+                mean, sd = (f"fitted.{name(column + part)}" for part in ("__mean", "__sd"))
+            value = _adjust(f"double(rows.{name(column)})", mean, sd, spec.na_replace, spec.center, spec.scale)
+            return f"{value} AS {name(column)}"
+
+        out = [adjusted(c) for c in df.columns]
         if self.stats is None:
-            new = {c: adjusted(c, F.lit(m).cast("double"), F.lit(s).cast("double"))
-                   for c, (m, s) in self.constants.items()}
-            return df.select(*_replace(df, new))
-        wanted = [F.col(f"{b}__by") for b in spec.by] + [
-            F.col(f"{c}__{part}") for c in self.columns for part in ("mean", "sd")]
+            return df.alias("rows").selectExpr(*out)
+        wanted = [f"{b}__by" for b in spec.by] + [c + part for c in self.columns for part in ("__mean", "__sd")]
         side = lookup_side(self.stats.select(*wanted), self.groups)
-        match = F.lit(True)
-        for b in spec.by:
-            match = match & df[b].eqNullSafe(side[f"{b}__by"])
-        new = {c: adjusted(c, side[f"{c}__mean"], side[f"{c}__sd"]) for c in self.columns}
-        return df.join(side, match, "left").select(*_replace(df, new))
+        match = F.expr(" AND ".join(f"rows.{name(b)} <=> fitted.{name(b + '__by')}" for b in spec.by))
+        return df.alias("rows").join(side.alias("fitted"), match, "left").selectExpr(*out)
 
 
 @dataclass(frozen=True)
@@ -116,20 +115,20 @@ class GroupImputeGlobalScale:
         if not numeric:
             return GroupImputeGlobalScaleModel(imputer, imputer)
 
-        def rows(c: str) -> Column:
-            return F.when(F.col(f"{c}__mean").isNotNull(), F.col("n_"))
+        def rows(c: str) -> str:
+            return f"CASE WHEN {name(c + '__mean')} IS NOT NULL THEN n_ END"
 
-        first = imputer.stats.agg(
-            *[F.sum(rows(c)).alias(f"{c}_n") for c in numeric],
-            *[(F.sum(rows(c) * F.col(f"{c}__mean")) / F.nullif(F.sum(rows(c)), F.lit(0).cast("bigint"))).alias(f"{c}_mean")
-              for c in numeric],
+        first = imputer.stats.selectExpr(
+            *[f"sum({rows(c)}) AS {name(c + '_n')}" for c in numeric],
+            *[f"sum({rows(c)} * {name(c + '__mean')}) / nullif(sum({rows(c)}), 0) AS {name(c + '_mean')}" for c in numeric],
         ).first()
 
-        def squares(c: str) -> Column:
-            away = F.col(f"{c}__mean") - F.lit(first[f"{c}_mean"]).cast("double")
-            return F.sum(F.col(f"{c}__var") * F.col(f"{c}__known") + rows(c) * away * away).alias(c)
+        def squares(c: str) -> str:
+            away = f"({name(c + '__mean')} - {_number(first[c + '_mean'])})"
+            spread = f"{name(c + '__var')} * {name(c + '__known')}"
+            return f"sum({spread} + {rows(c)} * {away} * {away}) AS {name(c)}"
 
-        second = imputer.stats.agg(*[squares(c) for c in numeric]).first()
+        second = imputer.stats.selectExpr(*[squares(c) for c in numeric]).first()
         constants = {}
         for c in numeric:
             n = first[f"{c}_n"] or 0

@@ -1,22 +1,19 @@
 """Exact random split as a row-local predicate.
 
 A seeded hash orders the rows; the train side is the first n. The cutoff is found from
-histograms of the hash (at most 65,536 rows each), so no data row is shuffled or ranked and
+histograms of the hash (at most 65,536 bins each), so no data row is shuffled or ranked and
 both sides remain plain filters over the source.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from slotcast.fixed import SPLIT_TRAIN_SHARE
 
-_LOW = 1 << 16
-
 
 def split_hash(key: str, seed: Column) -> Column:
     """32 bits of the MD5 of seed and key, as a non-negative long."""
@@ -60,65 +57,51 @@ class Split:
         return self.df.withColumn(tag, F.when(self.is_train, "train").otherwise("test"))
 
 
-def share_count(rows: int, share: float, rounding: str = "round") -> int:
-    """Size of the train side: nearest whole number (ties to even) or the floor."""
-    if rounding == "round":
-        return round(share * rows)
-    if rounding == "floor":
-        return math.floor(share * rows)
-    raise ValueError("rounding is 'round' or 'floor'")
+def _locate(histogram: DataFrame, by: str, place: str) -> dict[int, Row]:
+    """Per seed, the bin that holds a place: its rows, the rows up to its end, all rows."""
+    running = histogram.selectExpr(
+        "*", f"sum(rows) OVER (PARTITION BY seed ORDER BY {by}) AS through", "sum(rows) OVER (PARTITION BY seed) AS total")
+    hit = running.selectExpr("*", f"{place} AS place").filter("through >= place AND through - rows < place")
+    return {r["seed"]: r for r in hit.collect()}
 
 
-def _locate(histogram: DataFrame, wanted: dict[int, int], by: str) -> dict[int, tuple]:
-    """Per seed, the bin holding the wanted place: (bin, rows before it, rows in it)."""
-    order = Window.partitionBy("seed").orderBy(by)
-    place = F.lit(None).cast("bigint")
-    for seed, n in wanted.items():
-        place = F.when(F.col("seed") == seed, F.lit(n)).otherwise(place)
-    running = histogram.withColumn("through", F.sum("rows").over(order))
-    hit = running.filter((F.col("through") >= place) & (F.col("through") - F.col("rows") < place))
-    return {r["seed"]: (r[by], r["through"] - r["rows"], r["rows"]) for r in hit.collect()}
+def _per_seed(values: dict[int, int]) -> str:
+    return "CASE seed " + " ".join(f"WHEN {s} THEN {v}" for s, v in values.items()) + " END"
 
 
 def exact_splits(df: DataFrame, key: str, seeds: list[int], share: float = SPLIT_TRAIN_SHARE,
                  rounding: str = "round") -> dict[int, Split]:
-    """One split per seed. ``key`` must be known and unique; it breaks hash ties."""
+    """One split per seed, from two passes over the keys. ``key`` must be known and unique;
+    it breaks ties of the hash."""
+    if rounding not in ("round", "floor"):
+        raise ValueError("rounding is 'round' or 'floor'")
+    wanted_rows = f"bigint(bround({share!r}D * total, 0))" if rounding == "round" else f"bigint(floor({share!r}D * total))"
     seed = F.explode(F.array(*[F.lit(s) for s in seeds])).alias("seed")
     hashed = df.select(F.col(key).alias("key"), seed).select(
-        "seed", "key", split_hash("key", F.col("seed")).alias("h"))
-
-    high = F.floor(F.col("h") / _LOW).cast("int").alias("bin")
-    bins = hashed.groupBy("seed", high).agg(F.count(F.lit(1)).alias("rows"))
-    totals = {r["seed"]: r["total"] for r in bins.groupBy("seed").agg(F.sum("rows").alias("total")).collect()}
-    rows = max(totals.values(), default=0)
-    train_rows = share_count(rows, share, rounding)
-    if not 0 < train_rows < rows:
-        return {s: Split(df, key, s, train_rows, rows, -1, None) for s in seeds}
-
-    wanted = {s: train_rows for s in seeds}
-    outer = _locate(bins, wanted, "bin")
-    wanted = {s: wanted[s] - outer[s][1] for s in seeds}
-    in_bin = F.lit(False)
-    for s in seeds:
-        in_bin = in_bin | ((F.col("seed") == s) & (high == outer[s][0]))
-    inner = _locate(
-        hashed.filter(in_bin).groupBy("seed", "h").agg(F.count(F.lit(1)).alias("rows")), wanted, "h")
-    wanted = {s: wanted[s] - inner[s][1] for s in seeds}
-
-    tied = [s for s in seeds if wanted[s] < inner[s][2]]
-    ties: dict[int, tuple] = {}
+        "seed", "key", split_hash("key", F.col("seed")).alias("h")).withColumn("bin", F.expr("h DIV 65536"))
+
+    def histogram(rows: DataFrame, by: str) -> DataFrame:
+        return rows.groupBy("seed", by).agg(F.count(F.lit(1)).alias("rows"))
+
+    outer = _locate(histogram(hashed, "bin"), "bin", wanted_rows)
+    if not outer:  # nothing to learn from: no rows, or a share that rounds to none
+        return {s: Split(df, key, s, 0, -1, -1, None) for s in seeds}
+    left = {s: r["place"] - (r["through"] - r["rows"]) for s, r in outer.items()}
+    inside = hashed.filter("bin = " + _per_seed({s: r["bin"] for s, r in outer.items()}))
+    inner = _locate(histogram(inside, "h"), "h", _per_seed(left))
+    left = {s: r["place"] - (r["through"] - r["rows"]) for s, r in inner.items()}
+
+    ties: dict[int, Row] = {}
+    tied = {s: r["h"] for s, r in inner.items() if left[s] < r["rows"]}
     if tied:
-        at_cut = F.lit(False)
-        for s in tied:
-            at_cut = at_cut | ((F.col("seed") == s) & (F.col("h") == inner[s][0]))
-        ties = _locate(
-            hashed.filter(at_cut).groupBy("seed", "key").agg(F.count(F.lit(1)).alias("rows")),
-            {s: wanted[s] for s in tied}, "key")
-        for s in tied:
-            if ties[s][1] + ties[s][2] != wanted[s]:
-                raise ValueError(f"key {ties[s][0]!r} occurs {ties[s][2]} times; the split needs a unique key")
+        at_cut = inside.filter("h = " + _per_seed(tied))
+        ties = _locate(histogram(at_cut, "key"), "key", _per_seed({s: left[s] for s in tied}))
+        for s, r in ties.items():
+            if r["through"] != left[s]:
+                raise ValueError(f"key {r['key']!r} occurs {r['rows']} times; the split needs a unique key")
     return {
-        s: Split(df, key, s, train_rows, rows, inner[s][0], ties[s][0] if s in ties else None) for s in seeds
+        s: Split(df, key, s, outer[s]["place"], outer[s]["total"], inner[s]["h"], ties[s]["key"] if s in ties else None)
+        for s in seeds
     }
 
 

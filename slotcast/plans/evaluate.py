@@ -12,7 +12,7 @@ from slotcast.operators.combine import join_back
 from slotcast.operators.fold import recompose, unfold
 from slotcast.operators.metrics import error_metrics
 from slotcast.operators.split import Split, exact_splits
-from slotcast.plans.features import FINAL_SCENARIO, SCENARIOS, FeatureSet, prepare, project
+from slotcast.plans.features import FINAL_SCENARIO, SCENARIOS, FeatureSet, prepare, prepare_many, project, union_of
 from slotcast.plans.models import Boosting, Forest, TargetModels, as_doubles, fit_targets, run_parallel
 from slotcast.session import materialise
 
@@ -40,6 +40,20 @@ def level_pairs(predicted: DataFrame) -> DataFrame:
     return levels.select("datetime", F.inline(F.array(*pairs)))
 
 
+def _split_table(data: DataFrame, features: FeatureSet) -> DataFrame:
+    levels = [F.col(p).alias(f"real_{p}") for p in LEVELS]
+    return data.select("datetime", *fixed.TARGETS, *levels, *features.variables)
+
+
+def _errors(models: TargetModels, test: DataFrame, columns: list[str], scenario: str, seed: int, strict: bool) -> DataFrame:
+    asked = test.select("datetime", *[f"real_{p}" for p in LEVELS], *columns)
+    errors = error_metrics(level_pairs(models.predict(as_doubles(asked, columns))), strict=strict)
+    return errors.select(
+        F.lit(scenario).alias("scenario"), F.lit(seed).alias("repeat"), "n",
+        (F.col("mape") * 100).alias("mape"), "rmse", "mae",
+    )
+
+
 def repeated_holdout(data: DataFrame, features: FeatureSet, learner: Boosting | Forest, seeds: list[int],
                      scenario: str = "final", preparation: str = "scale_group", by: list[str] | None = None,
                      share: float = fixed.HOLDOUT_TRAIN_SHARE, parallelism: int = 2,
@@ -49,18 +63,12 @@ def repeated_holdout(data: DataFrame, features: FeatureSet, learner: Boosting |
     ``data`` has the targets, the levels P0, P1, P2 and the variables; it is read many times,
     so pass a stored table.
     """
-    levels = [F.col(p).alias(f"real_{p}") for p in LEVELS]
-    table = data.select("datetime", *fixed.TARGETS, *levels, *features.variables)
-    splits = exact_splits(table, "datetime", seeds, share, rounding="floor")
+    splits = exact_splits(_split_table(data, features), "datetime", seeds, share, rounding="floor")
 
     def one(split: Split) -> DataFrame:
-        predicted, _ = fit_predict(split.train, split.test, features, learner, preparation, by=by,
-                                   keep=[f"real_{p}" for p in LEVELS])
-        errors = error_metrics(level_pairs(predicted), strict=strict)
-        return errors.select(
-            F.lit(scenario).alias("scenario"), F.lit(split.seed).alias("repeat"), "n",
-            (F.col("mape") * 100).alias("mape"), "rmse", "mae",
-        )
+        train, test, columns = prepare(split.train, split.test, features, preparation, by)
+        models = fit_targets(as_doubles(train, columns), columns, fixed.TARGETS, learner)
+        return _errors(models, test, columns, scenario, split.seed, strict)
 
     rows = run_parallel(data.sparkSession, [lambda s=s: one(s) for s in splits.values()], parallelism)
     return reduce(DataFrame.unionByName, rows)
@@ -68,19 +76,36 @@ def repeated_holdout(data: DataFrame, features: FeatureSet, learner: Boosting |
 
 def scenario_sweep(data: DataFrame, learner: Boosting | Forest | None, seeds: list[int],
                    scenarios: list[int] | None = None, preparation: str = "scale_group",
-                   by: list[str] | None = None, parallelism: int = 2) -> DataFrame:
-    """Repeated hold-out for several feature sets over one stored table.
-    Without a learner each scenario uses its own fixed boosting parameters."""
-    stored = materialise(data)
+                   by: list[str] | None = None, share: float = fixed.HOLDOUT_TRAIN_SHARE,
+                   parallelism: int = 2, strict: bool = False) -> DataFrame:
+    """Repeated hold-out for several feature sets, with the rows of :func:`repeated_holdout`.
+
+    Imputation, scaling and one-hot columns of a variable do not depend on the other variables,
+    so each split is prepared once, for all variables of all scenarios, and stored.
+    Without a learner each scenario uses its own fixed boosting parameters.
+    """
     chosen = scenarios or list(SCENARIOS)
+    everything = union_of([SCENARIOS[n] for n in chosen])
+    splits = exact_splits(_split_table(data, everything), "datetime", seeds, share, rounding="floor")
 
-    def one(number: int) -> DataFrame:
-        model = learner or Boosting.of(preparation, number)
-        return repeated_holdout(stored, SCENARIOS[number], model, seeds, f"scenario {number}", preparation, by,
-                                parallelism=1)
+    def prepared(split: Split) -> tuple[Split, DataFrame, DataFrame, dict[int, list[str]]]:
+        train, test, columns = prepare_many(
+            split.train, split.test, {n: SCENARIOS[n] for n in chosen}, preparation, by)
+        return split, materialise(train), materialise(test), columns
 
-    rows = run_parallel(data.sparkSession, [lambda n=n: one(n) for n in chosen], parallelism)
-    return reduce(DataFrame.unionByName, rows)
+    def one(number: int, split: Split, train: DataFrame, test: DataFrame, columns: list[str]) -> DataFrame:
+        model = learner or Boosting.of(preparation, number)
+        wanted = train.select(*fixed.TARGETS, *columns)
+        models = fit_targets(as_doubles(wanted, columns), columns, fixed.TARGETS, model, parallelism=1)
+        return _errors(models, test, columns, f"scenario {number}", split.seed, strict)
+
+    spark = data.sparkSession
+    ready = run_parallel(spark, [lambda s=s: prepared(s) for s in splits.values()], parallelism)
+    jobs = [
+        lambda n=n, split=split, train=train, test=test, columns=columns: one(n, split, train, test, columns[n])
+        for split, train, test, columns in ready for n in chosen
+    ]
+    return reduce(DataFrame.unionByName, run_parallel(spark, jobs, parallelism))
 
 
 def forecast(train: DataFrame, ahead: DataFrame, scenario: int = FINAL_SCENARIO,

@@ -51,29 +51,49 @@ def project(df: DataFrame, features: FeatureSet, extra: list[str] | None = None)
     return df.select("datetime", *(extra or []), *features.variables)
 
 
-def prepare(train: DataFrame, test: DataFrame, features: FeatureSet, preparation: str = "scale_group",
-            by: list[str] | None = None) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Impute, scale and one-hot encode; everything is fitted on ``train``.
+def union_of(sets: list[FeatureSet]) -> FeatureSet:
+    """All variables of several feature sets; a variable in two roles is listed once, as factor."""
+    factors = list(dict.fromkeys(v for s in sets for v in s.factors))
+    numerics = list(dict.fromkeys(v for s in sets for v in s.numerics))
+    others = list(dict.fromkeys(v for s in sets for v in s.others if v not in factors))
+    return FeatureSet(factors, numerics, others)
 
-    Returns both tables and the model columns in order.
-    """
+
+def _scaler(preparation: str, numerics: list[str], by: list[str] | None) -> Standardiser | GroupImputeGlobalScale:
     by = ["Month", "Hour"] if by is None else by
     if preparation == "impute_global_scale_global":
-        scaler = Standardiser(features.numerics)
-    elif preparation == "impute_group":
-        scaler = Standardiser(features.numerics, by, center=False, scale=False)
-    elif preparation == "impute_group_scale_global":
-        scaler = GroupImputeGlobalScale(features.numerics, by)
-    elif preparation == "scale_group":
-        scaler = Standardiser(features.numerics, by)
-    else:
-        raise ValueError(f"preparation is one of {PREPARATIONS}")
-    fitted = scaler.fit(train)
-    encoder = OneHot(features.factors).fit(train)
+        return Standardiser(numerics)
+    if preparation == "impute_group":
+        return Standardiser(numerics, by, center=False, scale=False)
+    if preparation == "impute_group_scale_global":
+        return GroupImputeGlobalScale(numerics, by)
+    if preparation == "scale_group":
+        return Standardiser(numerics, by)
+    raise ValueError(f"preparation is one of {PREPARATIONS}")
+
+
+def prepare_many(train: DataFrame, test: DataFrame, sets: dict[int, FeatureSet], preparation: str = "scale_group",
+                 by: list[str] | None = None) -> tuple[DataFrame, DataFrame, dict[int, list[str]]]:
+    """Impute, scale and one-hot encode for several feature sets at once; everything is fitted
+    on ``train``. Returns both tables and the model columns of each set, in order."""
+    every = union_of(list(sets.values()))
+    fitted = _scaler(preparation, every.numerics, by).fit(train)
+    encoder = OneHot(every.factors, remove=False).fit(train)
+
+    def columns(features: FeatureSet) -> list[str]:
+        flags = [column for (variable, _), column in encoder.names.items() if variable in features.factors]
+        return [*[c for c in features.numerics if c in fitted.columns], *flags, *features.others]
+
     # the group columns may be factors too: scale first, encode afterwards
-    columns = [*fitted.columns, *encoder.columns, *features.others]
     return (
         encoder.transform(fitted.transform(train)),
         encoder.transform(fitted.transform(test)),
-        columns,
+        {number: columns(features) for number, features in sets.items()},
     )
+
+
+def prepare(train: DataFrame, test: DataFrame, features: FeatureSet, preparation: str = "scale_group",
+            by: list[str] | None = None) -> tuple[DataFrame, DataFrame, list[str]]:
+    """:func:`prepare_many` for one feature set."""
+    ready, asked, columns = prepare_many(train, test, {0: features}, preparation, by)
+    return ready, asked, columns[0]

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotcast import fixed
+from slotcast.functions.quoting import name
 from slotcast.operators.clean import require
 from slotcast.session import shared_dir
 
@@ -58,7 +59,9 @@ class Forest:
 def as_doubles(df: DataFrame, columns: list[str]) -> DataFrame:
     """Flags and counts as doubles. A value still missing after imputation (its group had
     none in training) becomes 0, the mean of a centred column."""
-    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns})
+    numbers = set(columns)
+    return df.selectExpr(*[
+        f"coalesce(double({name(c)}), 0D) AS {name(c)}" if c in numbers else name(c) for c in df.columns])
 
 
 def formula(target: str, variables: list[str]) -> RFormula:
@@ -81,13 +84,17 @@ class TargetModels:
             out = scored.select(*out.columns, F.col(f"{target}_hat").alias(target))
         return out
 
-    def save(self, folder: str) -> None:
-        for target, model in self.models.items():
-            model.write().save(f"{folder.rstrip('/')}/{target}")
+    def save(self, spark: SparkSession, folder: str) -> None:
+        run_parallel(spark, [
+            lambda t=t, m=m: m.write().save(f"{folder.rstrip('/')}/{t}") for t, m in self.models.items()
+        ], len(self.models))
 
     @staticmethod
-    def load(folder: str, targets: list[str], columns: list[str]) -> "TargetModels":
-        return TargetModels({t: PipelineModel.load(f"{folder.rstrip('/')}/{t}") for t in targets}, columns)
+    def load(spark: SparkSession, folder: str, targets: list[str], columns: list[str]) -> "TargetModels":
+        models = run_parallel(spark, [
+            lambda t=t: PipelineModel.load(f"{folder.rstrip('/')}/{t}") for t in targets
+        ], len(targets))
+        return TargetModels(dict(zip(targets, models)), columns)
 
 
 def run_parallel(spark: SparkSession, jobs: list[Callable], parallelism: int) -> list:

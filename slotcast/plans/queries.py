@@ -188,10 +188,10 @@ def fold_duplicates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def unfold_predictions(spark: SparkSession, sf: str) -> DataFrame:
-    slots = fold_hours(spark, sf)
+    slots = materialise(fold_hours(spark, sf))
     direct = fold.unfold(fold.recompose(slots))
     chained = fold.unfold(fold.recompose(slots, chained=True), value="chained")
-    both = direct.join(chained, "datetime")
+    both = materialise(direct.join(chained, "datetime"))
     return position.with_position(both).select("datetime", r6(F.col("puissance")).alias("puissance"),
                                                r6(F.col("chained")).alias("chained"), "position")
 
@@ -468,8 +468,8 @@ def model_io(spark: SparkSession, sf: str) -> DataFrame:
     fitted = Standardiser(numbers).fit(train)
     models = fit_targets(as_doubles(fitted.transform(train), numbers), numbers, fixed.TARGETS, SMALL_BOOST)
     folder = fresh_path(spark, "models")
-    models.save(folder)
-    again = TargetModels.load(folder, fixed.TARGETS, numbers)
+    models.save(spark, folder)
+    again = TargetModels.load(spark, folder, fixed.TARGETS, numbers)
     asked = as_doubles(fitted.transform(slots), numbers).select("datetime", *numbers)
     first = models.predict(asked).select("datetime", *[F.col(t).alias(f"first_{t}") for t in fixed.TARGETS])
     second = again.predict(asked).select("datetime", *fixed.TARGETS)
