@@ -76,6 +76,11 @@ def unfold(
     return long.select(shift_hours(F.col(time), hour).alias(time), *keep, value)
 
 
+def labelled_rows(slots: DataFrame, targets: list[str], ids: list[str]) -> DataFrame:
+    """The rows each target's model may learn from: ``target`` and its known ``label``."""
+    return unpivot_measures(slots, ids, targets, "target", "label").filter("label IS NOT NULL")
+
+
 def unpivot_measures(
     df: DataFrame, ids: list[str], measures: list[str], variable: str = "variable", value: str = "value"
 ) -> DataFrame:

@@ -71,18 +71,8 @@ def moments(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def table_summary(df: DataFrame, columns: list[str]) -> DataFrame:
     """Minimum, quartiles, mean, maximum, standard deviation and NULL count per column."""
-    parts = []
-    for i, c in enumerate(columns):
-        x = f"double({name(c)})"
-        parts += [F.expr(f"{f}({x}) AS {field}_{i}") for f, field in (
-            ("min", "min"), ("avg", "mean"), ("max", "max"), ("stddev_samp", "sd"))]
-        parts.append(F.expr(f"count_if({x} IS NULL) AS nulls_{i}"))
-    plain = _rows_per_column(df.agg(*parts), columns, ["min", "mean", "max", "sd", "nulls"])
-    quartiles = exact_quantiles(df, columns, QUARTILES)
-    return plain.join(quartiles, "variable", "left").select(
-        "variable", "min", F.col("q0").alias("q1"), F.col("q1").alias("median"), "mean",
-        F.col("q2").alias("q3"), "max", "sd", "nulls",
-    )
+    return exact_quantiles(df, columns, QUARTILES, moments=True).selectExpr(
+        "variable", "min", "q0 AS q1", "q1 AS median", "mean", "q2 AS q3", "max", "sd", "rows - n AS nulls")
 
 
 def box_numbers(df: DataFrame, columns: list[str], reach: float = 1.5) -> DataFrame:

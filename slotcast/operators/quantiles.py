@@ -28,20 +28,25 @@ def _same(names: list[str]) -> str:
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], by: list[str] | None = None,
-                    small_group: int = SMALL_GROUP) -> DataFrame:
+                    small_group: int = SMALL_GROUP, moments: bool = False) -> DataFrame:
     """One row per group and column: ``variable``, ``n`` known values and ``q0``, ``q1``...,
-    one per probability, interpolated linearly between neighbouring ranks."""
+    one per probability, interpolated linearly between neighbouring ranks.
+
+    ``moments`` adds ``rows``, ``min``, ``mean``, ``max`` and ``sd`` from the first pass.
+    """
     by = list(by or [])
     keys = [*by, "variable"]
     names = [name(k) for k in keys]
     listed = ", ".join(names)
-    long = unpivot_measures(df, by, columns).filter("value IS NOT NULL")
+    long = unpivot_measures(df, by, columns)
 
     marks = sorted(min(max(p + side, 0.0), 1.0) for p in probs for side in (-MARGIN, MARGIN))
-    sketch, groups = settle(
-        long.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("n"), F.percentile_approx("value", marks, ACCURACY).alias("edges")))
-    edges = lookup_side(sketch, groups)
+    first_pass = [F.count("value").alias("n"), F.percentile_approx("value", marks, ACCURACY).alias("edges")]
+    extra = {"rows": "count(1)", "min": "min(value)", "mean": "avg(value)", "max": "max(value)", "sd": "stddev_samp(value)"}
+    if moments:
+        first_pass += [F.expr(f"{text} AS {column}") for column, text in extra.items()]
+    sketch, groups = settle(long.groupBy(*keys).agg(*first_pass))
+    edges = lookup_side(sketch.select(*keys, "n", "edges"), groups)
 
     # 0 below the first edge, i between edges i - 1 and i
     region = " + ".join(f"int(value >= edges[{i}])" for i in range(len(marks)))
@@ -49,7 +54,7 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], by: l
     inside = f"region BETWEEN 1 AND {len(marks) - 1}"
     width = f"CASE WHEN {inside} THEN coalesce(int(width_bucket(value, {low}, {high}, {BINS})), 0) ELSE 0 END"
     placed = (
-        long.alias("a").join(edges.alias("b"), F.expr(_same(keys)))
+        long.filter("value IS NOT NULL").alias("a").join(edges.alias("b"), F.expr(_same(keys)))
         .selectExpr(*[f"a.{k}" for k in names], "n", "value", "edges", f"{region} AS region")
         .selectExpr(*names, "n", "value", "region", f"{width} AS bin")
     )
@@ -88,6 +93,12 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], by: l
 
     found = values.groupBy(*keys, "n").agg(*[
         F.expr(f"{at(f'{f}({position})')} AS {f}{i}") for i, position in enumerate(positions) for f in ("floor", "ceil")])
-    return found.selectExpr(*names, "n", *[
+    quantiles = found.selectExpr(*names, "n", *[
         f"floor{i} + (ceil{i} - floor{i}) * ({position} - floor({position})) AS q{i}"
         for i, position in enumerate(positions)])
+    if not moments:
+        return quantiles
+    # a column without known values has moments but no quantiles
+    side = lookup_side(quantiles, groups)
+    return sketch.alias("a").join(side.alias("b"), F.expr(_same(keys)), "left").selectExpr(
+        *[f"a.{k}" for k in names], "a.n", *extra, *[f"q{i}" for i in range(len(probs))])

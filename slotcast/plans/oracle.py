@@ -143,6 +143,31 @@ SELECT t.datetime, t.Weekday, t.Hour, t.DATA_, {out}
 FROM t LEFT JOIN m USING (Weekday, Hour) LEFT JOIN s USING (Weekday, Hour)"""
 
 
+FINAL_NUMBERS = ["temp", "pression", "hr", "p_rosee", "visi", "vt_raf", "rr_3h", "nebul"]
+
+
+def _matrix() -> str:
+    """Scaled numbers, then month, direction, weekday and season flags, then hour and weekend."""
+    means = ", ".join(f"avg({c}) AS m_{c}" for c in FINAL_NUMBERS)
+    sds = ", ".join(f"stddev_samp(coalesce({c}, m_{c})) AS s_{c}" for c in FINAL_NUMBERS)
+    cells = [f"coalesce((coalesce({c}, m_{c}) - coalesce(m_{c}, 0)) / coalesce(nullif(s_{c}, 0), 1), 0)" for c in FINAL_NUMBERS]
+    cells += [f"coalesce(Month = '{v}', FALSE)" for v in MONTHS]
+    cells += [f"coalesce(rose_vt = '{v}', FALSE)" for v in ("North", "East", "South", "West")]
+    cells += [f"coalesce(Weekday = '{v}', FALSE)" for v in WEEKDAYS]
+    cells += [f"coalesce(f_season = '{v}', FALSE)" for v in ("summer", "winter")]
+    cells += ["Hour", "f_weekend"]
+    rows = " UNION ALL ".join(
+        f"SELECT datetime, DATA_, CAST({i} AS INTEGER) AS position, {r6(f'CAST({cell} AS DOUBLE)')} AS value FROM joined"
+        for i, cell in enumerate(cells))
+    return f"""WITH {WEATHER},
+t AS (SELECT *, {calendar('datetime')}, {flags('datetime')}, {rose('vt_dir')} AS rose_vt,
+             CASE WHEN datetime >= {START} THEN 'test' ELSE 'train' END AS DATA_ FROM weather),
+m AS (SELECT Month, Hour, {means} FROM t WHERE DATA_ = 'train' GROUP BY 1, 2),
+s AS (SELECT t.Month, t.Hour, {sds} FROM t JOIN m USING (Month, Hour) WHERE DATA_ = 'train' GROUP BY 1, 2),
+joined AS (SELECT * FROM t LEFT JOIN m USING (Month, Hour) LEFT JOIN s USING (Month, Hour))
+{rows}"""
+
+
 def _flag(condition: str, name: str) -> str:
     return f"CAST(coalesce({condition}, FALSE) AS INTEGER) AS \"{name}\""
 
@@ -259,7 +284,13 @@ FROM t JOIN l USING (year_month) GROUP BY year_month, Month, Hour, level""",
     "scale_global": _scaling(False, "same"),
     "scale_by_group": _scaling(True, "same"),
     "impute_group_scale_global": _scaling(True, "global"),
+    "scaled_moments": f"""WITH gaps AS ({GAPS}), """ + ", ".join(
+        f"f_{c} AS (SELECT coalesce({c}, (SELECT avg({c}) FROM gaps)) AS x FROM gaps), "
+        f"z_{c} AS (SELECT (x - (SELECT avg(x) FROM f_{c})) / (SELECT stddev_samp(x) FROM f_{c}) AS z FROM f_{c})"
+        for c in MEASURES) + " " + " UNION ALL ".join(
+        f"SELECT '{c}' AS variable, {r6('avg(z)')} AS mean, {r6('stddev_samp(z)')} AS sd FROM z_{c}" for c in MEASURES),
     "fit_transfer": _fit_transfer(),
+    "feature_matrix": _matrix(),
     "onehot": "SELECT o_orderkey, " + ", ".join(
         [_flag(f"dayname(o_orderdate) = '{d}'", d) for d in WEEKDAYS]
         + [_flag(f"monthname(o_orderdate) = '{m}'", m) for m in MONTHS]

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +20,7 @@ from slotcast.operators.scaling import GroupImputeGlobalScale, Standardiser
 from slotcast.operators.split import exact_split, exact_splits
 from slotcast.plans import evaluate, plotdata
 from slotcast.plans.features import SCENARIOS, project, training_table, weather_features
+from slotcast.plans.features import prepare as prepare_features
 from slotcast.plans.models import Boosting, Forest, TargetModels, as_doubles, fit_targets
 from slotcast.plans.tables import (
     FORECAST_START, ahead, cents, hourly_load, measures_with_gaps, slot_weather, table,
@@ -141,10 +144,13 @@ def round_hour(spark: SparkSession, sf: str) -> DataFrame:
         "event_id", stamps.round_to_hour(F.col("ts").cast("timestamp")).alias("datetime"))
 
 
-def _order_stamps(spark: SparkSession, sf: str) -> DataFrame:
+def _order_hour() -> Column:
     """Order dates, spread over the hours of the day by customer."""
-    stamp = stamps.shift_hours(F.col("o_orderdate").cast("timestamp"), F.pmod(F.col("o_custkey"), F.lit(24)).cast("int"))
-    return table(spark, sf, "orders").select("o_orderkey", stamp.alias("datetime"))
+    return stamps.shift_hours(F.col("o_orderdate").cast("timestamp"), F.pmod(F.col("o_custkey"), F.lit(24)).cast("int"))
+
+
+def _order_stamps(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "orders").select("o_orderkey", _order_hour().alias("datetime"))
 
 
 def calendar_features(spark: SparkSession, sf: str) -> DataFrame:
@@ -272,8 +278,9 @@ def profile_month_hour(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def profile_year_month_hour(spark: SparkSession, sf: str) -> DataFrame:
-    priced = table(spark, sf, "orders").select("o_orderkey", cents(F.col("o_totalprice")).alias("puissance"))
-    full = cal.with_calendar(_order_stamps(spark, sf), abbreviated=True).join(priced, "o_orderkey")
+    orders = table(spark, sf, "orders")
+    priced = orders.select(_order_hour().alias("datetime"), cents(F.col("o_totalprice")).alias("puissance"))
+    full = cal.with_calendar(priced, abbreviated=True)
     full = full.withColumn("year_month", F.concat_ws("-", "Year", "Month"))
     levels = profile.first_seen_rank(full, "year_month")
     groups = profile.group_profile(full, ["year_month", "Month", "Hour"])
@@ -319,6 +326,25 @@ def impute_group_scale_global(spark: SparkSession, sf: str) -> DataFrame:
     return _scaled_items(spark, sf, GroupImputeGlobalScale(MEASURES, FLAGS_BY))
 
 
+def scaled_moments(spark: SparkSession, sf: str) -> DataFrame:
+    """After scaling, the training rows of every column have mean 0 and deviation 1."""
+    items = measures_with_gaps(spark, sf, [])
+    out = profile.moments(Standardiser(MEASURES).fit(items).transform(items), MEASURES)
+    return _rounded(out, ["mean", "sd"])
+
+
+def feature_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    """The dense model input of the final scenario, one row per cell."""
+    features = SCENARIOS[7]
+    slots = materialise(project(weather_features(slot_weather(spark, sf)), features))
+    train, test = slots.filter(~ahead(slots)), slots.filter(ahead(slots))
+    ready, asked, columns = prepare_features(train, test, features)
+    rows = as_doubles(combine.tagged_union(ready, asked), columns)
+    matrix = VectorAssembler(inputCols=columns, outputCol="features").transform(rows)
+    cells = matrix.select("datetime", "DATA_", F.posexplode(vector_to_array("features")).alias("position", "value"))
+    return _rounded(cells, ["value"])
+
+
 def fit_transfer(spark: SparkSession, sf: str) -> DataFrame:
     """Slot covariates, standardised by weekday and hour of the training period."""
     measures = ["temp", "pression", "vt_moy", "vt_raf", "rr_3h", "nebul"]
@@ -363,10 +389,7 @@ def exact_split_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 def per_target_rows(spark: SparkSession, sf: str) -> DataFrame:
     """The rows each target's model may learn from."""
-    slots = fold_hours(spark, sf)
-    usable = [clean.require(slots, [t]).select("datetime", F.lit(t).alias("target"), F.col(t).alias("label"))
-              for t in fixed.TARGETS]
-    return reduce(DataFrame.unionByName, usable)
+    return fold.labelled_rows(fold_hours(spark, sf), fixed.TARGETS, ["datetime"])
 
 
 # --- errors ----------------------------------------------------------------------------------
@@ -536,7 +559,9 @@ QUERIES = {
     "scale_global": scale_global,
     "scale_by_group": scale_by_group,
     "impute_group_scale_global": impute_group_scale_global,
+    "scaled_moments": scaled_moments,
     "fit_transfer": fit_transfer,
+    "feature_matrix": feature_matrix,
     "onehot": onehot,
     "onehot_fit_transfer": onehot_fit_transfer,
     "scenario_projection": scenario_projection,
