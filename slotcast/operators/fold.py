@@ -22,7 +22,7 @@ def fold_hourly(
     """One row per slot: P0, the deltas DP1, DP2 to it and, between the last two, DP12.
 
     A missing hour leaves NULL. ``on_duplicate`` says what two rows of one hour mean:
-    ``error``, ``mean``, or ``first`` (by the ``order`` column). ``keep_levels`` adds P1, P2...
+    ``error``, ``mean``, or ``first`` (by the ``order`` column, which should be unique). ``keep_levels`` adds P1, P2...
     """
     stamp = F.col(time)
     aggregates: list[Column] = []
@@ -34,7 +34,7 @@ def fold_hourly(
         elif on_duplicate == "first":
             if order is None:
                 raise ValueError("on_duplicate='first' needs an order column")
-            level = F.min_by(F.col(value), F.when(here, F.struct(F.col(order), F.col(value))))
+            level = F.min_by(F.col(value), F.when(here, F.col(order)))
         elif on_duplicate == "error":
             message = F.format_string("hour %d of a slot occurs more than once", F.lit(k))
             level = F.when(F.count(F.when(here, 1)) > 1, F.raise_error(message)).otherwise(F.max(seen))

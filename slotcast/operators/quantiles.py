@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotcast.functions.quoting import name
+from slotcast.functions.quoting import name, text
 from slotcast.operators.fold import unpivot_measures
 from slotcast.operators.sizing import lookup_side, settle
 from slotcast.session import materialise
@@ -20,7 +20,7 @@ from slotcast.session import materialise
 ACCURACY = 10_000
 MARGIN = 2.0 / ACCURACY
 BINS = 256
-SMALL_GROUP = 100_000  # rows up to which every value is counted
+SMALL_GROUP = 20_000  # rows up to which every value is counted
 
 
 def _same(names: list[str]) -> str:
@@ -38,27 +38,32 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], by: l
     keys = [*by, "variable"]
     names = [name(k) for k in keys]
     listed = ", ".join(names)
-    long = unpivot_measures(df, by, columns)
-
     marks = sorted(min(max(p + side, 0.0), 1.0) for p in probs for side in (-MARGIN, MARGIN))
-    first_pass = [F.count("value").alias("n"), F.percentile_approx("value", marks, ACCURACY).alias("edges")]
-    extra = {"rows": "count(1)", "min": "min(value)", "mean": "avg(value)", "max": "max(value)", "sd": "stddev_samp(value)"}
+    asked = {"n": "count({x})", "edges": f"percentile_approx({{x}}, array({', '.join(f'{m!r}D' for m in marks)}), {ACCURACY})"}
+    extra = {"rows": "count(1)", "min": "min({x})", "mean": "avg({x})", "max": "max({x})", "sd": "stddev_samp({x})"}
     if moments:
-        first_pass += [F.expr(f"{text} AS {column}") for column, text in extra.items()]
-    sketch, groups = settle(long.groupBy(*keys).agg(*first_pass))
+        asked |= extra
+    wide = df.groupBy(*by).agg(*[
+        F.expr(f"{part.format(x=f'double({name(c)})')} AS {field}_{i}")
+        for i, c in enumerate(columns) for field, part in asked.items()])
+    per_column = ", ".join(
+        f"struct({text(c)} AS variable, {', '.join(f'{field}_{i} AS {field}' for field in asked)})"
+        for i, c in enumerate(columns))
+    sketch, groups = settle(wide.selectExpr(*[name(b) for b in by], f"inline(array({per_column}))"))
     edges = lookup_side(sketch.select(*keys, "n", "edges"), groups)
 
-    # 0 below the first edge, i between edges i - 1 and i
-    region = " + ".join(f"int(value >= edges[{i}])" for i in range(len(marks)))
-    low, high = "edges[region - 1]", "edges[region]"
-    inside = f"region BETWEEN 1 AND {len(marks) - 1}"
-    width = f"CASE WHEN {inside} THEN coalesce(int(width_bucket(value, {low}, {high}, {BINS})), 0) ELSE 0 END"
+    # edges come in pairs (low, high); a value inside a pair is counted by itself. The region
+    # grows with the value, and values of one region are all inside a pair or all outside.
+    pairs = [(f"edges[{i}]", f"edges[{i + 1}]") for i in range(0, len(marks), 2)]
+    region = " + ".join(f"int(value >= {low}) + int(value > {high})" for low, high in pairs)
+    inside = " OR ".join(f"value BETWEEN {low} AND {high}" for low, high in pairs)
+    bins = " ".join(f"WHEN {2 * i + 1} THEN coalesce(int(width_bucket(value, {low}, {high}, {BINS})), 0)"
+                    for i, (low, high) in enumerate(pairs))
     placed = (
-        long.filter("value IS NOT NULL").alias("a").join(edges.alias("b"), F.expr(_same(keys)))
-        .selectExpr(*[f"a.{k}" for k in names], "n", "value", "edges", f"{region} AS region")
-        .selectExpr(*names, "n", "value", "region", f"{width} AS bin")
+        unpivot_measures(df, by, columns).filter("value IS NOT NULL").alias("a").join(edges.alias("b"), F.expr(_same(keys)))
+        .selectExpr(*[f"a.{k}" for k in names], "n", "value", "edges", f"{region} AS region",
+                    f"n <= {small_group} OR {inside} AS keep")
     )
-    bracket = f"n <= {small_group} OR region IN ({', '.join(str(i) for i in range(1, len(marks), 2))})"
 
     positions = [f"(n - 1) * {p!r}D" for p in probs]
     ranks = [f"{f}({at})" for at in positions for f in ("floor", "ceil")]
@@ -67,18 +72,18 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], by: l
         """Frequencies (``value`` is NULL where only the region was counted) and, of these,
         the cells that hold a wanted rank."""
         frequencies = materialise(
-            placed.selectExpr(*names, "n", "region",
-                              f"CASE WHEN {keep} THEN bin ELSE -1 END AS bin", f"CASE WHEN {keep} THEN value END AS value")
+            placed.selectExpr(*names, "n", "region", f"CASE WHEN NOT ({keep}) THEN -1 ELSE CASE region {bins} ELSE 0 END END AS bin",
+                              f"CASE WHEN {keep} THEN value END AS value")
             .groupBy(*keys, "n", "region", "bin", "value").agg(F.count(F.lit(1)).alias("here")))
         cells = frequencies.groupBy(*keys, "n", "region", "bin").agg(F.sum("here").alias("here")).selectExpr(
             "*", f"sum(here) OVER (PARTITION BY {listed} ORDER BY region, bin) - here AS before")
         hit = " OR ".join(f"({rank} >= before AND {rank} < before + here)" for rank in ranks)
         return frequencies, cells.filter(hit).drop("here", "n")
 
-    frequencies, cells = counted(bracket)
+    frequencies, cells = counted("keep")
     missed = {r["region"] for r in cells.filter("bin = -1").select("region").distinct().collect()}
     if missed:
-        frequencies, cells = counted(f"{bracket} OR region IN ({', '.join(map(str, sorted(missed)))})")
+        frequencies, cells = counted(f"keep OR region IN ({', '.join(map(str, sorted(missed)))})")
 
     cells = lookup_side(cells, groups * len(ranks))
     within = f"PARTITION BY {listed}, region, bin ORDER BY value"

@@ -43,7 +43,8 @@ class Split:
         if self.cut_key is None:
             return h <= self.cut_hash
         key_type = self.df.schema[self.key].dataType
-        return (h < self.cut_hash) | ((h == self.cut_hash) & (F.col(self.key) <= F.lit(self.cut_key).cast(key_type)))
+        tie = (h == self.cut_hash) & (F.col(self.key) <= F.lit(self.cut_key).cast(key_type))
+        return F.coalesce((h < self.cut_hash) | tie, F.lit(False))
 
     @property
     def train(self) -> DataFrame:

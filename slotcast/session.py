@@ -37,6 +37,12 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once, store it reliably and cut its lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """Compute ``df`` once and go on from a table written to the shared folder.
+
+    The table survives the loss of executors, and its file sizes tell the optimizer whether
+    a later join may broadcast it.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, "table")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -1,0 +1,2 @@
+"""Nothing here: all inputs are static tables. The column functions and fitted transforms
+(calendar, flags, direction, standardising, one-hot) are row-local and also accept streams."""
