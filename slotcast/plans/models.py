@@ -46,13 +46,14 @@ class Forest:
     depth: int = 30
     min_rows: int = 5
     max_bins: int = 32
+    bootstrap: bool = True
     seed: int = 1
 
     def estimator(self, target: str) -> RandomForestRegressor:
         return RandomForestRegressor(
             labelCol=target, predictionCol=f"{target}_hat", numTrees=self.trees, maxDepth=self.depth,
             minInstancesPerNode=self.min_rows, featureSubsetStrategy="onethird", maxBins=self.max_bins,
-            seed=self.seed,
+            bootstrap=self.bootstrap, seed=self.seed,
         )
 
 

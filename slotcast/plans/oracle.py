@@ -334,6 +334,21 @@ SELECT scenario, repeats, {r6('lo')} AS "min", {r6('q1')} AS q1, {r6('median')}
 CAST(hour(datetime) AS INTEGER) AS Hour, '{c}' AS variable, {c} AS value FROM weather""" for c in SERIES),
     "plot_data_load": f"""WITH {LOAD} SELECT CAST(year(datetime) AS INTEGER) AS Year, monthname(datetime) AS Month,
   CAST(day(datetime) AS INTEGER) AS Day, CAST(hour(datetime) AS INTEGER) AS Hour, puissance FROM load""",
+    "gbt_hour_means": f"""WITH {LOAD}, {LEVELS}, {SLOTS}, {WEATHER},
+means AS (SELECT hour(datetime) AS h, avg(P0) AS P0, avg(DP1) AS DP1, avg(DP2) AS DP2
+          FROM slots JOIN weather USING (datetime) WHERE P0 IS NOT NULL AND datetime < {START} GROUP BY 1),
+hourly AS (
+  SELECT datetime, P0 AS puissance FROM weather JOIN means ON hour(datetime) = h WHERE datetime >= {START}
+  UNION ALL SELECT datetime + INTERVAL 1 HOUR, P0 + DP1 FROM weather JOIN means ON hour(datetime) = h WHERE datetime >= {START}
+  UNION ALL SELECT datetime + INTERVAL 2 HOUR, P0 + DP2 FROM weather JOIN means ON hour(datetime) = h WHERE datetime >= {START})
+SELECT hourly.datetime, {r6('hourly.puissance')} AS puissance, load.puissance AS reality,
+       {r6('abs(hourly.puissance - load.puissance) / nullif(abs(load.puissance), 0) * 100')} AS mape
+FROM hourly LEFT JOIN load USING (datetime)""",
+    "rf_weekday_means": f"""WITH {LOAD}, {LEVELS}, {SLOTS}, {WEATHER},
+means AS (SELECT dayname(datetime) AS d, avg(P0) AS P0, avg(DP1) AS DP1, avg(DP2) AS DP2
+          FROM slots JOIN weather USING (datetime) WHERE P0 IS NOT NULL AND datetime < {START} GROUP BY 1)
+SELECT datetime, {r6('P0')} AS "P0", {r6('DP1')} AS "DP1", {r6('DP2')} AS "DP2"
+FROM weather JOIN means ON dayname(datetime) = d WHERE datetime >= {START}""",
     "model_io": f"""WITH {WEATHER} SELECT datetime, TRUE AS "same_P0", TRUE AS "same_DP1", TRUE AS "same_DP2"
 FROM weather WHERE datetime >= {START}""",
 }

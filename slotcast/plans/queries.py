@@ -483,6 +483,26 @@ def rf_forecast(spark: SparkSession, sf: str) -> DataFrame:
     return fold.unfold(fold.recompose(predicted.select("datetime", *fixed.TARGETS)))
 
 
+def gbt_hour_means(spark: SparkSession, sf: str) -> DataFrame:
+    """One boosted round that splits on every hour predicts the training mean of each hour,
+    so the way from fitting to hourly errors can be followed in SQL."""
+    train, slots = _train_and_ahead(spark, sf)
+    one_round = Boosting(rounds=1, step=1.0, min_rows=1, depth=8)
+    models = fit_targets(as_doubles(train, ["Hour"]), ["Hour"], fixed.TARGETS, one_round)
+    predicted = models.predict(as_doubles(slots, ["Hour"])).select("datetime", *fixed.TARGETS)
+    hourly = fold.unfold(fold.recompose(predicted))
+    reality = hourly_load(spark, sf).select("datetime", F.col("puissance").alias("reality"))
+    return _rounded(metrics.with_row_error(hourly.join(reality, "datetime", "left")), ["puissance", "mape"])
+
+
+def rf_weekday_means(spark: SparkSession, sf: str) -> DataFrame:
+    """One deep tree over all rows, on a text factor, predicts the training mean of each weekday."""
+    train, slots = _train_and_ahead(spark, sf)
+    one_tree = Forest(trees=1, depth=10, min_rows=1, bootstrap=False)
+    models = fit_targets(train, ["Weekday"], fixed.TARGETS, one_tree, categories=["Weekday"])
+    return _rounded(models.predict(slots).select("datetime", *fixed.TARGETS), fixed.TARGETS)
+
+
 def model_io(spark: SparkSession, sf: str) -> DataFrame:
     """Saved and reloaded models predict what the fitted ones do."""
     train, slots = _train_and_ahead(spark, sf)
@@ -575,6 +595,8 @@ QUERIES = {
     "plot_data_load": plot_data_load,
     "gbt_forecast": gbt_forecast,
     "rf_forecast": rf_forecast,
+    "gbt_hour_means": gbt_hour_means,
+    "rf_weekday_means": rf_weekday_means,
     "model_io": model_io,
     "repeated_holdout": repeated_holdout,
     "scenario_sweep": scenario_sweep,
