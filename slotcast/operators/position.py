@@ -7,26 +7,28 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from slotcast.operators.sizing import lookup_side, settle
+from slotcast.session import fresh_path
 
 
-def with_position(df: DataFrame, time: str = "datetime", unit: str = "day", position: str = "position") -> DataFrame:
-    """Zero-based place of each row in time order. ``time`` must be unique.
+def with_position(df: DataFrame, time: str = "datetime", position: str = "position") -> DataFrame:
+    """Zero-based place of each row in time order.
 
-    Rows are ranked inside calendar units; a running total over units supplies the offset, so
-    a task holds one unit at most.
+    The rows are range-partitioned by time, sorted and written to the shared folder; a row's
+    place is its index in its file plus the rows of all earlier files. No task ranks more than
+    its own file.
     """
-    unit_of = F.date_trunc(unit, F.col(time))
-    per_unit = df.groupBy(unit_of.alias("unit")).agg(F.count(F.lit(1)).alias("rows"))
-    # one row per calendar unit
-    offsets, units = settle(per_unit.select(
-        "unit", (F.sum("rows").over(Window.orderBy("unit")) - F.col("rows")).alias("offset")))
-    ranked = df.withColumns({
-        "unit_": unit_of,
-        "rank_": F.row_number().over(Window.partitionBy(unit_of).orderBy(time)),
-    })
-    side = lookup_side(offsets, units)
-    return ranked.join(side, ranked["unit_"].eqNullSafe(side["unit"])).select(
-        *[ranked[c] for c in df.columns], (F.col("offset") + F.col("rank_") - 1).alias(position))
+    spark = df.sparkSession
+    path = fresh_path(spark, "ordered")
+    df.orderBy(time).write.parquet(path)
+    rows = spark.read.schema(df.schema).parquet(path).select(
+        "*", F.col("_metadata.file_name").alias("file_"), F.col("_metadata.row_index").alias("index_"))
+    files = rows.groupBy("file_").agg(F.count(F.lit(1)).alias("rows_"))
+    part = F.regexp_extract("file_", "part-([0-9]+)", 1).cast("int")
+    # one row per file
+    before = F.sum("rows_").over(Window.orderBy(part, "file_")) - F.col("rows_")
+    offsets, count = settle(files.select(F.col("file_").alias("k_file"), before.alias("before_")))
+    joined = rows.join(lookup_side(offsets, count), F.col("file_") == F.col("k_file"))
+    return joined.select(*df.columns, (F.col("before_") + F.col("index_")).alias(position))
 
 
 def read_positions(spark: SparkSession, path: str, schema: StructType | str, sep: str = ";",

@@ -75,20 +75,27 @@ def table_summary(df: DataFrame, columns: list[str]) -> DataFrame:
         "variable", "min", "q0 AS q1", "q1 AS median", "mean", "q2 AS q3", "max", "sd", "rows - n AS nulls")
 
 
+def _boxed(df: DataFrame, columns: list[str], reach: float) -> DataFrame:
+    """Known values beside the quartiles and fences of their column."""
+    boxes = exact_quantiles(df, columns, QUARTILES).selectExpr(
+        "variable AS k_variable", "q0 AS q1", "q1 AS median", "q2 AS q3",
+        f"q0 - {reach!r}D * (q2 - q0) AS low_fence", f"q2 + {reach!r}D * (q2 - q0) AS high_fence")
+    long = unpivot_measures(df, [], columns).filter("value IS NOT NULL")
+    # one box per column of the table
+    return long.join(F.broadcast(boxes), F.col("variable") == F.col("k_variable"))
+
+
 def box_numbers(df: DataFrame, columns: list[str], reach: float = 1.5) -> DataFrame:
     """Quartiles, whisker ends (last values within ``reach`` box lengths) and outlier count."""
-    boxes = exact_quantiles(df, columns, QUARTILES).select(
-        F.col("variable").alias("k_variable"), F.col("q0"), F.col("q1"), F.col("q2"),
-        (F.col("q0") - reach * (F.col("q2") - F.col("q0"))).alias("floor"),
-        (F.col("q2") + reach * (F.col("q2") - F.col("q0"))).alias("roof"),
-    )
-    long = unpivot_measures(df, [], columns).filter(F.col("value").isNotNull())
-    # one box per column of the table
-    joined = long.join(F.broadcast(boxes), F.col("variable") == F.col("k_variable"))
-    inside = F.col("value").between(F.col("floor"), F.col("roof"))
-    return joined.groupBy("variable", "q0", "q1", "q2").agg(
-        F.min(F.when(inside, F.col("value"))).alias("whisker_low"),
-        F.max(F.when(inside, F.col("value"))).alias("whisker_high"),
-        F.count_if(~inside).alias("outliers"),
-    ).select("variable", "whisker_low", F.col("q0").alias("q1"), F.col("q1").alias("median"),
-             F.col("q2").alias("q3"), "whisker_high", "outliers")
+    inside = "value BETWEEN low_fence AND high_fence"
+    return _boxed(df, columns, reach).groupBy("variable", "q1", "median", "q3").agg(
+        F.expr(f"min(CASE WHEN {inside} THEN value END) AS whisker_low"),
+        F.expr(f"max(CASE WHEN {inside} THEN value END) AS whisker_high"),
+        F.expr(f"count_if(NOT ({inside})) AS outliers"),
+    ).select("variable", "whisker_low", "q1", "median", "q3", "whisker_high", "outliers")
+
+
+def box_outliers(df: DataFrame, columns: list[str], reach: float = 1.5) -> DataFrame:
+    """The values beyond the whiskers, with how often they occur."""
+    beyond = _boxed(df, columns, reach).filter("NOT (value BETWEEN low_fence AND high_fence)")
+    return beyond.groupBy("variable", "value").agg(F.count(F.lit(1)).alias("times"))

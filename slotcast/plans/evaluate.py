@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import math
+import time
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,11 +11,12 @@ from pyspark.sql import functions as F
 from slotcast import fixed
 from slotcast.operators.combine import join_back
 from slotcast.operators.fold import recompose, unfold
-from slotcast.operators.metrics import error_metrics
+from slotcast.operators.metrics import error_metrics, with_row_error
 from slotcast.operators.split import Split, exact_splits
 from slotcast.plans.features import FINAL_SCENARIO, SCENARIOS, FeatureSet, prepare, prepare_many, project, union_of
 from slotcast.plans.models import Boosting, Forest, TargetModels, as_doubles, fit_targets, run_parallel
 from slotcast.session import materialise
+from slotcast.sources.delimited import write_result
 
 LEVELS = ["P0", "P1", "P2"]
 
@@ -45,13 +47,14 @@ def _split_table(data: DataFrame, features: FeatureSet) -> DataFrame:
     return data.select("datetime", *fixed.TARGETS, *levels, *features.variables)
 
 
-def _errors(models: TargetModels, test: DataFrame, columns: list[str], scenario: str, seed: int, strict: bool) -> DataFrame:
+RESULTS = "scenario string, repeat int, n bigint, mape double, rmse double, mae double"
+
+
+def _errors(models: TargetModels, test: DataFrame, columns: list[str], scenario: str, seed: int, strict: bool) -> tuple:
+    """One row of the results table."""
     asked = test.select("datetime", *[f"real_{p}" for p in LEVELS], *columns)
-    errors = error_metrics(level_pairs(models.predict(as_doubles(asked, columns))), strict=strict)
-    return errors.select(
-        F.lit(scenario).alias("scenario"), F.lit(seed).alias("repeat"), "n",
-        (F.col("mape") * 100).alias("mape"), "rmse", "mae",
-    )
+    row = error_metrics(level_pairs(models.predict(as_doubles(asked, columns))), strict=strict).first()
+    return scenario, seed, row["n"], None if row["mape"] is None else row["mape"] * 100, row["rmse"], row["mae"]
 
 
 def repeated_holdout(data: DataFrame, features: FeatureSet, learner: Boosting | Forest, seeds: list[int],
@@ -65,13 +68,13 @@ def repeated_holdout(data: DataFrame, features: FeatureSet, learner: Boosting |
     """
     splits = exact_splits(_split_table(data, features), "datetime", seeds, share, rounding="floor")
 
-    def one(split: Split) -> DataFrame:
+    def one(split: Split) -> tuple:
         train, test, columns = prepare(split.train, split.test, features, preparation, by)
         models = fit_targets(as_doubles(train, columns), columns, fixed.TARGETS, learner)
         return _errors(models, test, columns, scenario, split.seed, strict)
 
     rows = run_parallel(data.sparkSession, [lambda s=s: one(s) for s in splits.values()], parallelism)
-    return reduce(DataFrame.unionByName, rows)
+    return data.sparkSession.createDataFrame(rows, RESULTS)
 
 
 def scenario_sweep(data: DataFrame, learner: Boosting | Forest | None, seeds: list[int],
@@ -93,7 +96,7 @@ def scenario_sweep(data: DataFrame, learner: Boosting | Forest | None, seeds: li
             split.train, split.test, {n: SCENARIOS[n] for n in chosen}, preparation, by)
         return split, materialise(train), materialise(test), columns
 
-    def one(number: int, split: Split, train: DataFrame, test: DataFrame, columns: list[str]) -> DataFrame:
+    def one(number: int, split: Split, train: DataFrame, test: DataFrame, columns: list[str]) -> tuple:
         model = learner or Boosting.of(preparation, number)
         wanted = train.select(*fixed.TARGETS, *columns)
         models = fit_targets(as_doubles(wanted, columns), columns, fixed.TARGETS, model, parallelism=1)
@@ -105,7 +108,7 @@ def scenario_sweep(data: DataFrame, learner: Boosting | Forest | None, seeds: li
         lambda n=n, split=split, train=train, test=test, columns=columns: one(n, split, train, test, columns[n])
         for split, train, test, columns in ready for n in chosen
     ]
-    return reduce(DataFrame.unionByName, run_parallel(spark, jobs, parallelism))
+    return spark.createDataFrame(run_parallel(spark, jobs, parallelism), RESULTS)
 
 
 def forecast(train: DataFrame, ahead: DataFrame, scenario: int = FINAL_SCENARIO,
@@ -120,3 +123,37 @@ def forecast(train: DataFrame, ahead: DataFrame, scenario: int = FINAL_SCENARIO,
                                 preparation, targets, by)
     hourly = unfold(recompose(slots, chained))
     return join_back(hourly, project(ahead, features)), models
+
+
+def forecast_sweep(train: DataFrame, ahead: DataFrame, reality: DataFrame, learner: Boosting | Forest | None = None,
+                   scenarios: list[int] | None = None, preparation: str = "scale_group", by: list[str] | None = None,
+                   base: str | None = None, job: str = "forecast", parallelism: int = 2,
+                   strict: bool = True) -> DataFrame:
+    """Final forecasts of several feature sets against ``reality(datetime, reality)``.
+
+    One row per scenario with its errors. With ``base`` each forecast is also written there,
+    with row errors and the scenario's variables, under a run label of time, job and error.
+    """
+    chosen = scenarios or list(SCENARIOS)
+    sets = {n: SCENARIOS[n] for n in chosen}
+    every = union_of(list(sets.values()))
+    ready, asked, columns = prepare_many(
+        project(train, every, fixed.TARGETS), project(ahead, every), sets, preparation, by)
+    ready, asked = materialise(ready), materialise(asked)
+    spark = train.sparkSession
+
+    def one(number: int) -> tuple:
+        model = learner or Boosting.of(preparation, number)
+        wanted = ready.select(*fixed.TARGETS, *columns[number])
+        models = fit_targets(as_doubles(wanted, columns[number]), columns[number], fixed.TARGETS, model, parallelism=1)
+        slots = models.predict(as_doubles(asked.select("datetime", *columns[number]), columns[number]))
+        hourly = unfold(recompose(slots.select("datetime", *fixed.TARGETS))).join(reality, "datetime", "left")
+        row = error_metrics(hourly, strict=strict).first()
+        mape = None if row["mape"] is None else row["mape"] * 100
+        if base is not None:
+            label = f"{time.strftime('%Y%m%d_%H%M')}_{job}{number}_{mape if mape is not None else math.nan:.3f}"
+            scored = with_row_error(hourly.select("datetime", "puissance", "reality"))
+            write_result(join_back(scored, project(ahead, sets[number])), base, label)
+        return f"scenario {number}", 0, row["n"], mape, row["rmse"], row["mae"]
+
+    return spark.createDataFrame(run_parallel(spark, [lambda n=n: one(n) for n in chosen], parallelism), RESULTS)

@@ -251,6 +251,13 @@ SELECT slots.*, weather.* EXCLUDE (datetime), {calendar('slots.datetime')}, {fla
        {rose('vt_dir')} AS rose_vt
 FROM slots JOIN weather USING (datetime)
 WHERE P0 IS NOT NULL AND DP1 IS NOT NULL AND DP2 IS NOT NULL AND DP12 IS NOT NULL""",
+    "import_train": f"""WITH {LOAD}, {LEVELS}, {SLOTS}, {WEATHER}
+SELECT slots.*, weather.* EXCLUDE (datetime), {calendar('slots.datetime')}, {flags('slots.datetime')},
+       {rose('vt_dir')} AS rose_vt
+FROM slots JOIN weather USING (datetime)
+WHERE P0 IS NOT NULL AND DP1 IS NOT NULL AND DP2 IS NOT NULL AND DP12 IS NOT NULL""",
+    "import_ahead": f"""WITH {WEATHER} SELECT *, {calendar('datetime')}, {flags('datetime')}, {rose('vt_dir')} AS rose_vt
+FROM weather WHERE datetime <= TIMESTAMP '2024-01-29 23:00:00'""",
     "join_back_left": f"WITH {LOAD}, {WEATHER} SELECT load.*, weather.* EXCLUDE (datetime) FROM load LEFT JOIN weather USING (datetime)",
     "tagged_union": f"""WITH {LOAD} SELECT *, CASE WHEN datetime >= {START} THEN 'test' ELSE 'train' END AS DATA_ FROM load""",
     "positional_attach": f"WITH {LOAD} SELECT datetime, puissance, puissance * 2 + 1 AS reality FROM load",
@@ -263,6 +270,12 @@ FROM p WHERE nb_na >= 1""",
     "table_summary": f"WITH gaps AS ({GAPS}) " + " UNION ALL ".join(_summary(c) for c in MEASURES),
     "boxplot_stats": f"""WITH v AS (SELECT value, CASE WHEN event_type <> 'error' THEN value END AS valid FROM events)
 {_whiskers('value', 'value')} UNION ALL {_whiskers('valid', 'valid')}""",
+    "boxplot_outliers": """WITH v AS (SELECT value, CASE WHEN event_type <> 'error' THEN value END AS valid FROM events),
+a AS (SELECT quantile_cont(value, 0.25) AS p, quantile_cont(value, 0.75) AS q FROM v),
+b AS (SELECT quantile_cont(valid, 0.25) AS p, quantile_cont(valid, 0.75) AS q FROM v)
+SELECT 'value' AS variable, value, count(*) AS times FROM v, a WHERE value < p - 1.5 * (q - p) OR value > q + 1.5 * (q - p) GROUP BY 2
+UNION ALL
+SELECT 'valid' AS variable, valid, count(*) AS times FROM v, b WHERE valid < p - 1.5 * (q - p) OR valid > q + 1.5 * (q - p) GROUP BY 2""",
     "boxplot_groups": f"WITH gaps AS ({GAPS}) " + " UNION ALL ".join(
         f"""SELECT l_returnflag, l_linestatus, '{c}' AS variable, count({c}) AS n, {r6(f'quantile_cont({c}, 0.25)')} AS q0,
 {r6(f'quantile_cont({c}, 0.5)')} AS q1, {r6(f'quantile_cont({c}, 0.75)')} AS q2 FROM gaps GROUP BY 1, 2""" for c in MEASURES),

@@ -19,6 +19,7 @@ from slotcast.operators.encode import OneHot
 from slotcast.operators.scaling import GroupImputeGlobalScale, Standardiser
 from slotcast.operators.split import exact_split, exact_splits
 from slotcast.plans import evaluate, plotdata
+from slotcast.plans.build import build_tables
 from slotcast.plans.features import SCENARIOS, project, training_table, weather_features
 from slotcast.plans.features import prepare as prepare_features
 from slotcast.plans.models import Boosting, Forest, TargetModels, as_doubles, fit_targets
@@ -197,7 +198,7 @@ def unfold_predictions(spark: SparkSession, sf: str) -> DataFrame:
     slots = materialise(fold_hours(spark, sf))
     direct = fold.unfold(fold.recompose(slots))
     chained = fold.unfold(fold.recompose(slots, chained=True), value="chained")
-    both = materialise(direct.join(chained, "datetime"))
+    both = direct.join(chained, "datetime")
     return position.with_position(both).select("datetime", r6(F.col("puissance")).alias("puissance"),
                                                r6(F.col("chained")).alias("chained"), "position")
 
@@ -211,6 +212,31 @@ def join_weather_filter(spark: SparkSession, sf: str) -> DataFrame:
     return training_table(hourly_load(spark, sf), weather, required=["P0", "DP1", "DP2", "DP12"])
 
 
+def _input_files(spark: SparkSession, sf: str) -> tuple[str, str, str]:
+    """The two series as raw files: stamps one second early with offset, day-first stamps, copies."""
+    load = hourly_load(spark, sf).select(
+        F.concat(F.date_format(F.timestamp_add("SECOND", F.lit(-1), F.col("datetime")), "yyyy-MM-dd'T'HH:mm:ss"),
+                 F.lit("+02:00")).alias("Date"), "puissance")
+    weather = slot_weather(spark, sf).withColumn("datetime", F.date_format("datetime", "dd/MM/yy HH'h'mm"))
+    weather = clean.rename_by_position(weather, ["Date UTC", *[f"measure {i}" for i in range(len(weather.columns) - 1)]])
+    paths = tuple(fresh_path(spark, n) for n in ("load", "weather", "ahead"))
+    write_delimited(load.unionByName(load.filter(F.col("puissance") > 50)), paths[0], decimal=".")
+    write_delimited(weather.unionByName(weather.filter(F.col("measure 0").isNotNull())), paths[1], decimal=".", missing="")
+    write_delimited(weather, paths[2], decimal=".", missing="")
+    return paths
+
+
+def import_train(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw files to the stored training table."""
+    return build_tables(spark, *_input_files(spark, sf), fresh_path(spark, "tables"))["data_train"]
+
+
+def import_ahead(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw files to the stored forecast input, up to a time bound."""
+    tables = build_tables(spark, *_input_files(spark, sf), fresh_path(spark, "tables"), forecast_end="2024-01-29 23:00:00")
+    return tables["data_prev"]
+
+
 def join_back_left(spark: SparkSession, sf: str) -> DataFrame:
     return combine.join_back(hourly_load(spark, sf), slot_weather(spark, sf))
 
@@ -264,6 +290,11 @@ def boxplot_stats(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(out, ["whisker_low", "q1", "median", "q3", "whisker_high"])
 
 
+def boxplot_outliers(spark: SparkSession, sf: str) -> DataFrame:
+    values = table(spark, sf, "events").select("value", F.when(F.col("event_type") != "error", F.col("value")).alias("valid"))
+    return profile.box_outliers(values, ["value", "valid"])
+
+
 def boxplot_groups(spark: SparkSession, sf: str) -> DataFrame:
     """Quartiles per group and measure."""
     from slotcast.operators.quantiles import exact_quantiles
@@ -528,8 +559,21 @@ def repeated_holdout(spark: SparkSession, sf: str) -> DataFrame:
 def scenario_sweep(spark: SparkSession, sf: str) -> DataFrame:
     train, _ = _train_and_ahead(spark, sf)
     small = Boosting(rounds=2, step=0.1, min_rows=5, depth=3)
-    results = materialise(evaluate.scenario_sweep(train, small, seeds=[1], parallelism=4))
-    return metrics.leaderboard(results)
+    return metrics.leaderboard(evaluate.scenario_sweep(train, small, seeds=[1], parallelism=4))
+
+
+def forecast_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    """The forecast of every scenario, written to result files and read back."""
+    train, slots = _train_and_ahead(spark, sf)
+    small = Boosting(rounds=2, step=0.1, min_rows=5, depth=3)
+    reality = materialise(hourly_load(spark, sf).select("datetime", F.col("puissance").alias("reality")))
+    base = fresh_path(spark, "submissions")
+    errors = evaluate.forecast_sweep(train, slots, reality, small, base=base, parallelism=4, strict=False)
+    written = spark.read.option("header", True).option("sep", ";").csv(base)
+    hours = written.groupBy("run").agg(F.count(F.lit(1)).alias("hours"))
+    number = F.regexp_extract("run", "_forecast([0-9]+)_", 1)
+    # one run per scenario
+    return errors.join(F.broadcast(hours), F.concat(F.lit("scenario "), number) == F.col("scenario"), "left").drop("repeat")
 
 
 def final_forecast(spark: SparkSession, sf: str) -> DataFrame:
@@ -563,6 +607,8 @@ QUERIES = {
     "unfold_predictions": unfold_predictions,
     "unpivot_measures": unpivot_measures,
     "join_weather_filter": join_weather_filter,
+    "import_train": import_train,
+    "import_ahead": import_ahead,
     "join_back_left": join_back_left,
     "tagged_union": tagged_union,
     "positional_attach": positional_attach,
@@ -570,6 +616,7 @@ QUERIES = {
     "na_profile": na_profile,
     "table_summary": table_summary,
     "boxplot_stats": boxplot_stats,
+    "boxplot_outliers": boxplot_outliers,
     "boxplot_groups": boxplot_groups,
     "profile_month_hour": profile_month_hour,
     "profile_year_month_hour": profile_year_month_hour,
@@ -600,6 +647,7 @@ QUERIES = {
     "model_io": model_io,
     "repeated_holdout": repeated_holdout,
     "scenario_sweep": scenario_sweep,
+    "forecast_sweep": forecast_sweep,
     "final_forecast": final_forecast,
 }
 
