@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -10,6 +10,11 @@ from slotcast.operators.sizing import lookup_side, settle
 from slotcast.session import fresh_path
 
 
+def _part(file: str) -> Column:
+    """The number of a written part, so that part 100000 comes after part 99999."""
+    return F.regexp_extract(file, "part-([0-9]+)", 1).try_cast("int")
+
+
 def with_position(df: DataFrame, time: str = "datetime", position: str = "position") -> DataFrame:
     """Zero-based place of each row in time order.
 
@@ -23,9 +28,8 @@ def with_position(df: DataFrame, time: str = "datetime", position: str = "positi
     rows = spark.read.schema(df.schema).parquet(path).select(
         "*", F.col("_metadata.file_name").alias("file_"), F.col("_metadata.row_index").alias("index_"))
     files = rows.groupBy("file_").agg(F.count(F.lit(1)).alias("rows_"))
-    part = F.regexp_extract("file_", "part-([0-9]+)", 1).cast("int")
     # one row per file
-    before = F.sum("rows_").over(Window.orderBy(part, "file_")) - F.col("rows_")
+    before = F.sum("rows_").over(Window.orderBy(_part("file_"), "file_")) - F.col("rows_")
     offsets, count = settle(files.select(F.col("file_").alias("k_file"), before.alias("before_")))
     joined = rows.join(lookup_side(offsets, count), F.col("file_") == F.col("k_file"))
     return joined.select(*df.columns, (F.col("before_") + F.col("index_")).alias(position))
@@ -36,7 +40,7 @@ def read_positions(spark: SparkSession, path: str, schema: StructType | str, sep
     """A headerless delimited file with the zero-based line position of every row.
 
     Each file block is read in order by one task, so a row's place is its offset in the block
-    plus the rows of all earlier blocks (by file name, then block start). Only one row per
+    plus the rows of all earlier blocks (by part number, file name, then block start). Only one row per
     block is shuffled.
     """
     raw = spark.read.schema(schema).option("sep", sep).csv(path)
@@ -48,7 +52,7 @@ def read_positions(spark: SparkSession, path: str, schema: StructType | str, sep
         F.monotonically_increasing_id().alias("id_"),
     )
     blocks = rows.groupBy("file_", "start_").agg(F.min("id_").alias("first_"), F.count(F.lit(1)).alias("rows_"))
-    before = F.sum("rows_").over(Window.orderBy("file_", "start_")) - F.col("rows_")
+    before = F.sum("rows_").over(Window.orderBy(_part("file_"), "file_", "start_")) - F.col("rows_")
     offsets, count = settle(blocks.select(
         F.col("file_").alias("k_file"), F.col("start_").alias("k_start"), "first_", before.alias("before_")))
     side = lookup_side(offsets, count)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import time
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,7 +58,8 @@ def _errors(models: TargetModels, test: DataFrame, columns: list[str], scenario:
     return scenario, seed, row["n"], None if row["mape"] is None else row["mape"] * 100, row["rmse"], row["mae"]
 
 
-def repeated_holdout(data: DataFrame, features: FeatureSet, learner: Boosting | Forest, seeds: list[int],
+def repeated_holdout(data: DataFrame, features: FeatureSet, learner: Boosting | Forest,
+                     seeds: Sequence[int] = range(fixed.HOLDOUT_REPEATS),
                      scenario: str = "final", preparation: str = "scale_group", by: list[str] | None = None,
                      share: float = fixed.HOLDOUT_TRAIN_SHARE, parallelism: int = 2,
                      strict: bool = False) -> DataFrame:
@@ -66,7 +68,7 @@ def repeated_holdout(data: DataFrame, features: FeatureSet, learner: Boosting |
     ``data`` has the targets, the levels P0, P1, P2 and the variables; it is read many times,
     so pass a stored table.
     """
-    splits = exact_splits(_split_table(data, features), "datetime", seeds, share, rounding="floor")
+    splits = exact_splits(_split_table(data, features), "datetime", list(seeds), share, rounding="floor")
 
     def one(split: Split) -> tuple:
         train, test, columns = prepare(split.train, split.test, features, preparation, by)
@@ -77,7 +79,8 @@ def repeated_holdout(data: DataFrame, features: FeatureSet, learner: Boosting |
     return data.sparkSession.createDataFrame(rows, RESULTS)
 
 
-def scenario_sweep(data: DataFrame, learner: Boosting | Forest | None, seeds: list[int],
+def scenario_sweep(data: DataFrame, learner: Boosting | Forest | None = None,
+                   seeds: Sequence[int] = range(fixed.HOLDOUT_REPEATS),
                    scenarios: list[int] | None = None, preparation: str = "scale_group",
                    by: list[str] | None = None, share: float = fixed.HOLDOUT_TRAIN_SHARE,
                    parallelism: int = 2, strict: bool = False) -> DataFrame:
@@ -89,7 +92,7 @@ def scenario_sweep(data: DataFrame, learner: Boosting | Forest | None, seeds: li
     """
     chosen = scenarios or list(SCENARIOS)
     everything = union_of([SCENARIOS[n] for n in chosen])
-    splits = exact_splits(_split_table(data, everything), "datetime", seeds, share, rounding="floor")
+    splits = exact_splits(_split_table(data, everything), "datetime", list(seeds), share, rounding="floor")
 
     def prepared(split: Split) -> tuple[Split, DataFrame, DataFrame, dict[int, list[str]]]:
         train, test, columns = prepare_many(

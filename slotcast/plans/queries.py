@@ -16,6 +16,7 @@ from slotcast.functions import stamps
 from slotcast.functions.direction import circular_mean, direction_class
 from slotcast.operators import clean, combine, fold, metrics, position, profile
 from slotcast.operators.encode import OneHot
+from slotcast.operators.quantiles import exact_quantiles
 from slotcast.operators.scaling import GroupImputeGlobalScale, Standardiser
 from slotcast.operators.split import exact_split, exact_splits
 from slotcast.plans import evaluate, plotdata
@@ -23,9 +24,7 @@ from slotcast.plans.build import build_tables
 from slotcast.plans.features import SCENARIOS, project, training_table, weather_features
 from slotcast.plans.features import prepare as prepare_features
 from slotcast.plans.models import Boosting, Forest, TargetModels, as_doubles, fit_targets
-from slotcast.plans.tables import (
-    FORECAST_START, ahead, cents, hourly_load, measures_with_gaps, slot_weather, table,
-)
+from slotcast.plans.tables import ahead, cents, hourly_load, measures_with_gaps, slot_weather, table
 from slotcast.session import fresh_path, materialise, prepare
 from slotcast.sources.delimited import read_delimited, read_results, write_delimited, write_result
 from slotcast.sources.naming import run_label
@@ -297,8 +296,6 @@ def boxplot_outliers(spark: SparkSession, sf: str) -> DataFrame:
 
 def boxplot_groups(spark: SparkSession, sf: str) -> DataFrame:
     """Quartiles per group and measure."""
-    from slotcast.operators.quantiles import exact_quantiles
-
     out = exact_quantiles(measures_with_gaps(spark, sf, FLAGS_BY), MEASURES, profile.QUARTILES, FLAGS_BY)
     return _rounded(out, ["q0", "q1", "q2"])
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, FloatType, NumericType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, FloatType, NumericType, StringType, StructField, StructType
 
 
 def read_delimited(
@@ -46,6 +46,8 @@ def _as_text(df: DataFrame, decimal: str) -> DataFrame:
         text = F.col(f"`{f.name}`").cast("string")
         if decimal != "." and isinstance(f.dataType, (DoubleType, FloatType)):
             text = F.replace(text, F.lit("."), F.lit(decimal))
+        elif isinstance(f.dataType, BooleanType):
+            text = F.upper(text)
         return text.alias(f.name)
 
     return df.select(*[cell(f) for f in df.schema.fields])
@@ -53,7 +55,7 @@ def _as_text(df: DataFrame, decimal: str) -> DataFrame:
 
 def write_delimited(df: DataFrame, path: str, sep: str = ";", decimal: str = ",", missing: str = "NA",
                     header: bool = True, mode: str = "errorifexists") -> None:
-    """Write text with decimal commas; NULL becomes ``missing``."""
+    """Write text with decimal commas and TRUE/FALSE; NULL becomes ``missing``."""
     (
         _as_text(df, decimal).write.mode(mode).option("sep", sep).option("header", header)
         .option("nullValue", missing).option("emptyValue", "").csv(path)
