@@ -15,8 +15,10 @@ def _part(file: str) -> Column:
     return F.regexp_extract(file, "part-([0-9]+)", 1).try_cast("int")
 
 
-def with_position(df: DataFrame, time: str = "datetime", position: str = "position") -> DataFrame:
-    """Zero-based place of each row in time order.
+def with_position(df: DataFrame, time: str = "datetime", position: str = "position",
+                  ties: list[str] | None = None) -> DataFrame:
+    """Zero-based place of each row in time order; ``ties`` order rows of equal time and let
+    them spread over several files.
 
     The rows are range-partitioned by time, sorted and written to the shared folder; a row's
     place is its index in its file plus the rows of all earlier files. No task ranks more than
@@ -24,7 +26,7 @@ def with_position(df: DataFrame, time: str = "datetime", position: str = "positi
     """
     spark = df.sparkSession
     path = fresh_path(spark, "ordered")
-    df.orderBy(time).write.parquet(path)
+    df.orderBy(time, *(ties or [])).write.parquet(path)
     rows = spark.read.schema(df.schema).parquet(path).select(
         "*", F.col("_metadata.file_name").alias("file_"), F.col("_metadata.row_index").alias("index_"))
     files = rows.groupBy("file_").agg(F.count(F.lit(1)).alias("rows_"))

@@ -104,10 +104,14 @@ class StandardiserModel:
 @dataclass(frozen=True)
 class GroupImputeGlobalScale:
     """Impute by group, then centre and scale over all rows, from one pass over the data:
-    the overall mean and deviation of the imputed rows follow from the group statistics."""
+    the overall mean and deviation of the imputed rows follow from the group statistics.
+
+    With ``rescale=False`` the second step only fills, with the overall mean, what the groups
+    could not fill."""
 
     columns: list[str]
     by: list[str]
+    rescale: bool = True
 
     def fit(self, train: DataFrame) -> "GroupImputeGlobalScaleModel":
         imputer = Standardiser(self.columns, self.by, center=False, scale=False).fit(train)
@@ -134,7 +138,7 @@ class GroupImputeGlobalScale:
             n = first[f"{c}_n"] or 0
             sd = (second[c] / (n - 1)) ** 0.5 if n > 1 else None
             constants[c] = (first[f"{c}_mean"], sd)
-        scaler = Standardiser(self.columns, na_replace=False)
+        scaler = Standardiser(self.columns, na_replace=not self.rescale, center=self.rescale, scale=self.rescale)
         return GroupImputeGlobalScaleModel(imputer, StandardiserModel(scaler, numeric, None, 1, constants))
 
 

@@ -64,7 +64,8 @@ def _scaler(preparation: str, numerics: list[str], by: list[str] | None) -> Stan
     if preparation == "impute_global_scale_global":
         return Standardiser(numerics)
     if preparation == "impute_group":
-        return Standardiser(numerics, by, center=False, scale=False)
+        # models can not take what a group leaves unknown, and 0 is no mean here
+        return GroupImputeGlobalScale(numerics, by, rescale=False)
     if preparation == "impute_group_scale_global":
         return GroupImputeGlobalScale(numerics, by)
     if preparation == "scale_group":

@@ -70,6 +70,13 @@ def test_group_impute_global_scale_matches_two_steps(spark):
     assert statistics.fmean(v for v in got.values() if v is not None) == pytest.approx(0, abs=1e-6)
 
 
+def test_groups_without_values_can_take_the_overall_mean(spark):
+    train = frame(spark, [(1, "a", 1.0), (2, "a", None), (3, "b", 7.0), (4, "void", None)])
+    model = GroupImputeGlobalScale(["x"], ["g"], rescale=False).fit(train)
+    assert by_id(model.transform(train)) == {1: 1.0, 2: 1.0, 3: 7.0, 4: 3.0}
+    assert by_id(model.transform(frame(spark, [(5, "new", None), (6, "new", 2.0)]))) == {5: 3.0, 6: 2.0}
+
+
 def test_global_scaler_is_a_projection(spark, plan):
     df = frame(spark, [(1, "a", 1.0), (2, "b", 3.0), (3, "b", None)])
     out = Standardiser(["g", "x"]).fit(df).transform(df)
