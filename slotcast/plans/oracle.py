@@ -362,6 +362,18 @@ means AS (SELECT dayname(datetime) AS d, avg(P0) AS P0, avg(DP1) AS DP1, avg(DP2
           FROM slots JOIN weather USING (datetime) WHERE P0 IS NOT NULL AND datetime < {START} GROUP BY 1)
 SELECT datetime, {r6('P0')} AS "P0", {r6('DP1')} AS "DP1", {r6('DP2')} AS "DP2"
 FROM weather JOIN means ON dayname(datetime) = d WHERE datetime >= {START}""",
+    "holdout_hour_means": f"""WITH {LOAD}, {LEVELS}, {WEATHER},
+train AS (SELECT levels.* FROM levels JOIN weather USING (datetime) WHERE P0 IS NOT NULL AND datetime < {START}),
+hashed AS (SELECT *, hour(datetime) AS h, {_split_hash('CAST(repeat AS VARCHAR)', 'datetime')} AS hash
+           FROM train, (SELECT CAST(unnest([1, 2, 3]) AS INTEGER) AS repeat)),
+runs AS (SELECT *, row_number() OVER (PARTITION BY repeat ORDER BY hash, datetime)
+         <= floor(0.79 * (SELECT count(*) FROM train)) AS is_train FROM hashed),
+means AS (SELECT repeat, h, avg(P0) AS m0, avg(P1 - P0) AS m1, avg(P2 - P0) AS m2 FROM runs WHERE is_train GROUP BY 1, 2),
+held AS (SELECT runs.*, m0, m1, m2 FROM runs JOIN means USING (repeat, h) WHERE NOT is_train),
+pairs AS (SELECT repeat, m0 AS p, P0 AS y FROM held UNION ALL SELECT repeat, m0 + m1, P1 FROM held
+          UNION ALL SELECT repeat, m0 + m2, P2 FROM held)
+SELECT 'hour means' AS scenario, repeat, count(*) AS n, {r6('avg(abs((y - p) / nullif(y, 0))) * 100')} AS mape,
+       {r6('sqrt(avg((y - p) ** 2))')} AS rmse, {r6('avg(abs(y - p))')} AS mae FROM pairs GROUP BY repeat""",
     "model_io": f"""WITH {WEATHER} SELECT datetime, TRUE AS "same_P0", TRUE AS "same_DP1", TRUE AS "same_DP2"
 FROM weather WHERE datetime >= {START}""",
 }

@@ -21,7 +21,7 @@ from slotcast.operators.scaling import GroupImputeGlobalScale, Standardiser
 from slotcast.operators.split import exact_split, exact_splits
 from slotcast.plans import evaluate, plotdata
 from slotcast.plans.build import build_tables
-from slotcast.plans.features import SCENARIOS, project, training_table, weather_features
+from slotcast.plans.features import SCENARIOS, FeatureSet, project, training_table, weather_features
 from slotcast.plans.features import prepare as prepare_features
 from slotcast.plans.models import Boosting, Forest, TargetModels, as_doubles, fit_targets
 from slotcast.plans.tables import ahead, cents, hourly_load, measures_with_gaps, slot_weather, table
@@ -553,6 +553,15 @@ def repeated_holdout(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.repeated_holdout(train, SCENARIOS[7], SMALL_BOOST, seeds=[1, 2])
 
 
+def holdout_hour_means(spark: SparkSession, sf: str) -> DataFrame:
+    """Repeated hold-out of a model that predicts the training mean of each hour."""
+    train, _ = _train_and_ahead(spark, sf)
+    only_hour = FeatureSet(factors=[], numerics=[], others=["Hour"])
+    one_round = Boosting(rounds=1, step=1.0, min_rows=1, depth=8)
+    errors = evaluate.repeated_holdout(train, only_hour, one_round, seeds=[1, 2, 3], scenario="hour means", parallelism=3)
+    return _rounded(errors, ["mape", "rmse", "mae"])
+
+
 def scenario_sweep(spark: SparkSession, sf: str) -> DataFrame:
     train, _ = _train_and_ahead(spark, sf)
     small = Boosting(rounds=2, step=0.1, min_rows=5, depth=3)
@@ -643,6 +652,7 @@ QUERIES = {
     "rf_weekday_means": rf_weekday_means,
     "model_io": model_io,
     "repeated_holdout": repeated_holdout,
+    "holdout_hour_means": holdout_hour_means,
     "scenario_sweep": scenario_sweep,
     "forecast_sweep": forecast_sweep,
     "final_forecast": final_forecast,
