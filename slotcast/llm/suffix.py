@@ -144,13 +144,13 @@ def repeated_passages(
     kind = docs.schema[id_column].dataType.simpleString()
     texts = docs.select(F.col(id_column).alias("id"), F.hash(F.lit(1), F.col(text_column)).alias("version"), F.col(text_column).alias("text")).where("text is not null")
     kept = materialise(texts.mapInArrow(_anchors(min_words, gram), f"id {kind}, version int, start int, count int, seed long, span long"))
-    # a gram that occurs at one place has no partner
-    shared = kept.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed")
+    # a gram that occurs at one place has no partner; counts are written, so that Spark can split a hot gram in the join
+    shared = materialise(kept.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed"))
     members = materialise(kept.join(shared, "seed", "left_semi").distinct())
     spans = materialise(
         members.groupBy("seed", "span").agg(F.count("*").alias("n"), F.min(F.struct("id", "start", "version", "count")).alias("first"))
     )
-    mixed = spans.groupBy("seed").agg(F.count("*").alias("kinds")).where("kinds > 1").select("seed")
+    mixed = materialise(spans.groupBy("seed").agg(F.count("*").alias("kinds")).where("kinds > 1").select("seed"))
     # extend only where surroundings differ; the first member stands for its kind
     differing = materialise(spans.join(mixed, "seed", "left_semi"))
     wanted = differing.groupBy(F.col("first.id").alias("id"), F.col("first.version").alias("version")).agg(
@@ -162,7 +162,7 @@ def repeated_passages(
         .join(differing.select("span", "n", "first"), "span")
         .select("span", "step", "window", "n", F.struct(F.col("first.id").alias("id"), (F.col("first.start") + F.col("step")).alias("start")).alias("source"))
     )
-    sources = windows.groupBy("window").agg(F.sum("n").alias("n"), F.min("source").alias("source")).where("n > 1")
+    sources = materialise(windows.groupBy("window").agg(F.sum("n").alias("n"), F.min("source").alias("source")).where("n > 1").drop("n"))
     extended = windows.select("span", "step", "window").join(sources, "window").select("span", "step", "source", F.lit(1).alias("length"))
     whole = (
         spans.where("n > 1").join(mixed, "seed", "left_anti")
