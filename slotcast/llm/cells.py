@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slotcast.session import materialise
+
 CELL = ["_i", "_j"]
 SMALL = 32
 
@@ -18,7 +20,8 @@ def deal(keyed: DataFrame, keys: list[str], spread: str, block: int) -> DataFram
     A bucket of n rows is cut into ceil(n / block) parts by a hash of ``spread``; cell (i, j) holds parts i and j,
     so that every pair of rows meets in one cell and no task ever holds more than one cell. Buckets of one row go.
     """
-    sizes = keyed.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1")
+    # written, so that both sides of the join are shuffled for it and a hot bucket can be split
+    sizes = materialise(keyed.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1"))
     parts = F.ceil(F.col("_n") / F.lit(block)).cast("int")
     cut = (
         keyed.join(sizes, keys)

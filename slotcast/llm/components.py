@@ -12,7 +12,7 @@ from slotcast.session import materialise
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the node's smallest neighbour."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a"), F.least("a", "least").alias("least"))
+    least = materialise(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a"), F.least("a", "least").alias("least")))
     return (
         both.join(least, "a").where(F.col("b") > F.col("a"))
         .select(F.col("b").alias("a"), F.col("least").alias("b")).where("a <> b").distinct()
@@ -22,7 +22,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are linked to the smallest of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("least"))
+    least = materialise(down.groupBy("a").agg(F.min("b").alias("least")))
     moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
     return moved.union(least.select("a", F.col("least").alias("b"))).where("a <> b").distinct()
 
@@ -32,8 +32,8 @@ def components(edges: DataFrame) -> DataFrame:
     smallest node that links reach. Loops, repeated edges and either direction are accepted; rows with
     NULL are ignored; no edges give no rows.
 
-    Each round is two joins on node; minima and distinct edges are combined before the shuffle and
-    adaptive execution splits a hub's rows. A round is written to the shared folder, so lineage
+    Each round is two joins on node; minima and distinct edges are combined before the shuffle. Minima are written, so that
+    adaptive execution can split a hub's rows in the join. A round is written to the shared folder, so lineage
     stays short and lost executors cost one round. Only a count and a checksum reach the driver.
     """
     now = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())

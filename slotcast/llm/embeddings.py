@@ -132,7 +132,7 @@ def near_duplicates(
         classes.select("node", "copies", "least", "vector").join(links, "node", "left").join(roots, "node", "left")
         .select("node", "vector", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("root", "node").alias("root"))
     )
-    lowest = named.groupBy("root").agg(F.min("least").alias("lowest"))
+    lowest = materialise(named.groupBy("root").agg(F.min("least").alias("lowest")))
     by_vector = named.join(lowest, "root").select(F.col("vector").alias("_vector"), "links", "lowest")
     joined = all_rows.select("id", F.when(F.col("_good"), F.col("vector")).alias("_own")).join(by_vector, F.col("_own") == F.col("_vector"), "left")
     component = F.when(F.col("links").isNull(), F.col("id")).otherwise(F.col("lowest"))

@@ -36,7 +36,8 @@ def _leaves(rows: DataFrame, low: int, high: int, limit: int) -> DataFrame:
     fits = levels.groupBy("depth", "bucket").agg(F.sum("total").alias("total"), F.min("first").alias("first"), F.max("last").alias("last")).where(
         (F.col("total") <= limit) | (F.col("first") == F.col("last"))
     )
-    found = levels.select("prefix", "depth", "bucket").join(fits.select("depth", "bucket", F.col("total").alias("held")), ["depth", "bucket"])
+    fits = materialise(fits.select("depth", "bucket", F.col("total").alias("held")))
+    found = levels.select("prefix", "depth", "bucket").join(fits, ["depth", "bucket"])
     best = found.groupBy("prefix").agg(F.min(F.struct("depth", "held")).alias("leaf"))
     return materialise(best.select("prefix", F.col("leaf.depth").alias("depth"), F.col("leaf.held").alias("held")))
 

@@ -119,7 +119,7 @@ def near_duplicates(
     marked = materialise(fingerprinted(docs, text_column, [id_column], words, seed).select(F.col(id_column).alias("id"), F.col("_fingerprint").alias("fingerprint")))
     distinct = materialise(marked.groupBy(F.col("fingerprint").alias("value")).agg(F.min("id").alias("least")))
     nodes = rooted(distinct, radius, block)
-    lowest = nodes.groupBy("root").agg(F.min("least").alias("component"))
+    lowest = materialise(nodes.groupBy("root").agg(F.min("least").alias("component")))
     named = nodes.join(lowest, "root").select("value", "component")
     return marked.join(named, F.col("fingerprint") == F.col("value")).select("id", "fingerprint", "component")
 

@@ -106,7 +106,8 @@ def judge(pages: DataFrame, rules: DataFrame, url_column: str = "url", default:
     else:
         salted = listed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         exact = hits.withColumn("_salt", F.pmod(F.xxhash64("host", "path"), F.lit(SALTS)).cast("int")).join(salted, [*keys, "_salt"])
-    verdicts = exact.groupBy(F.col("host").alias("_host"), F.col("path").alias("_path")).agg(F.max(F.struct(F.length("entry"), "entry", "listed")).alias("_best"))
+    # written, so that a hot page can be split in the join
+    verdicts = materialise(exact.groupBy(F.col("host").alias("_host"), F.col("path").alias("_path")).agg(F.max(F.struct(F.length("entry"), "entry", "listed")).alias("_best")))
     joined = split.join(verdicts, (F.col("host") == F.col("_host")) & (F.col("path") == F.col("_path")), "left")
     return joined.select(
         *[F.col(f"`{c}`") for c in bare.columns], "host", "path", F.col("_best.entry").alias("rule"), F.coalesce(F.col("_best.listed"), F.lit(default)).alias("verdict")
