@@ -4,30 +4,29 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import OneHotEncoder, StringIndexer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotcast.fixed import LEVELS
 from slotcast.functions.quoting import name, text
 
-MAX_LEVELS = 1000
 _SHORT = {"y", "n", "Y", "N"}
 
 
 def find_levels(train: DataFrame, variables: list[str]) -> dict[str, list]:
-    """Sorted known values of each variable, from one aggregation. More than ``MAX_LEVELS``
-    is an error: every level becomes a column."""
+    """Sorted known values of each variable, from one aggregation. They are the fitted metadata of
+    the column form, where every level becomes a column; for a variable with very many, use :class:`SparseOneHot`."""
     missing = [v for v in variables if v not in LEVELS]
     levels = {v: list(LEVELS[v]) for v in variables if v in LEVELS}
     if missing:
         pairs = train.select(F.inline(F.array(*[
             F.struct(F.lit(v).alias("variable"), F.col(v).cast("string").alias("text")) for v in missing
         ]))).filter(F.col("text").isNotNull()).distinct()
-        found = pairs.limit(MAX_LEVELS * len(missing) + 1).collect()
+        found = pairs.collect()
         for v in missing:
             values = [r["text"] for r in found if r["variable"] == v]
-            if len(values) > MAX_LEVELS or len(found) > MAX_LEVELS * len(missing):
-                raise ValueError(f"{v} has more than {MAX_LEVELS} levels")
             kind = train.schema[v].dataType.simpleString()
             number = kind in ("int", "bigint", "smallint", "tinyint", "double", "float")
             levels[v] = sorted(values, key=float) if number else sorted(values)
@@ -82,3 +81,39 @@ class OneHotModel:
         ]
         kept = [c for c in df.columns if not (self.remove and c in self.levels)]
         return df.selectExpr(*[name(c) for c in kept], *flags)
+
+
+@dataclass(frozen=True)
+class SparseOneHot:
+    """One sparse vector per variable in place of 0/1 columns, in ``<variable>_vector``; any number of levels."""
+
+    variables: list[str]
+    remove: bool = True
+
+    def fit(self, train: DataFrame) -> "SparseOneHotModel":
+        """Levels are the known values as text, in alphabetical order."""
+        texts = train.select(*[F.col(name(v)).cast("string").alias(f"{v}_text_") for v in self.variables])
+        steps = [
+            StringIndexer(inputCols=[f"{v}_text_" for v in self.variables], outputCols=[f"{v}_index_" for v in self.variables],
+                          handleInvalid="keep", stringOrderType="alphabetAsc"),
+            # unknown texts and NULL have the index after the last level: the category that is dropped
+            OneHotEncoder(inputCols=[f"{v}_index_" for v in self.variables], outputCols=[f"{v}_vector" for v in self.variables], dropLast=True),
+        ]
+        return SparseOneHotModel(self.variables, Pipeline(stages=steps).fit(texts), self.remove)
+
+
+@dataclass(frozen=True)
+class SparseOneHotModel:
+    variables: list[str]
+    model: PipelineModel
+    remove: bool
+
+    @property
+    def levels(self) -> dict[str, list[str]]:
+        return dict(zip(self.variables, map(list, self.model.stages[0].labelsArray)))
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """A NULL or an unknown level has an all-zero vector."""
+        texts = df.withColumns({f"{v}_text_": F.col(name(v)).cast("string") for v in self.variables})
+        kept = [c for c in df.columns if not (self.remove and c in self.variables)]
+        return self.model.transform(texts).select(*[F.col(name(c)) for c in kept], *[f"{v}_vector" for v in self.variables])
