@@ -3,8 +3,10 @@
 The first pass brackets every wanted rank with a sketch. The second counts: values inside a
 bracket one by one, all others only per region between brackets. Running counts then give the
 value at each rank. The counted table holds a small share of the rows, and windows over it are
-cut into bins, so no task holds more than the distinct values of one bin. The sketch only
-saves work: should a rank fall outside its bracket, that region is counted in full.
+cut into bins, so no task holds more than the distinct values of one bin. Of a region its smallest and
+largest value are known too, so a rank beside a bracket needs no counting: in small groups, where one rank is more than
+the margin, that is the rule. The sketch only saves work: should a rank lie deeper in a region, that region is
+cut into even bins by a sketch of its own and counted in full.
 """
 
 from __future__ import annotations
@@ -20,7 +22,6 @@ from slotcast.session import materialise
 ACCURACY = 10_000
 MARGIN = 2.0 / ACCURACY
 BINS = 256
-SMALL_GROUP = 20_000  # rows up to which every value is counted
 
 
 def _same(names: list[str]) -> str:
@@ -28,7 +29,7 @@ def _same(names: list[str]) -> str:
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], by: list[str] | None = None,
-                    small_group: int = SMALL_GROUP, moments: bool = False) -> DataFrame:
+                    moments: bool = False) -> DataFrame:
     """One row per group and column: ``variable``, ``n`` known values and ``q0``, ``q1``...,
     one per probability, interpolated linearly between neighbouring ranks.
 
@@ -62,39 +63,51 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], by: l
     placed = (
         unpivot_measures(df, by, columns).filter("value IS NOT NULL").alias("a").join(edges.alias("b"), F.expr(_same(keys)))
         .selectExpr(*[f"a.{k}" for k in names], "n", "value", "edges", f"{region} AS region",
-                    f"n <= {small_group} OR {inside} AS keep")
+                    f"{inside} AS keep")
     )
 
     positions = [f"(n - 1) * {p!r}D" for p in probs]
     ranks = [f"{f}({at})" for at in positions for f in ("floor", "ceil")]
 
-    def counted(keep: str) -> tuple[DataFrame, DataFrame]:
+    def counted(rows: DataFrame, keep: str, bin_: str) -> tuple[DataFrame, DataFrame]:
         """Frequencies (``value`` is NULL where only the region was counted) and, of these,
         the cells that hold a wanted rank."""
         frequencies = materialise(
-            placed.selectExpr(*names, "n", "region", f"CASE WHEN NOT ({keep}) THEN -1 ELSE CASE region {bins} ELSE 0 END END AS bin",
-                              f"CASE WHEN {keep} THEN value END AS value")
-            .groupBy(*keys, "n", "region", "bin", "value").agg(F.count(F.lit(1)).alias("here")))
+            rows.selectExpr(*names, "n", "region", f"CASE WHEN NOT ({keep}) THEN -1 ELSE {bin_} END AS bin",
+                            f"CASE WHEN {keep} THEN value END AS value", "value AS seen")
+            .groupBy(*keys, "n", "region", "bin", "value")
+            .agg(F.count(F.lit(1)).alias("here"), F.min("seen").alias("low"), F.max("seen").alias("high")))
         cells = frequencies.groupBy(*keys, "n", "region", "bin").agg(F.sum("here").alias("here")).selectExpr(
             "*", f"sum(here) OVER (PARTITION BY {listed} ORDER BY region, bin) - here AS before")
         hit = " OR ".join(f"({rank} >= before AND {rank} < before + here)" for rank in ranks)
-        return frequencies, cells.filter(hit).drop("here", "n")
-
-    frequencies, cells = counted("keep")
-    missed = {r["region"] for r in cells.filter("bin = -1").select("region").distinct().collect()}
-    if missed:
-        frequencies, cells = counted(f"keep OR region IN ({', '.join(map(str, sorted(missed)))})")
-
-    cells = lookup_side(cells, groups * len(ranks))
+        deep = " OR ".join(f"({rank} > before AND {rank} < before + here - 1)" for rank in ranks)
+        return frequencies, cells.filter(hit).selectExpr("*", f"bin = -1 AND ({deep}) AS missed").drop("here", "n")
+
+    own_bin = f"CASE region {bins} ELSE 0 END"
+    frequencies, cells = counted(placed, "keep", own_bin)
+    cells = materialise(cells)
+    missed = cells.filter("missed").select(*keys, "region")
+    if not missed.isEmpty():
+        # at most a row per rank and group; equal shares of the region by a sketch of its own
+        missed = lookup_side(materialise(missed), groups * len(ranks))
+        shares = ", ".join(f"{k / BINS!r}D" for k in range(1, BINS))
+        found = placed.alias("a").join(missed.alias("b"), F.expr(_same([*keys, "region"]))).selectExpr(*[f"a.{k}" for k in names], "a.region", "value")
+        cuts, number = settle(found.groupBy(*keys, "region").agg(F.expr(f"percentile_approx(value, array({shares}), {ACCURACY}) AS cuts")))
+        again = placed.alias("a").join(lookup_side(cuts, number).alias("b"), F.expr(_same([*keys, "region"])), "left")
+        again = again.selectExpr(*[f"a.{k}" for k in names], "n", "value", "edges", "a.region", "keep OR cuts IS NOT NULL AS keep", "cuts")
+        frequencies, cells = counted(again, "keep", f"CASE WHEN cuts IS NULL THEN {own_bin} ELSE size(filter(cuts, c -> c < value)) END")
+        cells = materialise(cells)
+
+    cells = lookup_side(cells.drop("missed"), groups * len(ranks))
     within = f"PARTITION BY {listed}, region, bin ORDER BY value"
     values = (
         frequencies.alias("a").join(cells.alias("b"), F.expr(_same([*keys, "region", "bin"])))
-        .selectExpr(*[f"a.{k}" for k in names], "n", "a.region", "a.bin", "value", "here", "before")
+        .selectExpr(*[f"a.{k}" for k in names], "n", "a.region", "a.bin", "value", "here", "before", "low", "high")
         .selectExpr("*", f"before + sum(here) OVER ({within}) - 1 AS last")
     )
 
     def at(rank: str) -> str:
-        return f"max(CASE WHEN {rank} BETWEEN last - here + 1 AND last THEN value END)"
+        return f"max(CASE WHEN value IS NULL THEN CASE {rank} WHEN last - here + 1 THEN low WHEN last THEN high END WHEN {rank} BETWEEN last - here + 1 AND last THEN value END)"
 
     found = values.groupBy(*keys, "n").agg(*[
         F.expr(f"{at(f'{f}({position})')} AS {f}{i}") for i, position in enumerate(positions) for f in ("floor", "ceil")])
