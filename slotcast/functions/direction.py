@@ -30,8 +30,3 @@ def circular_mean(degrees: Column, digits: int = 9) -> Column:
     angle = F.radians(degrees)
     mean = F.degrees(F.atan2(F.avg(F.sin(angle)), F.avg(F.cos(angle))))
     return normalise_degrees(F.round(normalise_degrees(mean), digits))
-
-
-def direction_parts(degrees: Column) -> tuple[Column, Column]:
-    """Sine and cosine, for models that should see 359 and 1 degree as neighbours."""
-    return F.sin(F.radians(degrees)), F.cos(F.radians(degrees))

@@ -51,7 +51,9 @@ def shift_hours(stamp: Column, hours: Column) -> Column:
 
 
 def slot_offset(stamp: Column, slot_hours: int) -> Column:
-    """Hours since the start of the slot."""
+    """Hours since the start of the slot. Slots start at midnight, so their length must divide a day."""
+    if slot_hours < 1 or 24 % slot_hours:
+        raise ValueError("slot_hours must divide 24")
     return F.hour(stamp) % slot_hours
 
 

@@ -44,7 +44,3 @@ def numeric_columns(df: DataFrame, among: list[str] | None = None) -> list[str]:
 
     wanted = df.columns if among is None else among
     return [c for c in wanted if isinstance(df.schema[c].dataType, NumericType)]
-
-
-def columns_except(df: DataFrame, dropped: list[str]) -> list[str]:
-    return [c for c in df.columns if c not in set(dropped)]

@@ -9,7 +9,18 @@ from slotcast.session import materialise
 
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 * 1024 * 1024
-_CELL_BYTES = 24
+#: Memory that a byte of a compressed file can take.
+UNPACKED = 8
+
+
+def stored_bytes(table: DataFrame) -> int:
+    """Bytes of the written files of a materialised table, unpacked; of other frames what the optimizer knows from its files."""
+    path = getattr(table, "stored_at_", None)
+    if path is None:
+        return int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    spark = table.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return UNPACKED * place.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(place).getLength()
 
 
 def settle(small: DataFrame) -> tuple[DataFrame, int]:
@@ -19,7 +30,7 @@ def settle(small: DataFrame) -> tuple[DataFrame, int]:
 
 
 def lookup_side(table: DataFrame, rows: int) -> DataFrame:
-    """Hint a broadcast for a counted table that fits; otherwise leave the join to
+    """Hint a broadcast for a counted table whose measured size fits; otherwise leave the join to
     Spark, which shuffles both sides and splits skewed partitions."""
-    small = rows <= BROADCAST_ROWS and rows * len(table.columns) * _CELL_BYTES <= BROADCAST_BYTES
+    small = rows <= BROADCAST_ROWS and stored_bytes(table) <= BROADCAST_BYTES
     return F.broadcast(table) if small else table

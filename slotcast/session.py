@@ -45,4 +45,16 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, "table")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stored_at_ = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete what :func:`materialise` wrote for ``tables``; nothing built on them may be read afterwards."""
+    for table in tables:
+        path = getattr(table, "stored_at_", None)
+        if path is not None:
+            spark = table.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

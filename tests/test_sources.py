@@ -110,3 +110,23 @@ def test_shared_folder_follows_the_session(spark):
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     assert shared_dir(spark) == named
     assert fresh_path(spark, "x").startswith(named) and fresh_path(spark, "x") != fresh_path(spark, "x")
+
+
+def test_quotes_line_breaks_and_decimals(spark, tmp_path):
+    from decimal import Decimal
+
+    path = str(tmp_path / "quoted")
+    schema = T.StructType([T.StructField("a", T.StringType()), T.StructField("x", T.DecimalType(8, 2)), T.StructField("y", T.DoubleType())])
+    rows = [('a "b" c', Decimal("1.25"), 0.5), ('"', Decimal("-3.00"), None), ("two\nlines; here", Decimal("0.10"), 2.0), (None, None, 1.0)]
+    write_delimited(spark.createDataFrame(rows, schema), path)
+    text = spark.read.text(path).collect()
+    assert any(r[0] == '"a ""b"" c";1,25;0,5' for r in text)
+    back = read_delimited(spark, path, schema, decimal=",", line_breaks=True).collect()
+    assert sorted(map(tuple, back), key=repr) == sorted(rows, key=repr)
+
+
+def test_results_are_sorted_by_time(spark, tmp_path):
+    df = spark.range(2000).select(F.timestamp_seconds(F.pmod(F.col("id") * 7919, F.lit(2000)) * 3600).alias("datetime"), F.col("id").cast("double").alias("v")).repartition(5)
+    path = write_result(df, str(tmp_path / "runs"), "one")
+    stamps = [r[0] for r in spark.read.option("header", True).option("sep", ";").csv(path).select("datetime").collect()]
+    assert stamps == sorted(stamps) and len(stamps) == 2000
