@@ -25,6 +25,8 @@ def fold_hourly(
     ``error``, ``mean``, or ``first`` (by the ``order`` column, which should be unique). ``keep_levels`` adds P1, P2...
     """
     stamp = F.col(time)
+    # every level looks at the counts of all hours: selecting some of them can not hide a duplicate
+    most = F.greatest(*[F.count(F.when(slot_offset(stamp, slot_hours) == k, 1)) for k in range(slot_hours)], F.lit(0))
     aggregates: list[Column] = []
     for k in range(slot_hours):
         here = slot_offset(stamp, slot_hours) == k
@@ -36,8 +38,7 @@ def fold_hourly(
                 raise ValueError("on_duplicate='first' needs an order column")
             level = F.min_by(F.col(value), F.when(here, F.col(order)))
         elif on_duplicate == "error":
-            message = F.format_string("hour %d of a slot occurs more than once", F.lit(k))
-            level = F.when(F.count(F.when(here, 1)) > 1, F.raise_error(message)).otherwise(F.max(seen))
+            level = F.when(most > 1, F.raise_error(F.lit("an hour of a slot occurs more than once"))).otherwise(F.max(seen))
         else:
             raise ValueError("on_duplicate is 'error', 'mean' or 'first'")
         aggregates.append(level.alias(f"P{k}"))
@@ -54,10 +55,16 @@ def with_deltas(slots: DataFrame, slot_hours: int = SLOT_HOURS, keep_levels: boo
     return out if keep_levels else out.drop(*[f"P{k}" for k in range(1, slot_hours)])
 
 
-def recompose(df: DataFrame, chained: bool = False) -> DataFrame:
-    """Levels from P0 and deltas: P1 = P0 + DP1, P2 = P0 + DP2, or P2 = P1 + DP12 if chained."""
+def level_columns(chained: bool = False) -> list[Column]:
+    """P0, P1, P2 from P0 and deltas: P1 = P0 + DP1, P2 = P0 + DP2, or P2 = P1 + DP12 if chained."""
     p1 = F.col("P0") + F.col("DP1")
     p2 = p1 + F.col("DP12") if chained else F.col("P0") + F.col("DP2")
+    return [F.col("P0"), p1.alias("P1"), p2.alias("P2")]
+
+
+def recompose(df: DataFrame, chained: bool = False) -> DataFrame:
+    """Levels in place of deltas, as :func:`level_columns` makes them."""
+    _, p1, p2 = level_columns(chained)
     return df.withColumns({"P1": p1, "P2": p2}).drop("DP1", "DP2", "DP12")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from slotcast.operators.sizing import lookup_side, settle
-from slotcast.session import fresh_path
+from slotcast.session import fresh_path, materialise
 
 
 def _part(file: str) -> Column:
@@ -15,10 +15,9 @@ def _part(file: str) -> Column:
     return F.regexp_extract(file, "part-([0-9]+)", 1).try_cast("int")
 
 
-def with_position(df: DataFrame, time: str = "datetime", position: str = "position",
-                  ties: list[str] | None = None) -> DataFrame:
+def with_position(df: DataFrame, ties: list[str], time: str = "datetime", position: str = "position") -> DataFrame:
     """Zero-based place of each row in time order; ``ties`` order rows of equal time and let
-    them spread over several files.
+    them spread over several files. Pass an empty list only where times are unique.
 
     The rows are range-partitioned by time, sorted and written to the shared folder; a row's
     place is its index in its file plus the rows of all earlier files. No task ranks more than
@@ -26,7 +25,7 @@ def with_position(df: DataFrame, time: str = "datetime", position: str = "positi
     """
     spark = df.sparkSession
     path = fresh_path(spark, "ordered")
-    df.orderBy(time, *(ties or [])).write.parquet(path)
+    df.orderBy(time, *ties).write.parquet(path)
     rows = spark.read.schema(df.schema).parquet(path).select(
         "*", F.col("_metadata.file_name").alias("file_"), F.col("_metadata.row_index").alias("index_"))
     files = rows.groupBy("file_").agg(F.count(F.lit(1)).alias("rows_"))
@@ -42,17 +41,18 @@ def read_positions(spark: SparkSession, path: str, schema: StructType | str, sep
     """A headerless delimited file with the zero-based line position of every row.
 
     Each file block is read in order by one task, so a row's place is its offset in the block
-    plus the rows of all earlier blocks (by part number, file name, then block start). Only one row per
-    block is shuffled.
+    plus the rows of all earlier blocks (by part number, file name, then block start). The rows are written
+    once with file, block and number, and both the offsets and the result come from there, so a later scan can not cut
+    the files in another way. Only one row per block is shuffled.
     """
     raw = spark.read.schema(schema).option("sep", sep).csv(path)
     fields = raw.columns
-    rows = raw.select(
+    rows = materialise(raw.select(
         *fields,
         F.col("_metadata.file_path").alias("file_"),
         F.col("_metadata.file_block_start").alias("start_"),
         F.monotonically_increasing_id().alias("id_"),
-    )
+    ))
     blocks = rows.groupBy("file_", "start_").agg(F.min("id_").alias("first_"), F.count(F.lit(1)).alias("rows_"))
     before = F.sum("rows_").over(Window.orderBy(_part("file_"), "file_", "start_")) - F.col("rows_")
     offsets, count = settle(blocks.select(
@@ -68,12 +68,3 @@ def attach_by_position(df: DataFrame, values: DataFrame, column: str, after: str
     at = names.index(after) + 1
     joined = df.join(values.select(position, column), position, "left")
     return joined.select(*names[:at], column, *names[at:])
-
-
-def attach_by_time(df: DataFrame, values: DataFrame, column: str, start: str, time: str = "datetime",
-                   after: str = "puissance", position: str = "position") -> DataFrame:
-    """The cheap form for an hourly series without gaps: position i belongs to start + i hours."""
-    stamp = F.timestamp_add("HOUR", F.col(position).cast("int"), F.lit(start).cast("timestamp"))
-    at = df.columns.index(after) + 1
-    joined = df.join(values.select(stamp.alias(time), column), time, "left")
-    return joined.select(*df.columns[:at], column, *df.columns[at:])

@@ -16,7 +16,7 @@ from slotcast.operators.metrics import error_metrics, with_row_error
 from slotcast.operators.split import Split, exact_splits
 from slotcast.plans.features import FINAL_SCENARIO, SCENARIOS, FeatureSet, prepare, prepare_many, project, union_of
 from slotcast.plans.models import Boosting, Forest, TargetModels, as_doubles, fit_targets, run_parallel
-from slotcast.session import materialise
+from slotcast.session import materialise, release
 from slotcast.sources.delimited import write_result
 
 LEVELS = ["P0", "P1", "P2"]
@@ -81,37 +81,49 @@ def repeated_holdout(data: DataFrame, features: FeatureSet, learner: Boosting |
 
 def scenario_sweep(data: DataFrame, learner: Boosting | Forest | None = None,
                    seeds: Sequence[int] = range(fixed.HOLDOUT_REPEATS),
-                   scenarios: list[int] | None = None, preparation: str = "scale_group",
+                   sets: dict[int | str, FeatureSet] | None = None, preparation: str = "scale_group",
                    by: list[str] | None = None, share: float = fixed.HOLDOUT_TRAIN_SHARE,
                    parallelism: int = 2, strict: bool = False) -> DataFrame:
     """Repeated hold-out for several feature sets, with the rows of :func:`repeated_holdout`.
 
-    Imputation, scaling and one-hot columns of a variable do not depend on the other variables,
-    so each split is prepared once, for all variables of all scenarios, and stored.
-    Without a learner each scenario uses its own fixed boosting parameters.
+    Imputation, scaling and one-hot columns of a variable do not depend on the other variables, so each split
+    is prepared once, for all variables of all sets. ``parallelism`` prepared splits are stored at a time and deleted after
+    their fits. Without ``sets`` these are the numbered ones (without a learner those with fixed parameters
+    for the preparation); without a learner each uses its own fixed boosting parameters.
     """
-    chosen = scenarios or list(SCENARIOS)
-    everything = union_of([SCENARIOS[n] for n in chosen])
-    splits = exact_splits(_split_table(data, everything), "datetime", list(seeds), share, rounding="floor")
+    sets = _chosen(sets, learner, preparation)
+    splits = exact_splits(_split_table(data, union_of(list(sets.values()))), "datetime", list(seeds), share, rounding="floor")
+    spark = data.sparkSession
 
-    def prepared(split: Split) -> tuple[Split, DataFrame, DataFrame, dict[int, list[str]]]:
-        train, test, columns = prepare_many(
-            split.train, split.test, {n: SCENARIOS[n] for n in chosen}, preparation, by)
+    def prepared(split: Split) -> tuple[Split, DataFrame, DataFrame, dict[int | str, list[str]]]:
+        train, test, columns = prepare_many(split.train, split.test, sets, preparation, by)
         return split, materialise(train), materialise(test), columns
 
-    def one(number: int, split: Split, train: DataFrame, test: DataFrame, columns: list[str]) -> tuple:
-        model = learner or Boosting.of(preparation, number)
+    def one(key: int | str, split: Split, train: DataFrame, test: DataFrame, columns: list[str]) -> tuple:
+        model = learner or Boosting.of(preparation, key)
         wanted = train.select(*fixed.TARGETS, *columns)
         models = fit_targets(as_doubles(wanted, columns), columns, fixed.TARGETS, model, parallelism=1)
-        return _errors(models, test, columns, f"scenario {number}", split.seed, strict)
+        return _errors(models, test, columns, _label(key), split.seed, strict)
 
-    spark = data.sparkSession
-    ready = run_parallel(spark, [lambda s=s: prepared(s) for s in splits.values()], parallelism)
-    jobs = [
-        lambda n=n, split=split, train=train, test=test, columns=columns: one(n, split, train, test, columns[n])
-        for split, train, test, columns in ready for n in chosen
-    ]
-    return spark.createDataFrame(run_parallel(spark, jobs, parallelism), RESULTS)
+    rows, waiting = [], list(splits.values())
+    for start in range(0, len(waiting), max(1, parallelism)):
+        ready = run_parallel(spark, [lambda s=s: prepared(s) for s in waiting[start : start + max(1, parallelism)]], parallelism)
+        rows += run_parallel(spark, [
+            lambda k=k, split=split, train=train, test=test, columns=columns: one(k, split, train, test, columns[k])
+            for split, train, test, columns in ready for k in sets
+        ], parallelism)
+        release(*[table for _, train, test, _ in ready for table in (train, test)])
+    return spark.createDataFrame(rows, RESULTS).withColumn("preparation", F.lit(preparation))
+
+
+def _chosen(sets: dict[int | str, FeatureSet] | None, learner: Boosting | Forest | None, preparation: str) -> dict[int | str, FeatureSet]:
+    if sets is not None:
+        return sets
+    return {n: SCENARIOS[n] for n in (SCENARIOS if learner else Boosting.scenarios(preparation))}
+
+
+def _label(key: int | str) -> str:
+    return f"scenario {key}" if isinstance(key, int) else key
 
 
 def forecast(train: DataFrame, ahead: DataFrame, scenario: int = FINAL_SCENARIO,
@@ -129,34 +141,36 @@ def forecast(train: DataFrame, ahead: DataFrame, scenario: int = FINAL_SCENARIO,
 
 
 def forecast_sweep(train: DataFrame, ahead: DataFrame, reality: DataFrame, learner: Boosting | Forest | None = None,
-                   scenarios: list[int] | None = None, preparation: str = "scale_group", by: list[str] | None = None,
+                   sets: dict[int | str, FeatureSet] | None = None, preparation: str = "scale_group", by: list[str] | None = None,
                    base: str | None = None, job: str = "forecast", parallelism: int = 2,
                    strict: bool = True) -> DataFrame:
-    """Final forecasts of several feature sets against ``reality(datetime, reality)``.
+    """Final forecasts of several feature sets against ``reality(datetime, reality)``; sets as in :func:`scenario_sweep`.
 
-    One row per scenario with its errors. With ``base`` each forecast is also written there,
-    with row errors and the scenario's variables, under a run label of time, job and error.
+    One row per set with its errors. With ``base`` each forecast is also written there in time order,
+    with row errors and the set's variables, under a run label of time, job and error.
     """
-    chosen = scenarios or list(SCENARIOS)
-    sets = {n: SCENARIOS[n] for n in chosen}
+    sets = _chosen(sets, learner, preparation)
     every = union_of(list(sets.values()))
     ready, asked, columns = prepare_many(
         project(train, every, fixed.TARGETS), project(ahead, every), sets, preparation, by)
     ready, asked = materialise(ready), materialise(asked)
     spark = train.sparkSession
 
-    def one(number: int) -> tuple:
-        model = learner or Boosting.of(preparation, number)
-        wanted = ready.select(*fixed.TARGETS, *columns[number])
-        models = fit_targets(as_doubles(wanted, columns[number]), columns[number], fixed.TARGETS, model, parallelism=1)
-        slots = models.predict(as_doubles(asked.select("datetime", *columns[number]), columns[number]))
+    def one(key: int | str) -> tuple:
+        model = learner or Boosting.of(preparation, key)
+        wanted = ready.select(*fixed.TARGETS, *columns[key])
+        models = fit_targets(as_doubles(wanted, columns[key]), columns[key], fixed.TARGETS, model, parallelism=1)
+        slots = models.predict(as_doubles(asked.select("datetime", *columns[key]), columns[key]))
         hourly = unfold(recompose(slots.select("datetime", *fixed.TARGETS))).join(reality, "datetime", "left")
-        row = error_metrics(hourly, strict=strict).first()
+        scored = materialise(with_row_error(hourly.select("datetime", "puissance", "reality")))
+        row = error_metrics(scored, strict=strict).first()
         mape = None if row["mape"] is None else row["mape"] * 100
         if base is not None:
-            label = f"{time.strftime('%Y%m%d_%H%M')}_{job}{number}_{mape if mape is not None else math.nan:.3f}"
-            scored = with_row_error(hourly.select("datetime", "puissance", "reality"))
-            write_result(join_back(scored, project(ahead, sets[number])), base, label)
-        return f"scenario {number}", 0, row["n"], mape, row["rmse"], row["mae"]
-
-    return spark.createDataFrame(run_parallel(spark, [lambda n=n: one(n) for n in chosen], parallelism), RESULTS)
+            label = f"{time.strftime('%Y%m%d_%H%M')}_{job}{key}_{mape if mape is not None else math.nan:.3f}"
+            write_result(join_back(scored, project(ahead, sets[key])), base, label)
+        release(scored)
+        return _label(key), 0, row["n"], mape, row["rmse"], row["mae"]
+
+    rows = run_parallel(spark, [lambda k=k: one(k) for k in sets], parallelism)
+    release(ready, asked)
+    return spark.createDataFrame(rows, RESULTS).withColumn("preparation", F.lit(preparation))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel, inheritable_thread_target
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.feature import RFormula, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from slotcast import fixed
 from slotcast.functions.quoting import name
 from slotcast.operators.clean import require
-from slotcast.session import shared_dir
+from slotcast.session import materialise, release, shared_dir
 
 
 @dataclass(frozen=True)
@@ -27,16 +27,25 @@ class Boosting:
     subsample: float = 1.0
     depth: int = fixed.BOOST_DEPTH
     seed: int = 1
+    max_bins: int = 256  # a number is split at no more than max_bins - 1 of its quantiles, and at all values if it has fewer
 
     @staticmethod
     def of(preparation: str, scenario: int) -> "Boosting":
+        """The fixed parameters of a feature set under a preparation."""
+        if (preparation, scenario) not in fixed.BOOSTING:
+            raise ValueError(f"no fixed parameters for scenario {scenario} under {preparation}; there are {Boosting.scenarios(preparation)}")
         return Boosting(*fixed.BOOSTING[preparation, scenario])
 
+    @staticmethod
+    def scenarios(preparation: str) -> list[int]:
+        """The feature sets with fixed parameters under a preparation."""
+        return sorted(number for name_, number in fixed.BOOSTING if name_ == preparation)
+
     def estimator(self, target: str) -> GBTRegressor:
         return GBTRegressor(
             labelCol=target, predictionCol=f"{target}_hat", maxIter=self.rounds, stepSize=self.step,
             maxDepth=self.depth, minInstancesPerNode=self.min_rows, subsamplingRate=self.subsample,
-            seed=self.seed,
+            maxBins=self.max_bins, cacheNodeIds=True, maxMemoryInMB=512, seed=self.seed,
         )
 
 
@@ -45,7 +54,7 @@ class Forest:
     trees: int = 500
     depth: int = 30
     min_rows: int = 5
-    max_bins: int = 32
+    max_bins: int = 256
     bootstrap: bool = True
     seed: int = 1
 
@@ -65,9 +74,22 @@ def as_doubles(df: DataFrame, columns: list[str]) -> DataFrame:
         f"coalesce(double({name(c)}), 0D) AS {name(c)}" if c in numbers else name(c) for c in df.columns])
 
 
+def fit_formula(train: DataFrame, variables: list[str], targets: list[str], learner: "Boosting | Forest", parallelism: int = 3) -> "TargetModels":
+    """Fit ``target ~ a + b`` for each target on the rows whose target is known; text variables are encoded by the formula."""
+    def fit(target: str) -> PipelineModel:
+        known = materialise(require(train, [target]).select(target, *variables))
+        try:
+            return Pipeline(stages=[formula(target, variables), learner.estimator(target)]).fit(known)
+        finally:
+            release(known)
+
+    shared_dir(train.sparkSession)
+    return TargetModels(dict(zip(targets, run_parallel(train.sparkSession, [lambda t=t: fit(t) for t in targets], parallelism))), variables)
+
+
 def formula(target: str, variables: list[str]) -> RFormula:
     """``target ~ a + b``; text variables are encoded, the matrix is in ``features``."""
-    return RFormula(formula=f"{target} ~ {' + '.join(variables)}", featuresCol="features", labelCol=f"{target}_label")
+    return RFormula(formula=f"{target} ~ {' + '.join(variables)}", featuresCol="features", labelCol=f"{target}_label", handleInvalid="keep")
 
 
 @dataclass(frozen=True)
@@ -123,7 +145,7 @@ def fit_targets(train: DataFrame, columns: list[str], targets: list[str], learne
                                    stringOrderType="alphabetAsc"))
     steps.append(VectorAssembler(inputCols=[*plain, *indexed], outputCol="features"))
     front = Pipeline(stages=steps).fit(train)
-    rows = front.transform(train).select("features", *targets).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = materialise(front.transform(train).select("features", *targets))
 
     def fit(target: str) -> PipelineModel:
         known = require(rows, [target]).select("features", target)
@@ -132,5 +154,5 @@ def fit_targets(train: DataFrame, columns: list[str], targets: list[str], learne
     try:
         models = run_parallel(train.sparkSession, [lambda t=t: fit(t) for t in targets], parallelism)
     finally:
-        rows.unpersist()
+        release(rows)
     return TargetModels(dict(zip(targets, models)), columns)

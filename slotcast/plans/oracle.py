@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+# fixed values, as in fixed.py: written out again so that the SQL stands on its own
 START = "TIMESTAMP '2024-01-23 00:00:00'"
 MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October",
           "November", "December"]
@@ -40,6 +41,9 @@ LEVELS = """levels AS (
          max(puissance) FILTER (WHERE hour(datetime) % 3 = 2) AS P2
   FROM load GROUP BY 1)"""
 
+# every slot ahead, with or without measures
+ASKED = f"""asked AS (SELECT unnest(generate_series({START}, (SELECT max(datetime) FROM weather), INTERVAL 3 HOUR)) AS datetime)"""
+
 SLOTS = "slots AS (SELECT datetime, P0, P1 - P0 AS DP1, P2 - P0 AS DP2, P2 - P1 AS DP12 FROM levels)"
 
 
@@ -197,6 +201,48 @@ def _metrics(strict: bool) -> str:
 
 SERIES = ["temp", "pression", "hr", "p_rosee", "visi", "vt_moy", "vt_raf", "vt_dir", "rr_3h", "nebul"]
 
+# keys of the groups whose means a tree over the set predicts
+GROUPS = {"hour": "hour(datetime)", "weekend": "dayname(datetime) IN ('Saturday', 'Sunday')", "weekday": "dayname(datetime)"}
+PREPARATIONS = ["impute_global_scale_global", "impute_group", "impute_group_scale_global", "scale_group"]
+
+
+def _slot_means(key: str) -> str:
+    return f"""means AS (SELECT {key} AS k, avg(P0) AS P0, avg(DP1) AS DP1, avg(DP2) AS DP2
+          FROM slots JOIN weather USING (datetime) WHERE P0 IS NOT NULL AND datetime < {START} GROUP BY 1)"""
+
+
+def _hourly(key: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT datetime + to_hours(CAST({k} AS BIGINT)) AS datetime, {v} AS puissance FROM asked JOIN means ON {key} = k"
+        for k, v in enumerate(("P0", "P0 + DP1", "P0 + DP2")))
+
+
+HOURLY_MEANS = f"{_slot_means('hour(datetime)')}, hourly AS ({_hourly('hour(datetime)')})"
+
+
+def _holdout(key: str, scenario: str, first: int, last: int) -> str:
+    """Errors of group means over repeated exact splits of the training slots."""
+    return f"""WITH {LOAD}, {LEVELS}, {WEATHER},
+train AS (SELECT levels.* FROM levels JOIN weather USING (datetime) WHERE P0 IS NOT NULL AND datetime < {START}),
+hashed AS (SELECT *, {key} AS k, {_split_hash('CAST(repeat AS VARCHAR)', 'datetime')} AS hash
+           FROM train, (SELECT CAST(unnest(generate_series({first}, {last})) AS INTEGER) AS repeat)),
+runs AS (SELECT *, row_number() OVER (PARTITION BY repeat ORDER BY hash, datetime)
+         <= floor(0.79 * (SELECT count(*) FROM train)) AS is_train FROM hashed),
+means AS (SELECT repeat, k, avg(P0) AS m0, avg(P1 - P0) AS m1, avg(P2 - P0) AS m2 FROM runs WHERE is_train GROUP BY 1, 2),
+held AS (SELECT runs.*, m0, m1, m2 FROM runs JOIN means USING (repeat, k) WHERE NOT is_train),
+pairs AS (SELECT repeat, m0 AS p, P0 AS y FROM held UNION ALL SELECT repeat, m0 + m1, P1 FROM held
+          UNION ALL SELECT repeat, m0 + m2, P2 FROM held)
+SELECT '{scenario}' AS scenario, repeat, count(*) AS n, {r6('avg(abs((y - p) / nullif(y, 0))) * 100')} AS mape,
+       {r6('sqrt(avg((y - p) ** 2))')} AS rmse, {r6('avg(abs(y - p))')} AS mae FROM pairs GROUP BY repeat"""
+
+
+def _forecast_errors(key: str, scenario: str) -> str:
+    return f"""SELECT * FROM (WITH {LOAD}, {LEVELS}, {SLOTS}, {WEATHER}, {ASKED}, {_slot_means(key)}, hourly AS ({_hourly(key)}),
+scored AS (SELECT hourly.datetime, hourly.puissance AS p, load.puissance AS y FROM hourly LEFT JOIN load USING (datetime))
+SELECT '{scenario}' AS scenario, count(*) AS n, {r6('avg(abs((y - p) / nullif(y, 0))) * 100')} AS mape, {r6('sqrt(avg((y - p) ** 2))')} AS rmse,
+       {r6('avg(abs(y - p))')} AS mae, 'scale_group' AS preparation, count(*) AS hours, min(datetime) AS first_hour FROM scored)"""
+
+
 ORACLE = {
     "rename_project": "SELECT ts AS datetime, value AS puissance FROM events",
     "time_bound_filter": "SELECT event_id, ts, value FROM events WHERE ts <= TIMESTAMP '2024-01-22 23:00:00'",
@@ -347,21 +393,22 @@ SELECT scenario, repeats, {r6('lo')} AS "min", {r6('q1')} AS q1, {r6('median')}
 CAST(hour(datetime) AS INTEGER) AS Hour, '{c}' AS variable, {c} AS value FROM weather""" for c in SERIES),
     "plot_data_load": f"""WITH {LOAD} SELECT CAST(year(datetime) AS INTEGER) AS Year, monthname(datetime) AS Month,
   CAST(day(datetime) AS INTEGER) AS Day, CAST(hour(datetime) AS INTEGER) AS Hour, puissance FROM load""",
-    "gbt_hour_means": f"""WITH {LOAD}, {LEVELS}, {SLOTS}, {WEATHER},
-means AS (SELECT hour(datetime) AS h, avg(P0) AS P0, avg(DP1) AS DP1, avg(DP2) AS DP2
-          FROM slots JOIN weather USING (datetime) WHERE P0 IS NOT NULL AND datetime < {START} GROUP BY 1),
-hourly AS (
-  SELECT datetime, P0 AS puissance FROM weather JOIN means ON hour(datetime) = h WHERE datetime >= {START}
-  UNION ALL SELECT datetime + INTERVAL 1 HOUR, P0 + DP1 FROM weather JOIN means ON hour(datetime) = h WHERE datetime >= {START}
-  UNION ALL SELECT datetime + INTERVAL 2 HOUR, P0 + DP2 FROM weather JOIN means ON hour(datetime) = h WHERE datetime >= {START})
+    "gbt_hour_means": f"""WITH {LOAD}, {LEVELS}, {SLOTS}, {WEATHER}, {ASKED}, {HOURLY_MEANS}
 SELECT hourly.datetime, {r6('hourly.puissance')} AS puissance, load.puissance AS reality,
        {r6('abs(hourly.puissance - load.puissance) / nullif(abs(load.puissance), 0) * 100')} AS mape
 FROM hourly LEFT JOIN load USING (datetime)""",
-    "rf_weekday_means": f"""WITH {LOAD}, {LEVELS}, {SLOTS}, {WEATHER},
-means AS (SELECT dayname(datetime) AS d, avg(P0) AS P0, avg(DP1) AS DP1, avg(DP2) AS DP2
-          FROM slots JOIN weather USING (datetime) WHERE P0 IS NOT NULL AND datetime < {START} GROUP BY 1)
+    "submission_file": f"""WITH {LOAD}, {LEVELS}, {SLOTS}, {WEATHER}, {ASKED}, {HOURLY_MEANS}
+SELECT row_number() OVER (ORDER BY datetime) - 1 AS position, {r6('puissance')} AS v FROM hourly""",
+    "rf_weekday_means": f"""WITH {LOAD}, {LEVELS}, {SLOTS}, {WEATHER}, {ASKED}, {_slot_means('dayname(datetime)')}
+SELECT datetime, {r6('P0')} AS "P0", {r6('DP1')} AS "DP1", {r6('DP2')} AS "DP2"
+FROM asked JOIN means ON dayname(datetime) = k""",
+    "model_io": f"""WITH {LOAD}, {LEVELS}, {SLOTS}, {WEATHER}, {ASKED}, {_slot_means('hour(datetime)')}
 SELECT datetime, {r6('P0')} AS "P0", {r6('DP1')} AS "DP1", {r6('DP2')} AS "DP2"
-FROM weather JOIN means ON dayname(datetime) = d WHERE datetime >= {START}""",
+FROM asked JOIN means ON hour(datetime) = k""",
+    "scenario_sweep": " UNION ALL ".join(
+        f"SELECT * FROM ({_holdout(k, name, 1, 5)}) CROSS JOIN (SELECT unnest([{', '.join(repr(p) for p in PREPARATIONS)}]) AS preparation)" for name, k in GROUPS.items()),
+    "repeated_holdout": f"SELECT *, 'scale_group' AS preparation FROM ({_holdout(GROUPS['hour'], 'hour', 0, 69)})",
+    "forecast_sweep": " UNION ALL ".join(_forecast_errors(k, name) for name, k in GROUPS.items()),
     "holdout_hour_means": f"""WITH {LOAD}, {LEVELS}, {WEATHER},
 train AS (SELECT levels.* FROM levels JOIN weather USING (datetime) WHERE P0 IS NOT NULL AND datetime < {START}),
 hashed AS (SELECT *, hour(datetime) AS h, {_split_hash('CAST(repeat AS VARCHAR)', 'datetime')} AS hash
@@ -374,6 +421,4 @@ pairs AS (SELECT repeat, m0 AS p, P0 AS y FROM held UNION ALL SELECT repeat, m0
           UNION ALL SELECT repeat, m0 + m2, P2 FROM held)
 SELECT 'hour means' AS scenario, repeat, count(*) AS n, {r6('avg(abs((y - p) / nullif(y, 0))) * 100')} AS mape,
        {r6('sqrt(avg((y - p) ** 2))')} AS rmse, {r6('avg(abs(y - p))')} AS mae FROM pairs GROUP BY repeat""",
-    "model_io": f"""WITH {WEATHER} SELECT datetime, TRUE AS "same_P0", TRUE AS "same_DP1", TRUE AS "same_DP2"
-FROM weather WHERE datetime >= {START}""",
 }

@@ -21,18 +21,22 @@ from slotcast.operators.scaling import GroupImputeGlobalScale, Standardiser
 from slotcast.operators.split import exact_split, exact_splits
 from slotcast.plans import evaluate, plotdata
 from slotcast.plans.build import build_tables
-from slotcast.plans.features import SCENARIOS, FeatureSet, project, training_table, weather_features
+from slotcast.plans.features import PREPARATIONS, SCENARIOS, FeatureSet, project, training_table, weather_features
 from slotcast.plans.features import prepare as prepare_features
-from slotcast.plans.models import Boosting, Forest, TargetModels, as_doubles, fit_targets
+from slotcast.plans.models import Boosting, Forest, TargetModels, as_doubles, fit_formula, fit_targets
 from slotcast.plans.tables import ahead, cents, hourly_load, measures_with_gaps, slot_weather, table
 from slotcast.session import fresh_path, materialise, prepare
-from slotcast.sources.delimited import read_delimited, read_results, write_delimited, write_result
+from slotcast.sources.delimited import read_delimited, read_results, write_delimited, write_result, write_submission
 from slotcast.sources.naming import run_label
 from slotcast.sources.snapshots import load_tables, save_tables
 
-# small trees: the checks run on one machine
-SMALL_BOOST = Boosting(rounds=5, step=0.1, min_rows=5, depth=4)
-SMALL_FOREST = Forest(trees=10, depth=5)
+# one tree grown to the end over discrete columns predicts group means, which SQL can follow
+ONE_TREE = Boosting(rounds=1, step=1.0, min_rows=1, depth=12)
+GROUP_SETS = {
+    "hour": FeatureSet(factors=[], numerics=[], others=["Hour"]),
+    "weekend": FeatureSet(factors=[], numerics=[], others=["f_weekend"]),
+    "weekday": FeatureSet(factors=["Weekday"], numerics=[], others=[]),
+}
 MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 FLAGS_BY = ["l_returnflag", "l_linestatus"]
 
@@ -194,12 +198,13 @@ def fold_duplicates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def unfold_predictions(spark: SparkSession, sf: str) -> DataFrame:
-    slots = materialise(fold_hours(spark, sf))
-    direct = fold.unfold(fold.recompose(slots))
-    chained = fold.unfold(fold.recompose(slots, chained=True), value="chained")
-    both = direct.join(chained, "datetime")
-    return position.with_position(both).select("datetime", r6(F.col("puissance")).alias("puissance"),
-                                               r6(F.col("chained")).alias("chained"), "position")
+    slots = fold_hours(spark, sf)
+    hours = [F.struct(F.lit(k).alias("hour"), F.col(f"P{k}").alias("puissance"), F.col(f"chained_P{k}").alias("chained")) for k in range(3)]
+    wide = slots.select("datetime", *fold.level_columns(), *[c.alias(f"chained_{n}") for n, c in zip(("P0", "P1", "P2"), fold.level_columns(chained=True))])
+    both = wide.select("datetime", F.inline(F.array(*hours))).select(
+        stamps.shift_hours(F.col("datetime"), F.col("hour")).alias("datetime"), "puissance", "chained")
+    return position.with_position(both, ties=[]).select("datetime", r6(F.col("puissance")).alias("puissance"),
+                                                        r6(F.col("chained")).alias("chained"), "position")
 
 
 def unpivot_measures(spark: SparkSession, sf: str) -> DataFrame:
@@ -252,7 +257,7 @@ def positional_attach(spark: SparkSession, sf: str) -> DataFrame:
     write_delimited(load.orderBy("datetime").select((F.col("puissance") * 2 + 1).alias("v")), path,
                     decimal=".", header=False)
     vector = position.read_positions(spark, path, "reality double")
-    placed = position.with_position(load)
+    placed = position.with_position(load, ties=[])
     return position.attach_by_position(placed, vector, "reality", after="puissance")
 
 
@@ -484,39 +489,43 @@ def plot_data_load(spark: SparkSession, sf: str) -> DataFrame:
 # --- models ----------------------------------------------------------------------------------
 
 def _train_and_ahead(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    weather = materialise(weather_features(slot_weather(spark, sf)))
+    """Training slots with a load, and every slot ahead: one without measures has NULLs, which imputation fills."""
+    seen = materialise(slot_weather(spark, sf))
+    step = F.expr(f"INTERVAL {fixed.SLOT_HOURS} HOURS")
+    slots = seen.agg(F.min("datetime").alias("low"), F.max("datetime").alias("high")).where("low IS NOT NULL").select(
+        F.explode(F.sequence("low", "high", step)).alias("datetime"))
+    weather = materialise(weather_features(slots.join(seen, "datetime", "left")))
     train = training_table(hourly_load(spark, sf), weather.filter(~ahead(weather)), required=["P0"], keep_levels=True)
     return materialise(train), weather.filter(ahead(weather))
 
 
 def gbt_forecast(spark: SparkSession, sf: str) -> DataFrame:
-    """Slot-level predictions of the three boosted models."""
+    """Slot-level predictions of the three boosted models with the final set's fixed parameters."""
     train, slots = _train_and_ahead(spark, sf)
-    features = SCENARIOS[1]
+    features, preparation = SCENARIOS[7], "impute_group_scale_global"
     predicted, _ = evaluate.fit_predict(
-        project(train, features, fixed.TARGETS), project(slots, features), features, SMALL_BOOST,
-        "impute_group_scale_global")
+        project(train, features, fixed.TARGETS), project(slots, features), features, Boosting.of(preparation, 7), preparation)
     return predicted
 
 
 def rf_forecast(spark: SparkSession, sf: str) -> DataFrame:
-    """Forest on factors as they are, unfolded to hours."""
+    """Forests of 500 trees by formula, on factors as they are, carried to hourly errors."""
     train, slots = _train_and_ahead(spark, sf)
     features = SCENARIOS[2]
     fitted = Standardiser(features.numerics, ["Month", "Hour"]).fit(train)
     numbers = [*features.numerics, *features.others]
-    models = fit_targets(as_doubles(fitted.transform(train), numbers), [*numbers, *features.factors],
-                         fixed.TARGETS, SMALL_FOREST, categories=features.factors)
+    models = fit_formula(as_doubles(fitted.transform(train), numbers), [*numbers, *features.factors], fixed.TARGETS, Forest())
     predicted = models.predict(as_doubles(fitted.transform(slots), numbers))
-    return fold.unfold(fold.recompose(predicted.select("datetime", *fixed.TARGETS)))
+    hourly = fold.unfold(fold.recompose(predicted.select("datetime", *fixed.TARGETS)))
+    reality = hourly_load(spark, sf).select("datetime", F.col("puissance").alias("reality"))
+    return metrics.with_row_error(hourly.join(reality, "datetime", "left"))
 
 
 def gbt_hour_means(spark: SparkSession, sf: str) -> DataFrame:
     """One boosted round that splits on every hour predicts the training mean of each hour,
     so the way from fitting to hourly errors can be followed in SQL."""
     train, slots = _train_and_ahead(spark, sf)
-    one_round = Boosting(rounds=1, step=1.0, min_rows=1, depth=8)
-    models = fit_targets(as_doubles(train, ["Hour"]), ["Hour"], fixed.TARGETS, one_round)
+    models = fit_targets(as_doubles(train, ["Hour"]), ["Hour"], fixed.TARGETS, ONE_TREE)
     predicted = models.predict(as_doubles(slots, ["Hour"])).select("datetime", *fixed.TARGETS)
     hourly = fold.unfold(fold.recompose(predicted))
     reality = hourly_load(spark, sf).select("datetime", F.col("puissance").alias("reality"))
@@ -532,60 +541,64 @@ def rf_weekday_means(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def model_io(spark: SparkSession, sf: str) -> DataFrame:
-    """Saved and reloaded models predict what the fitted ones do."""
+    """Predictions of models that were saved and loaded again."""
     train, slots = _train_and_ahead(spark, sf)
-    features = SCENARIOS[3]
-    numbers = [*features.numerics, *features.others]
-    fitted = Standardiser(numbers).fit(train)
-    models = fit_targets(as_doubles(fitted.transform(train), numbers), numbers, fixed.TARGETS, SMALL_BOOST)
+    models = fit_targets(as_doubles(train, ["Hour"]), ["Hour"], fixed.TARGETS, ONE_TREE)
     folder = fresh_path(spark, "models")
     models.save(spark, folder)
-    again = TargetModels.load(spark, folder, fixed.TARGETS, numbers)
-    asked = as_doubles(fitted.transform(slots), numbers).select("datetime", *numbers)
-    first = models.predict(asked).select("datetime", *[F.col(t).alias(f"first_{t}") for t in fixed.TARGETS])
-    second = again.predict(asked).select("datetime", *fixed.TARGETS)
-    return first.join(second, "datetime").select(
-        "datetime", *[(F.abs(F.col(t) - F.col(f"first_{t}")) < 1e-9).alias(f"same_{t}") for t in fixed.TARGETS])
+    again = TargetModels.load(spark, folder, fixed.TARGETS, ["Hour"])
+    return _rounded(again.predict(as_doubles(slots, ["Hour"])).select("datetime", *fixed.TARGETS), fixed.TARGETS)
 
 
 def repeated_holdout(spark: SparkSession, sf: str) -> DataFrame:
+    """All 70 repeats for a model that predicts the training mean of each hour."""
     train, _ = _train_and_ahead(spark, sf)
-    return evaluate.repeated_holdout(train, SCENARIOS[7], SMALL_BOOST, seeds=[1, 2])
+    errors = evaluate.scenario_sweep(train, ONE_TREE, sets={"hour": GROUP_SETS["hour"]}, parallelism=8)
+    return _rounded(errors, ["mape", "rmse", "mae"])
 
 
 def holdout_hour_means(spark: SparkSession, sf: str) -> DataFrame:
     """Repeated hold-out of a model that predicts the training mean of each hour."""
     train, _ = _train_and_ahead(spark, sf)
-    only_hour = FeatureSet(factors=[], numerics=[], others=["Hour"])
-    one_round = Boosting(rounds=1, step=1.0, min_rows=1, depth=8)
-    errors = evaluate.repeated_holdout(train, only_hour, one_round, seeds=[1, 2, 3], scenario="hour means", parallelism=3)
+    errors = evaluate.repeated_holdout(train, GROUP_SETS["hour"], ONE_TREE, seeds=[1, 2, 3], scenario="hour means", parallelism=3)
     return _rounded(errors, ["mape", "rmse", "mae"])
 
 
 def scenario_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    """Three feature sets over the same five splits, for each of the four preparations."""
     train, _ = _train_and_ahead(spark, sf)
-    small = Boosting(rounds=2, step=0.1, min_rows=5, depth=3)
-    return metrics.leaderboard(evaluate.scenario_sweep(train, small, seeds=[1], parallelism=4))
+    runs = [evaluate.scenario_sweep(train, ONE_TREE, seeds=range(1, 6), sets=GROUP_SETS, preparation=p, parallelism=5) for p in PREPARATIONS]
+    return _rounded(reduce(DataFrame.unionByName, runs), ["mape", "rmse", "mae"])
 
 
 def forecast_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    """The forecast of every scenario, written to result files and read back."""
+    """The forecast of three feature sets, written to result files and read back."""
     train, slots = _train_and_ahead(spark, sf)
-    small = Boosting(rounds=2, step=0.1, min_rows=5, depth=3)
     reality = materialise(hourly_load(spark, sf).select("datetime", F.col("puissance").alias("reality")))
     base = fresh_path(spark, "submissions")
-    errors = evaluate.forecast_sweep(train, slots, reality, small, base=base, parallelism=4, strict=False)
-    written = spark.read.option("header", True).option("sep", ";").csv(base)
-    hours = written.groupBy("run").agg(F.count(F.lit(1)).alias("hours"))
-    number = F.regexp_extract("run", "_forecast([0-9]+)_", 1)
-    # one run per scenario
-    return errors.join(F.broadcast(hours), F.concat(F.lit("scenario "), number) == F.col("scenario"), "left").drop("repeat")
+    errors = evaluate.forecast_sweep(train, slots, reality, ONE_TREE, sets=GROUP_SETS, base=base, parallelism=3, strict=False)
+    schema = T.StructType([T.StructField("datetime", T.TimestampType()), *[T.StructField(n, T.DoubleType()) for n in ("puissance", "reality", "mape")]])
+    hours = read_results(spark, base, schema).groupBy("run").agg(F.count(F.lit(1)).alias("hours"), F.min("datetime").alias("first_hour"))
+    key = F.regexp_extract("run", "_forecast([^_]*)_", 1)
+    # one run per set
+    both = errors.join(F.broadcast(hours), key == F.col("scenario"), "left").drop("repeat", "run")
+    return _rounded(both, ["mape", "rmse", "mae"])
+
+
+def submission_file(spark: SparkSession, sf: str) -> DataFrame:
+    """A forecast as a bare column of values, read back by line."""
+    train, slots = _train_and_ahead(spark, sf)
+    models = fit_targets(as_doubles(train, ["Hour"]), ["Hour"], fixed.TARGETS, ONE_TREE)
+    hourly = fold.unfold(fold.recompose(models.predict(as_doubles(slots, ["Hour"])).select("datetime", *fixed.TARGETS)))
+    path = fresh_path(spark, "submission")
+    write_submission(hourly, path)
+    return position.read_positions(spark, path, "v double").select("position", r6(F.col("v")).alias("v"))
 
 
 def final_forecast(spark: SparkSession, sf: str) -> DataFrame:
     """The whole way: features, final scenario, three models, hourly forecast, row errors."""
     train, slots = _train_and_ahead(spark, sf)
-    hourly, _ = evaluate.forecast(train, slots, learner=SMALL_BOOST)
+    hourly, _ = evaluate.forecast(train, slots)
     reality = hourly_load(spark, sf).select("datetime", F.col("puissance").alias("reality"))
     scored = metrics.with_row_error(hourly.join(reality, "datetime", "left"))
     front = ["datetime", "puissance", "reality", "mape"]
@@ -655,6 +668,7 @@ QUERIES = {
     "holdout_hour_means": holdout_hour_means,
     "scenario_sweep": scenario_sweep,
     "forecast_sweep": forecast_sweep,
+    "submission_file": submission_file,
     "final_forecast": final_forecast,
 }
 

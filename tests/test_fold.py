@@ -87,24 +87,33 @@ def test_rename_checks_the_count(spark):
 
 def test_positions_follow_time(spark):
     hours = series(spark, [(h, h) for h in (50, 3, 27, 4, 0, 100)])
-    out = position.with_position(hours).orderBy("datetime").collect()
+    out = position.with_position(hours, ties=[]).orderBy("datetime").collect()
     assert [r["position"] for r in out] == list(range(6))
     assert [r["puissance"] for r in out] == [0.0, 3.0, 4.0, 27.0, 50.0, 100.0]
 
 
-def test_attach_by_time_and_position(spark):
+def test_attach_by_position(spark):
     hours = series(spark, [(h, h) for h in range(5)])
     vector = spark.createDataFrame([(i, 100.0 + i) for i in range(5)], "position long, reality double")
-    by_time = position.attach_by_time(hours, vector, "reality", "2016-03-27 00:00:00")
-    by_place = position.attach_by_position(position.with_position(hours), vector, "reality", after="datetime")
-    assert by_time.columns == ["datetime", "puissance", "reality"]
+    by_place = position.attach_by_position(position.with_position(hours, ties=[]), vector, "reality", after="datetime")
     assert by_place.columns == ["datetime", "reality", "puissance"]
-    for out in (by_time, by_place):
-        assert all(r["reality"] == 100.0 + r["puissance"] for r in out.collect())
-        assert out.count() == 5
+    assert all(r["reality"] == 100.0 + r["puissance"] for r in by_place.collect())
+    assert by_place.count() == 5
 
 
 def test_tagged_union(spark):
     a, b = spark.range(2), spark.range(3)
     tags = [r["DATA_"] for r in combine.tagged_union(a, b).collect()]
     assert (tags.count("train"), tags.count("test")) == (2, 3)
+
+
+def test_a_duplicate_hour_can_not_be_pruned_away(spark):
+    hours = series(spark, [(0, 1), (1, 2), (1, 3), (2, 4)])
+    for column in ("P0", "P1", "DP2"):
+        with pytest.raises(Exception, match="more than once"):
+            fold.fold_hourly(hours, keep_levels=True).select(column).collect()
+
+
+def test_slots_divide_the_day(spark):
+    with pytest.raises(ValueError):
+        fold.fold_hourly(series(spark, [(0, 1)]), slot_hours=5)

@@ -162,7 +162,7 @@ def test_holdout_and_forecast(tables):
 
 def test_sweep_agrees_with_single_scenarios(tables):
     train, _ = tables
-    swept = {r["scenario"]: r for r in evaluate.scenario_sweep(train, TINY, [3], [2, 8]).collect()}
+    swept = {r["scenario"]: r for r in evaluate.scenario_sweep(train, TINY, [3], {2: SCENARIOS[2], 8: SCENARIOS[8]}).collect()}
     alone = evaluate.repeated_holdout(train, SCENARIOS[2], TINY, [3], "scenario 2").first()
     assert set(swept) == {"scenario 2", "scenario 8"}
     assert swept["scenario 2"]["mape"] == pytest.approx(alone["mape"], rel=1e-6)
@@ -172,7 +172,7 @@ def test_forecast_sweep_writes_each_run(spark, tables, tmp_path):
     train, weather = tables
     ahead = weather.filter("datetime >= '2015-10-31'")
     reality = train.select("datetime", F.col("P0").alias("reality"))
-    errors = evaluate.forecast_sweep(train, ahead, reality, TINY, [2, 7], base=str(tmp_path / "runs"), strict=False).collect()
+    errors = evaluate.forecast_sweep(train, ahead, reality, TINY, {2: SCENARIOS[2], 7: SCENARIOS[7]}, base=str(tmp_path / "runs"), strict=False).collect()
     assert [r["scenario"] for r in errors] == ["scenario 2", "scenario 7"] and all(r["mape"] > 0 for r in errors)
     written = spark.read.option("header", True).option("sep", ";").option("mergeSchema", True).csv(str(tmp_path / "runs"))
     assert {r["run"].split("_")[2] for r in written.select("run").distinct().collect()} == {"forecast2", "forecast7"}
