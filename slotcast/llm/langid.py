@@ -17,6 +17,8 @@ DIMENSIONS = 16
 #: Training rows per language at most, in expectation; all of them reach the driver as bucket counts.
 ROWS_PER_LANGUAGE = 800
 UNKNOWN = "und"
+#: No text is rejected whose most likely language has at least this calibrated probability.
+CEILING = 0.4
 _letters: list[np.ndarray] = []
 
 
@@ -73,11 +75,11 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def fit(labelled: DataFrame, text_column: str = "text", lang_column: str = "lang", rows: int = ROWS_PER_LANGUAGE, seed: int = 7, target: float = 0.995) -> LanguageModel | None:
+def fit(labelled: DataFrame, text_column: str = "text", lang_column: str = "lang", rows: int = ROWS_PER_LANGUAGE, seed: int = 7, target: float = 0.999) -> LanguageModel | None:
     """Train on a hash sample of about ``rows`` rows per language (all rows of rarer ones); whole texts are counted by tasks.
 
     Stochastic gradient descent runs on the bounded sample. A fifth is held back: the temperature minimises
-    its log loss, and the threshold is the highest up to 0.5 that keeps the share ``target`` of its rows. NULL languages and texts without letters
+    its log loss, and the threshold is the highest up to ``CEILING`` that keeps the share ``target`` of its rows. NULL languages and texts without letters
     are no training rows; without any row there is no model.
     """
     ship(labelled.sparkSession)
@@ -138,7 +140,7 @@ def train(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, languages: tupl
     loss = [-np.log(softmax(logits / t)[np.arange(len(held)), y[held]] + 1e-12).mean() if len(held) else abs(t - 1) for t in grid]
     temperature = float(grid[int(np.argmin(loss))])
     top = softmax(logits / temperature).max(axis=1) if len(held) else np.zeros(0)
-    threshold = min(0.5, float(np.quantile(top, 1 - target))) if len(top) else 0.0
+    threshold = min(CEILING, float(np.quantile(top, 1 - target))) if len(top) else 0.0
     return LanguageModel(languages, table.astype(np.float32), bias, temperature, threshold)
 
 
