@@ -27,7 +27,7 @@ def test_entry_forecasts_the_horizon(spark):
     out = entry.entry(spark)
     assert out.columns[:4] == ["datetime", "puissance", "reality", "mape"]
     rows = out.collect()
-    assert rows and all(r["puissance"] is not None for r in rows)
+    assert len(rows) == 192 and all(r["puissance"] is not None for r in rows)
 
 
 def test_every_sql_has_a_query():
