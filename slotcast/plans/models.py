@@ -45,7 +45,7 @@ class Boosting:
         return GBTRegressor(
             labelCol=target, predictionCol=f"{target}_hat", maxIter=self.rounds, stepSize=self.step,
             maxDepth=self.depth, minInstancesPerNode=self.min_rows, subsamplingRate=self.subsample,
-            maxBins=self.max_bins, cacheNodeIds=True, maxMemoryInMB=512, seed=self.seed,
+            maxBins=self.max_bins, maxMemoryInMB=512, checkpointInterval=25, seed=self.seed,
         )
 
 

@@ -140,8 +140,3 @@ def test_quotes_in_levels_and_names(spark):
     out = OneHot(["odd name"]).fit(df).transform(Standardiser(["x y"]).fit(df).transform(df))
     assert out.columns == ["x y", "a\\b", "it's"]
     assert sorted(map(tuple, out.collect()))[0][1:] == (0, 1)
-
-
-def test_too_many_levels_is_an_error(spark):
-    with pytest.raises(ValueError, match="levels"):
-        find_levels(spark.range(1500), ["id"])
