@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotcast.llm.common import ship, slices
-from slotcast.session import materialise
+from slotcast.session import materialise, release
 
 MIN_WORDS = 50
 GRAM = 10
@@ -146,7 +146,10 @@ def repeated_passages(
     kept = materialise(texts.mapInArrow(_anchors(min_words, gram), f"id {kind}, version int, start int, count int, seed long, span long"))
     # a gram that occurs at one place has no partner; counts are written, so that Spark can split a hot gram in the join
     shared = materialise(kept.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed"))
-    members = materialise(kept.join(shared, "seed", "left_semi").distinct())
+    # written before rows are made distinct: else both would share one shuffle by gram, which can not be split
+    joined = materialise(kept.join(shared, "seed", "left_semi"))
+    members = materialise(joined.distinct())
+    release(kept, shared, joined)
     spans = materialise(
         members.groupBy("seed", "span").agg(F.count("*").alias("n"), F.min(F.struct("id", "start", "version", "count")).alias("first"))
     )
