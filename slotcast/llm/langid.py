@@ -76,7 +76,7 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(labelled: DataFrame, text_column: str = "text", lang_column: str = "lang", rows: int = ROWS_PER_LANGUAGE, seed: int = 7, target: float = 0.999) -> LanguageModel | None:
-    """Train on a hash sample of about ``rows`` rows per language (all rows of rarer ones); whole texts are counted by tasks.
+    """Train on a hash sample of about ``rows`` rows per language (all rows of rarer ones), copies taken once; whole texts are counted by tasks.
 
     Stochastic gradient descent runs on the bounded sample. A fifth is held back: the temperature minimises
     its log loss, and the threshold is the highest up to ``CEILING`` that keeps the share ``target`` of its rows. NULL languages and texts without letters
@@ -90,7 +90,8 @@ def fit(labelled: DataFrame, text_column: str = "text", lang_column: str = "lang
         return None
     place = F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     rate = F.coalesce(*[F.when(F.col("lang") == k, F.lit(v)) for k, v in rates.items()])
-    sample = pairs.where(place < rate).mapInArrow(_counter, "lang string, bucket array<int>, count array<int>").toArrow()
+    # copies share a place: a hot text is one row of the sample
+    sample = pairs.where(place < rate).distinct().mapInArrow(_counter, "lang string, bucket array<int>, count array<int>").toArrow()
     buckets, counts, names = sample.column("bucket").to_pylist(), sample.column("count").to_pylist(), sample.column("lang").to_pylist()
     order = sorted((i for i in range(len(names)) if buckets[i]), key=lambda i: (names[i], buckets[i], counts[i]))
     if not order:
