@@ -14,17 +14,18 @@ CELL = ["_i", "_j"]
 SMALL = 32
 
 
-def deal(keyed: DataFrame, keys: list[str], spread: str, block: int) -> DataFrame:
+def deal(keyed: DataFrame, keys: list[str], spread: str, block: int, rare: bool = True) -> DataFrame:
     """Deal the buckets named by ``keys`` into cells, sorted so that a cell's rows follow each other.
 
     A bucket of n rows is cut into ceil(n / block) parts by a hash of ``spread``; cell (i, j) holds parts i and j,
-    so that every pair of rows meets in one cell and no task ever holds more than one cell. Buckets of one row go.
+    so that every pair of rows meets in one cell and no task ever holds more than one cell. If ``rare``, most buckets are taken to
+    have one row, and these go before rows are shuffled; else only buckets of more than ``block`` rows are looked up, which are few.
     """
     # written, so that both sides of the join are shuffled for it and a hot bucket can be split
-    sizes = materialise(keyed.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1"))
-    parts = F.ceil(F.col("_n") / F.lit(block)).cast("int")
+    sizes = materialise(keyed.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > (1 if rare else block)))
+    parts = F.ceil(F.coalesce("_n", F.lit(1)) / F.lit(block)).cast("int")
     cut = (
-        keyed.join(sizes, keys)
+        keyed.join(sizes, keys, "inner" if rare else "left")
         .withColumn("_parts", parts)
         .withColumn("_part", F.pmod(F.xxhash64(spread), F.col("_parts").cast("long")).cast("int"))
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))

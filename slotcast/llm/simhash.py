@@ -18,11 +18,17 @@ from slotcast.session import materialise
 
 BITS = 64
 BLOCK = 1024
+#: The wide fingerprint: 128 bits in two words, looked up in four parts of 32 bits. A Jaccard similarity of 0.8 makes 19 bits differ
+#: in expectation; every pair up to 15 bits apart meets in some table.
+WIDE = ("_first", "_second")
+WIDE_PARTS = 4
+WIDE_RADIUS = 15
+WIDE_LIMIT = 19
 _CHUNK = 1 << 16
 
 
-def masks(radius: int) -> list[int]:
-    """Bit masks that cover the radius: of any ``radius`` bits, some mask holds none.
+def masks(radius: int, bits: int = BITS) -> list[int]:
+    """Masks of ``bits`` bits that cover the radius: of any ``radius`` bits, some mask holds none.
 
     Bit i gets a nonzero vector of radius + 1 binary digits; mask v holds the bits whose vector has an odd
     product with v. The vectors of ``radius`` bits span less than the whole space, so some v is orthogonal to all.
@@ -31,25 +37,38 @@ def masks(radius: int) -> list[int]:
     if not 0 <= radius <= 8:
         raise ValueError("radius must be between 0 and 8: the masks double with each step")
     if radius == 0:
-        return [(1 << BITS) - 1]
+        return [(1 << bits) - 1]
     space = (1 << (radius + 1)) - 1
-    vectors = [i % space + 1 for i in range(BITS)]
+    vectors = [i % space + 1 for i in range(bits)]
     return [sum(1 << i for i, m in enumerate(vectors) if (m & v).bit_count() % 2) for v in range(1, space + 1)]
 
 
-def fingerprint(text: bytes, words: int, seed: int) -> int:
-    """Majority bits over the hashes of all word shingles of a text, with repeats."""
+def _narrow(shingles: Iterator[bytes], seed: int) -> bytes:
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), dtype="<u8").tobytes()
+
+
+def _wide(shingles: Iterator[bytes], seed: int) -> bytes:
+    return b"".join(map(xxhash.xxh3_128_digest, shingles, repeat(seed)))
+
+
+def majority(text: bytes, words: int, seed: int, hashes: Callable[[Iterator[bytes], int], bytes], size: int) -> np.ndarray:
+    """Majority bits over the hashes of all word shingles of a text, with repeats, as ``size`` words of 64 bits."""
     w = text.lower().split()
     if not w:
-        return 0
+        return np.zeros(size, dtype=np.uint64)
     n = max(1, len(w) - words + 1)
-    ones = np.zeros(BITS, dtype=np.int64)
+    ones = np.zeros(BITS * size, dtype=np.int64)
     for start in range(0, n, _CHUNK):
         part = w[start : start + _CHUNK + words - 1]
         shingles = map(b" ".join, zip(*(part[i:] for i in range(words)))) if len(w) >= words else iter([b" ".join(w)])
-        h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), dtype="<u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
+        h = np.frombuffer(hashes(shingles, seed), dtype=np.uint8)
+        ones += np.unpackbits(h.reshape(-1, 8 * size), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > n, bitorder="little").view("<u8")
+
+
+def fingerprint(text: bytes, words: int, seed: int) -> int:
+    """The 64 majority bits over the XXH64 values of a text's shingles."""
+    return int(majority(text, words, seed, _narrow, 1)[0])
 
 
 def _fingerprinter(words: int, seed: int, text: str, names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -72,40 +91,67 @@ def fingerprinted(docs: DataFrame, text_column: str = "text", carry: list[str] |
     return rows.mapInArrow(_fingerprinter(words, seed, text_column, names), f"{schema}, _fingerprint long")
 
 
-def _linker(radius: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _wide_fingerprinter(words: int, seed: int, text: str, names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "_text"):
+            texts = batch.column("_text").cast(pa.binary()).to_pylist()
+            values = np.array([majority(t or b"", words, seed, _wide, len(WIDE)) for t in texts], dtype=np.uint64).reshape(-1, len(WIDE)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*put_back(batch, text, names), *(pa.array(np.ascontiguousarray(v)) for v in values.T)], [*names, *WIDE])
+
+    return step
+
+
+def wide_fingerprinted(docs: DataFrame, text_column: str = "text", words: int = 5, seed: int = 42) -> DataFrame:
+    """``docs`` and a fingerprint of 128 bits in two columns, made as in :func:`fingerprinted` from 128-bit XXH3 values."""
+    ship(docs.sparkSession)
+    rows, schema = carried(docs, text_column, docs.columns)
+    return rows.mapInArrow(_wide_fingerprinter(words, seed, text_column, docs.columns), f"{schema}, " + ", ".join(f"{c} long" for c in WIDE))
+
+
+def _linker(limit: int, bits: tuple[str, ...]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in runs(batches, ["table", "key", *CELL]):
             table, key, i, j, part, value = (rows.column(c).to_numpy() for c in ("table", "key", *CELL, "_part", "value"))
+            words = [rows.column(c).to_numpy().view(np.uint64) for c in bits]
             at = bounds([table, key, i, j])
-            bits = value.view(np.uint64)
             left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for a, b in meetings(at, part, (i != j)[at[:-1]]):
-                near = np.bitwise_count(bits[a] ^ bits[b]) <= radius
+                apart = np.bitwise_count(words[0][a] ^ words[0][b])
+                for w in words[1:]:
+                    apart = apart + np.bitwise_count(w[a] ^ w[b])
+                near = apart <= limit
                 left.append(a[near])
                 right.append(b[near])
-            root = local_roots(len(bits), np.concatenate(left), np.concatenate(right))
+            root = local_roots(len(value), np.concatenate(left), np.concatenate(right))
             moved = np.flatnonzero(root != np.arange(len(root)))
             yield pa.RecordBatch.from_arrays([pa.array(value[moved]), pa.array(value[root[moved]])], ["a", "b"])
 
     return step
 
 
-def links(distinct: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
-    """Edges ``(a, b)`` that connect exactly the fingerprints (column ``value``, no repeats) at most ``radius`` bits apart.
+def links(distinct: DataFrame, radius: int, block: int = BLOCK, bits: tuple[str, ...] = ("value",), parts: int = 1, limit: int | None = None) -> DataFrame:
+    """Edges ``(a, b)`` that connect the rows of ``distinct`` (column ``value``, no repeats) whose fingerprints, in the columns ``bits``,
+    are at most ``limit`` bits apart and meet in some table. Every pair at most ``radius`` bits apart does; without a ``limit``,
+    these are all.
 
-    A bucket is worked off in cells; of each cell only a spanning forest leaves the task.
+    A fingerprint is cut into ``parts``; of ``radius`` bits some part has at most ``radius // parts``, so masks that cover
+    so many in each part are enough. A bucket is worked off in cells; of each cell only a spanning forest leaves the task.
     """
     ship(distinct.sparkSession)
-    signed = [m - (1 << BITS) if m >> (BITS - 1) else m for m in masks(radius)]
+    width = BITS * len(bits) // parts
+    cover = [(bits[p * width // BITS], m << (p * width % BITS)) for p in range(parts) for m in masks(radius // parts, width)]
+    signed = [(c, m - (1 << BITS) if m >> (BITS - 1) else m) for c, m in cover]
     # the masked value itself is the key, so a bucket holds no chance collisions
-    tables = F.array(*[F.struct(F.lit(n).alias("table"), F.col("value").bitwiseAND(F.lit(m).cast("long")).alias("key")) for n, m in enumerate(signed)])
-    keyed = distinct.select("value", F.explode(tables).alias("t")).select("value", "t.table", "t.key")
-    return deal(keyed, ["table", "key"], "value", block).select("table", "key", *CELL, "_part", "value").mapInArrow(_linker(radius), "a long, b long").distinct()
+    tables = F.array(*[F.struct(F.lit(n).alias("table"), F.col(c).bitwiseAND(F.lit(m).cast("long")).alias("key")) for n, (c, m) in enumerate(signed)])
+    columns = list(dict.fromkeys(["value", *bits]))
+    keyed = distinct.select(*columns, F.explode(tables).alias("t")).select(*columns, "t.table", "t.key")
+    dealt = deal(keyed, ["table", "key"], "value", block, rare=width == BITS)
+    return dealt.select("table", "key", *CELL, "_part", *columns).mapInArrow(_linker(radius if limit is None else limit, bits), "a long, b long").distinct()
 
 
-def rooted(distinct: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
-    """``distinct`` (a written table with fingerprints as ``value``) and ``root``, one fingerprint for each component."""
-    root = components(links(distinct, radius, block))
+def rooted(distinct: DataFrame, edges: DataFrame) -> DataFrame:
+    """``distinct`` (a written table with nodes as ``value``) and ``root``, one node for each component."""
+    root = components(edges)
     return materialise(distinct.join(root, F.col("value") == F.col("node"), "left").withColumn("root", F.coalesce("root", "value")).drop("node"))
 
 
@@ -118,22 +164,24 @@ def near_duplicates(
     """
     marked = materialise(fingerprinted(docs, text_column, [id_column], words, seed).select(F.col(id_column).alias("id"), F.col("_fingerprint").alias("fingerprint")))
     distinct = materialise(marked.groupBy(F.col("fingerprint").alias("value")).agg(F.min("id").alias("least")))
-    nodes = rooted(distinct, radius, block)
+    nodes = rooted(distinct, links(distinct, radius, block))
     lowest = materialise(nodes.groupBy("root").agg(F.min("least").alias("component")))
     named = nodes.join(lowest, "root").select("value", "component")
     return marked.join(named, F.col("fingerprint") == F.col("value")).select("id", "fingerprint", "component")
 
 
-def without_copies(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, radius: int = 5, seed: int = 42, block: int = BLOCK
-) -> DataFrame:
+def without_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, radius: int = WIDE_RADIUS, limit: int = WIDE_LIMIT, seed: int = 42, block: int = BLOCK) -> DataFrame:
     """``docs`` with all columns, one row of each component: that of the smallest id, the first read of equal ones. NULL ids
     stand behind all others. Texts without a word are one component. Rows are numbered in a written table, so
     repeated ids are told apart.
+
+    Fingerprints have 128 bits here, because 64 leave too wide a spread at a Jaccard similarity of 0.8. They are linked at no more than
+    ``limit`` differing bits if they meet in a table, which all pairs up to ``radius`` bits do and nearly all up to the limit.
     """
     names = docs.columns
-    marked = materialise(fingerprinted(docs, text_column, None, words, seed).withColumn("_row", F.monotonically_increasing_id()))
+    marked = materialise(wide_fingerprinted(docs, text_column, words, seed).withColumn("_row", F.monotonically_increasing_id()))
     first = F.min(F.struct(F.col(f"`{id_column}`").isNull().alias("none"), F.col(f"`{id_column}`").alias("id"), "_row"))
-    distinct = materialise(marked.groupBy(F.col("_fingerprint").alias("value")).agg(first.alias("first")))
-    stay = rooted(distinct, radius, block).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first._row").alias("_row"))
+    distinct = materialise(marked.groupBy(*WIDE).agg(first.alias("first")).withColumn("value", F.monotonically_increasing_id()))
+    nodes = rooted(distinct, links(distinct, radius, block, WIDE, WIDE_PARTS, limit))
+    stay = nodes.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first._row").alias("_row"))
     return marked.join(stay, "_row", "left_semi").select(*[f"`{n}`" for n in names])

@@ -3,19 +3,30 @@ from itertools import combinations
 
 import xxhash
 
-from slotcast.llm.simhash import fingerprint, masks, near_duplicates, without_copies
+from slotcast.llm.simhash import WIDE_LIMIT, WIDE_PARTS, WIDE_RADIUS, fingerprint, masks, near_duplicates, without_copies
 
 
-def plain_fingerprint(text, words=4):
+def plain_fingerprint(text, words=4, hashed=lambda s: xxhash.xxh64_intdigest(s, 42), bits=64):
     w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").encode().split()
     if not w:
         return 0
     shingles = [b" ".join(w[i : i + words]) for i in range(len(w) - words + 1)] or [b" ".join(w)]
-    h = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
-    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    h = [hashed(s) for s in shingles]
+    return sum(1 << b for b in range(bits) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def plain_components(values, radius):
+def plain_wide(text):
+    return plain_fingerprint(text, 5, lambda s: int.from_bytes(xxhash.xxh3_128_digest(s, 42), "little"), 128)
+
+
+def near_and_met(a, b):
+    """Few enough bits differ, and in some part a mask holds none of them."""
+    apart, width = a ^ b, 128 // WIDE_PARTS
+    parts = [apart >> width * p & (1 << width) - 1 for p in range(WIDE_PARTS)]
+    return apart.bit_count() <= WIDE_LIMIT and any(not m & p for p in parts for m in masks(WIDE_RADIUS // WIDE_PARTS, width))
+
+
+def plain_components(values, radius, linked=None):
     root = list(range(len(values)))
 
     def find(i):
@@ -24,7 +35,7 @@ def plain_components(values, radius):
         return i
 
     for i, j in combinations(range(len(values)), 2):
-        if (values[i] ^ values[j]).bit_count() <= radius:
+        if linked(values[i], values[j]) if linked else (values[i] ^ values[j]).bit_count() <= radius:
             root[find(j)] = find(i)
     return [find(i) for i in range(len(values))]
 
@@ -64,6 +75,51 @@ def test_masks_leave_out_any_bits_of_the_radius():
             assert any(not m & bits for m in all_masks)
 
 
+def test_all_pairs_in_the_radius_meet_in_a_part():
+    source = random.Random(3)
+    for _ in range(2000):
+        assert near_and_met(0, sum(1 << b for b in source.sample(range(128), source.randrange(WIDE_RADIUS + 1))))
+    far = sum(near_and_met(0, sum(1 << b for b in source.sample(range(128), WIDE_LIMIT))) for _ in range(2000))
+    assert far > 1900
+
+
+def edited(n, seed):
+    """Texts of 200 words, each with up to 14 words of one text changed."""
+    source = random.Random(seed)
+    base = [f"w{source.randrange(5000)}" for _ in range(200)]
+    rows = []
+    for i in range(n):
+        w = list(base)
+        for at in source.sample(range(len(w)), source.randrange(15)):
+            w[at] = f"e{source.randrange(5000)}"
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def test_stage_equals_brute_force(spark):
+    other = [(1000 + i, text) for i, (_, text) in enumerate(edited(15, 6))]
+    rows = edited(60, 5) + other + [(2000 + i, f"Text number {i} of its own, about nothing {i * 7}") for i in range(30)] + [(3000, None), (3001, " "), (3002, "ONE"), (3003, "one")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    roots = plain_components([plain_wide(t) for _, t in rows], 0, near_and_met)
+    first = {}
+    for (i, _), r in zip(rows, roots):
+        first[r] = min(first.get(r, i), i)
+    assert 3 < len(first) < len(rows) - 20
+    for block in (1024, 8):
+        assert sorted(r.doc_id for r in without_copies(docs, block=block).collect()) == sorted(first.values())
+
+
+def test_copies_with_few_changed_words_go(spark):
+    source = random.Random(8)
+    base = [f"w{source.randrange(5000)}" for _ in range(400)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 30):
+        w = list(base)
+        w[source.randrange(400)] = "changed"
+        rows.append((i, " ".join(w)))
+    assert [r.doc_id for r in without_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [0]
+
+
 def test_long_text_is_hashed_in_parts():
     text = " ".join(str(i % 977) for i in range(140_000))
     assert fingerprint(text.encode(), 4, 42) == plain_fingerprint(text)
