@@ -31,7 +31,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, at least 59 of 64 fingerprint bits equal."""
+    """One document of each group of near copies: five-word shingles, at least 109 of 128 fingerprint bits equal."""
     return simhash.without_copies(docs)
 
 
