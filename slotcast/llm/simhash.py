@@ -19,11 +19,11 @@ from slotcast.session import materialise
 BITS = 64
 BLOCK = 1024
 #: The wide fingerprint: 128 bits in two words, looked up in four parts of 32 bits. A Jaccard similarity of 0.8 makes 19 bits differ
-#: in expectation; every pair up to 15 bits apart meets in some table.
+#: in expectation; every pair up to 19 bits apart meets in some table (4 bits in each part, 124 tables).
 WIDE = ("_first", "_second")
 WIDE_PARTS = 4
-WIDE_RADIUS = 15
 WIDE_LIMIT = 19
+WIDE_RADIUS = WIDE_LIMIT
 _CHUNK = 1 << 16
 
 
@@ -176,7 +176,7 @@ def without_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str
     repeated ids are told apart.
 
     Fingerprints have 128 bits here, because 64 leave too wide a spread at a Jaccard similarity of 0.8. They are linked at no more than
-    ``limit`` differing bits if they meet in a table, which all pairs up to ``radius`` bits do and nearly all up to the limit.
+    ``limit`` differing bits if they meet in a table, which all pairs up to ``radius`` bits do; by default that is the limit.
     """
     names = docs.columns
     marked = materialise(wide_fingerprinted(docs, text_column, words, seed).withColumn("_row", F.monotonically_increasing_id()))

@@ -83,6 +83,29 @@ def test_all_pairs_in_the_radius_meet_in_a_part():
     assert far > 1900
 
 
+def test_all_pairs_within_the_limit_meet():
+    source = random.Random(3)
+    width = 128 // WIDE_PARTS
+    cover = masks(WIDE_RADIUS // WIDE_PARTS, width)
+    for apart in range(WIDE_LIMIT + 1):
+        for _ in range(1000):
+            bits = sum(1 << b for b in source.sample(range(128), apart))
+            parts = [bits >> width * p & (1 << width) - 1 for p in range(WIDE_PARTS)]
+            assert any(not m & p for p in parts for m in cover)
+
+
+def test_stage_links_at_the_limit_by_bit_count_alone(spark):
+    rows = edited(60, 5) + [(1000 + i, text) for i, (_, text) in enumerate(edited(60, 6))]
+    values = [plain_wide(t) for _, t in rows]
+    assert any((a ^ b).bit_count() == WIDE_LIMIT for a, b in combinations(values, 2))
+    roots = plain_components(values, WIDE_LIMIT)
+    first = {}
+    for (i, _), r in zip(rows, roots):
+        first[r] = min(first.get(r, i), i)
+    got = without_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == sorted(first.values())
+
+
 def edited(n, seed):
     """Texts of 200 words, each with up to 14 words of one text changed."""
     source = random.Random(seed)
