@@ -31,8 +31,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, at least 109 of 128 fingerprint bits equal."""
-    return simhash.without_copies(docs)
+    """One document of each group of near copies: sets of five-word shingles with a Jaccard similarity of 0.8 or more."""
+    return simhash.without_copies(docs, near=simhash.NEAR)
 
 
 def passages_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

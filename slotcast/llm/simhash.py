@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -24,6 +25,11 @@ WIDE = ("_first", "_second")
 WIDE_PARTS = 4
 WIDE_LIMIT = 19
 WIDE_RADIUS = WIDE_LIMIT
+#: Near copies share four fifths of their different shingles or more.
+NEAR = (4, 5)
+#: Min-hash bands that propose pairs beyond the limit of bits: a pair at a Jaccard similarity of 0.8 misses all with probability (1 - 0.8^5)^30 < 1e-5.
+BANDS = 30
+BAND_ROWS = 5
 _CHUNK = 1 << 16
 
 
@@ -170,18 +176,189 @@ def near_duplicates(
     return marked.join(named, F.col("fingerprint") == F.col("value")).select("id", "fingerprint", "component")
 
 
-def without_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, radius: int = WIDE_RADIUS, limit: int = WIDE_LIMIT, seed: int = 42, block: int = BLOCK) -> DataFrame:
+def shingle_digests(text: bytes, words: int, seed: int) -> np.ndarray:
+    """128-bit XXH3 values of the different word shingles of a text as rows of two 64-bit words, sorted by the first, by which they are told apart."""
+    w = text.lower().split()
+    if not w:
+        return np.zeros((0, len(WIDE)), dtype=np.uint64)
+    shingles = map(b" ".join, zip(*(w[i:] for i in range(words)))) if len(w) >= words else iter([b" ".join(w)])
+    h = np.frombuffer(_wide(shingles, seed), dtype="<u8").reshape(-1, len(WIDE))
+    return h[np.unique(h[:, 0], return_index=True)[1]]
+
+
+def sketch(digests: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Majority bits over the different shingles, and a key for each min-hash band."""
+    if not len(digests):
+        return np.zeros(len(WIDE), dtype=np.uint64), np.zeros(BANDS, dtype=np.uint64)
+    random = np.random.default_rng(seed)
+    times, plus = (random.integers(0, 1 << 64, BANDS * BAND_ROWS, dtype=np.uint64, endpoint=False) | np.uint64(1) for _ in range(2))
+    ones, least = np.zeros(BITS * len(WIDE), dtype=np.int64), np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max)
+    for start in range(0, len(digests), 4096):
+        part = np.ascontiguousarray(digests[start : start + 4096])
+        ones += np.unpackbits(part.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        least = np.minimum(least, (part[:, 1, None] * times + plus).min(axis=0))
+    bands = [xxhash.xxh3_64_intdigest(b.tobytes(), seed) for b in least.reshape(BANDS, BAND_ROWS)]
+    return np.packbits(ones * 2 > len(digests), bitorder="little").view("<u8"), np.array(bands, dtype=np.uint64)
+
+
+def _set_sketcher(words: int, seed: int, text: str, names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "_text"):
+            found = [shingle_digests(t or b"", words, seed) for t in batch.column("_text").cast(pa.binary()).to_pylist()]
+            made = [sketch(d, seed) for d in found]
+            bits = np.array([b for b, _ in made], dtype=np.uint64).reshape(-1, len(WIDE)).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *put_back(batch, text, names), *(pa.array(np.ascontiguousarray(v)) for v in bits.T), pa.array([xxhash.xxh3_128_digest(d.tobytes(), seed) for d in found], pa.binary()),
+                    pa.array([len(d) for d in found], pa.int64()), pa.array([b.view(np.int64) for _, b in made], pa.list_(pa.int64())),
+                ],
+                [*names, *WIDE, "_set", "_size", "_bands"],
+            )
+
+    return step
+
+
+def set_sketched(docs: DataFrame, text_column: str = "text", words: int = 5, seed: int = 42) -> DataFrame:
+    """``docs`` with what :func:`near_links` needs of each text's set of shingles: a fingerprint of 128 bits, a digest and the size of the set,
+    and min-hash bands. A repeated shingle counts once."""
+    ship(docs.sparkSession)
+    rows, schema = carried(docs, text_column, docs.columns)
+    added = "".join(f", {c} long" for c in WIDE) + ", _set binary, _size long, _bands array<long>"
+    return rows.mapInArrow(_set_sketcher(words, seed, text_column, docs.columns), schema + added)
+
+
+def _proposer(limit: int | None, near: tuple[int, int], take: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs of a cell with different labels that may be near: sizes allow it, and no more than ``limit`` bits differ, if given."""
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in runs(batches, ["table", "key", *CELL]):
+            table, key, i, j, part, value, size, label = (rows.column(c).to_numpy() for c in ("table", "key", *CELL, "_part", "value", "_size", "label"))
+            words = [rows.column(c).to_numpy().view(np.uint64) for c in WIDE] if limit is not None else []
+            at = bounds([table, key, i, j])
+            left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for a, b in meetings(at, part, (i != j)[at[:-1]]):
+                good = (label[a] != label[b]) & (near[1] * np.minimum(size[a], size[b]) >= near[0] * np.maximum(size[a], size[b]))
+                a, b = a[good], b[good]
+                if limit is not None:
+                    good = sum(np.bitwise_count(w[a] ^ w[b]) for w in words) <= limit
+                    a, b = a[good], b[good]
+                if take != "all":
+                    left.append(a)
+                    right.append(b)
+                elif len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(value[a], value[b])), pa.array(np.minimum(value[a], value[b]))], ["a", "b"])
+            if take != "all":
+                a, b = np.concatenate(left), np.concatenate(right)
+                if take == "stars":
+                    root = local_roots(len(value), a, b)
+                    a = np.flatnonzero(root != np.arange(len(root)))
+                    b = root[a]
+                else:
+                    # a drawn pair for each label of a cell: the lowest of random ranks
+                    group = np.unique(np.stack([np.repeat(np.arange(len(at) - 1), np.diff(at)), label]), axis=1, return_inverse=True)[1].ravel()
+                    mixed = np.random.default_rng(int(at[-1])).permutation(len(a))
+                    best = np.full(len(value), len(a))
+                    np.minimum.at(best, group[a], mixed)
+                    np.minimum.at(best, group[b], mixed)
+                    chosen = np.isin(mixed, best)
+                    a, b = a[chosen], b[chosen]
+                a, b = value[a], value[b]
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+
+    return step
+
+
+def proposals(labelled: DataFrame, radius: int, limit: int, near: tuple[int, int], block: int, take: str) -> DataFrame:
+    """Pairs ``(a, b)`` of ``labelled`` (``value``, ``label``, fingerprint, ``_size``, ``_bands``) that meet in a table of masked fingerprints, within ``limit`` bits, or in
+    a min-hash band: ``all`` of them, ``stars`` that connect what they connect in a cell, or ``some`` of the bands' pairs, one or more for each label in a cell."""
+    width = BITS * len(WIDE) // WIDE_PARTS
+    cover = [(WIDE[p * width // BITS], m << (p * width % BITS)) for p in range(WIDE_PARTS) for m in masks(radius // WIDE_PARTS, width)]
+    signed = [(c, m - (1 << BITS) if m >> (BITS - 1) else m) for c, m in cover]
+    tables = F.array(*[F.struct(F.lit(n).alias("table"), F.col(c).bitwiseAND(F.lit(m).cast("long")).alias("key")) for n, (c, m) in enumerate(signed)])
+    full = labelled.where("_size > 0")
+    masked = full.select("value", "label", "_size", *WIDE, F.explode(tables).alias("t")).select("value", "label", "_size", *WIDE, "t.table", "t.key")
+    banded = full.select("value", "label", "_size", F.posexplode("_bands").alias("table", "key"))
+    found = [
+        deal(keyed, ["table", "key"], "value", block, rare=most is None).select("table", "key", *CELL, "_part", *columns).mapInArrow(_proposer(most, near, take), "a long, b long")
+        for keyed, most, columns in ([(masked, limit, ["value", "label", "_size", *WIDE])] if take != "some" else []) + [(banded, None, ["value", "label", "_size"])]
+    ]
+    return reduce(DataFrame.union, found).distinct()
+
+
+def _verifier(near: tuple[int, int], words: int, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+
+        def shingles(node: int, text: bytes) -> np.ndarray:
+            if node not in held:
+                if len(held) >= 64:
+                    held.pop(next(iter(held)))
+                held[node] = shingle_digests(text, words, seed)[:, 0]
+            return held[node]
+
+        for batch in slices(batches, "text_a"):
+            good = []
+            a, b = batch.column("a"), batch.column("b")
+            text_a, text_b = (batch.column(c).cast(pa.binary()) for c in ("text_a", "text_b"))
+            for k, (i, j) in enumerate(zip(a.to_pylist(), b.to_pylist())):
+                x, y = shingles(i, text_a[k].as_py()), shingles(j, text_b[k].as_py())
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(near[1] * both >= near[0] * (len(x) + len(y) - both))
+            keep = pa.array(good, pa.bool_())
+            yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], ["a", "b"])
+
+    return step
+
+
+def verified(pairs: DataFrame, texts: DataFrame, near: tuple[int, int], words: int, seed: int) -> DataFrame:
+    """The pairs (a written table) whose texts (``value``, ``_text``) have a Jaccard similarity of ``near[0] / near[1]`` or more, in whole numbers."""
+    one = pairs.join(texts.select(F.col("value").alias("a"), F.col("_text").alias("text_a")), "a")
+    both = one.join(texts.select(F.col("value").alias("b"), F.col("_text").alias("text_b")), "b")
+    return materialise(both.select("a", "b", "text_a", "text_b").mapInArrow(_verifier(near, words, seed), "a long, b long"))
+
+
+def near_links(distinct: DataFrame, texts: DataFrame, radius: int, limit: int, near: tuple[int, int], words: int, seed: int, block: int = BLOCK) -> DataFrame:
+    """Edges ``(a, b)``, each verified on the texts, that connect what all pairs of near sets connect.
+
+    Fingerprints and min-hash bands only propose. First stars in each cell are verified, which join most of a large group, then a few pairs of each
+    label; then all proposed pairs whose nodes are not yet connected, so a pair turned down before hides no other.
+    """
+    ship(distinct.sparkSession)
+    labelled, edges = distinct.withColumn("label", F.col("value")), None
+    for take in ("stars", "some", "all"):
+        more = verified(materialise(proposals(labelled, radius, limit, near, block, take)), texts, near, words, seed)
+        edges = more if edges is None else edges.union(more)
+        if take != "all":
+            labelled = rooted(distinct, edges).withColumnRenamed("root", "label")
+    return edges
+
+
+def without_copies(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, radius: int = WIDE_RADIUS, limit: int = WIDE_LIMIT, seed: int = 42, block: int = BLOCK,
+    near: tuple[int, int] | None = None,
+) -> DataFrame:
     """``docs`` with all columns, one row of each component: that of the smallest id, the first read of equal ones. NULL ids
     stand behind all others. Texts without a word are one component. Rows are numbered in a written table, so
     repeated ids are told apart.
 
     Fingerprints have 128 bits here, because 64 leave too wide a spread at a Jaccard similarity of 0.8. They are linked at no more than
     ``limit`` differing bits if they meet in a table, which all pairs up to ``radius`` bits do; by default that is the limit.
+
+    With ``near``, two numbers, the similarity of the texts decides instead: rows are linked if their sets of shingles have a Jaccard similarity
+    of ``near[0] / near[1]`` or more. See :func:`near_links`.
     """
     names = docs.columns
-    marked = materialise(wide_fingerprinted(docs, text_column, words, seed).withColumn("_row", F.monotonically_increasing_id()))
-    first = F.min(F.struct(F.col(f"`{id_column}`").isNull().alias("none"), F.col(f"`{id_column}`").alias("id"), "_row"))
-    distinct = materialise(marked.groupBy(*WIDE).agg(first.alias("first")).withColumn("value", F.monotonically_increasing_id()))
-    nodes = rooted(distinct, links(distinct, radius, block, WIDE, WIDE_PARTS, limit))
+    sketched = wide_fingerprinted(docs, text_column, words, seed) if near is None else set_sketched(docs, text_column, words, seed)
+    marked = materialise(sketched.withColumn("_row", F.monotonically_increasing_id()))
+    first = F.min(F.struct(F.col(f"`{id_column}`").isNull().alias("none"), F.col(f"`{id_column}`").alias("id"), "_row", *([] if near is None else [*WIDE, "_bands"])))
+    if near is None:
+        distinct = materialise(marked.groupBy(*WIDE).agg(first.alias("first")).withColumn("value", F.monotonically_increasing_id()))
+        edges = links(distinct, radius, block, WIDE, WIDE_PARTS, limit)
+    else:
+        # rows of one set of shingles are one node, whose text is that of the first row
+        one = marked.groupBy("_set", "_size").agg(first.alias("first"))
+        distinct = materialise(one.select("first", F.col("first._row").alias("value"), *[F.col(f"first.{c}").alias(c) for c in (*WIDE, "_bands")], "_size"))
+        texts = marked.select(F.col("_row").alias("value"), F.col(f"`{text_column}`").alias("_text"))
+        edges = near_links(distinct, texts, radius, limit, near, words, seed, block)
+    nodes = rooted(distinct, edges)
     stay = nodes.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first._row").alias("_row"))
     return marked.join(stay, "_row", "left_semi").select(*[f"`{n}`" for n in names])

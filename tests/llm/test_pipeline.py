@@ -5,7 +5,7 @@ import pytest
 import corpus_pipeline as pipeline
 from slotcast.llm import langid, packing, quality, suffix
 from slotcast.session import materialise
-from tests.llm.test_simhash import near_and_met, plain_components, plain_wide
+from tests.llm.test_simhash import near_and_met, near_sets, plain_components, plain_wide, shingle_set
 from tests.llm.test_suffix import plain
 
 FOLDER = "/root/testdata/sf0.001"
@@ -60,6 +60,18 @@ def test_stages_equal_plain_versions(spark):
     assert all(c == min(x for x in packing.CAPACITIES if x >= f) for (_, c), f in fill.items())
 
 
+@needs_data
+def test_near_copies_stage_is_the_similarity_of_texts(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    ids = sorted(texts)
+    first = {}
+    for i, r in zip(ids, plain_components([shingle_set(texts[i]) for i in ids], 0, near_sets)):
+        first.setdefault(r, i)
+    kept = dict(pipeline.STAGES)["near_copies"](spark, docs, FOLDER)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(first.values())
+
+
 @needs_data
 def test_run_gives_the_last_stage(spark):
     assert pipeline.run(spark, FOLDER).columns == ["doc_id", "piece", "start", "n_tokens", "bin", "position", "offset", "capacity"]

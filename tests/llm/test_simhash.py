@@ -3,7 +3,7 @@ from itertools import combinations
 
 import xxhash
 
-from slotcast.llm.simhash import WIDE_LIMIT, WIDE_PARTS, WIDE_RADIUS, fingerprint, masks, near_duplicates, without_copies
+from slotcast.llm.simhash import NEAR, WIDE_LIMIT, WIDE_PARTS, WIDE_RADIUS, fingerprint, masks, near_duplicates, without_copies
 
 
 def plain_fingerprint(text, words=4, hashed=lambda s: xxhash.xxh64_intdigest(s, 42), bits=64):
@@ -169,3 +169,28 @@ def test_one_row_of_a_group_stays(spark):
     assert out.columns == docs.columns
     assert sorted(tuple(r) for r in out.collect()) == [(2, "a b c d e f g", 1, "q"), (7, "x y z u v w t", 3, None), (8, None, 4, "s")]
     assert without_copies(docs.limit(0)).count() == 0
+
+
+def shingle_set(text):
+    w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").encode().split()
+    return frozenset([tuple(w[i : i + 5]) for i in range(len(w) - 4)] or [tuple(w)] if w else [])
+
+
+def near_sets(a, b):
+    return a == b or 5 * len(a & b) >= 4 * len(a | b) > 0
+
+
+def test_near_copies_are_those_of_brute_force(spark):
+    line = "the same line over and over again "
+    own = [" ".join(f"{c}{i}" for i in range(60)) for c in "pq"]
+    rows = edited(60, 5) + [(1000 + i, text) for i, (_, text) in enumerate(edited(60, 6))]
+    rows += [(2000, line * 60 + own[0]), (2001, line * 60 + own[1]), (3000, None), (3001, " "), (3002, "ONE"), (3003, "one"), (3004, "two")]
+    sets = [shingle_set(t) for _, t in rows]
+    roots = plain_components(sets, 0, near_sets)
+    first = {}
+    for (i, _), r in zip(rows, roots):
+        first[r] = min(first.get(r, i), i)
+    assert {2000, 2001, 3000, 3002, 3004} <= set(first.values())
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (1024, 8):
+        assert sorted(r.doc_id for r in without_copies(docs, block=block, near=NEAR).collect()) == sorted(first.values())
