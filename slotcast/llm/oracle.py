@@ -2,8 +2,39 @@
 
 from __future__ import annotations
 
+from slotcast.llm.linerules import BOILERPLATE, MIN_WORDS, MOST_LOST, MOST_REPEATED, NAVIGATION, SEPARATORS
+
 _HASH = "CAST('0x' || substr(md5(coalesce(CAST({0} AS VARCHAR), '')), 1, 15) AS BIGINT)"
 _BITS = "lpad(bin({0}), 60, '0')"
+_WORD = r"[^\x20\x09-\x0D]+"
+
+
+def _codes(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
+    """Codebook rounds over single components, each entry tried for each part."""
+    steps = [f"""
+        good AS (
+            SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+            WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        cells AS MATERIALIZED (
+            SELECT vec_id, label, (i - 1) // (len(v) // {parts}) AS part, (i - 1) % (len(v) // {parts}) AS place, CAST(floor({scale} * v[i]) AS BIGINT) AS x
+            FROM (SELECT vec_id, label, v, unnest(range(1, len(v) + 1)) AS i FROM good)),
+        first AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM good QUALIFY entry < {entries}),
+        book0 AS MATERIALIZED (SELECT part, entry, place, x FROM cells JOIN first USING (vec_id))"""]
+    for r in range(rounds + 1):
+        steps.append(f"""
+        tried{r} AS (SELECT c.vec_id, c.part, b.entry, sum((c.x - b.x) * (c.x - b.x)) AS d FROM cells c JOIN book{r} b USING (part, place) GROUP BY c.vec_id, c.part, b.entry),
+        best{r} AS MATERIALIZED (SELECT vec_id, part, min({{'d': d, 'entry': entry}}) AS found FROM tried{r} GROUP BY vec_id, part)""")
+        if r < rounds:
+            steps.append(f"""
+        means{r} AS (SELECT part, found.entry AS entry, place, CAST(floor(sum(x) / count(*)) AS BIGINT) AS x FROM cells JOIN best{r} USING (vec_id, part) GROUP BY part, found.entry, place),
+        book{r + 1} AS MATERIALIZED (SELECT part, entry, place, coalesce(m.x, b.x) AS x FROM book{r} b LEFT JOIN means{r} m USING (part, entry, place))""")
+    return f"""
+        WITH {",".join(steps)},
+        coded AS (
+            SELECT vec_id, string_agg(printf('%02x', found.entry), '' ORDER BY part) AS code, CAST(sum(found.d) AS BIGINT) AS error FROM best{rounds} GROUP BY vec_id)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+               (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, place)) FROM book{rounds}) AS codebooks_sha256
+        FROM coded JOIN good USING (vec_id)"""
 
 ORACLE = {
     "op1_sharding": f"""
@@ -61,4 +92,42 @@ ORACLE = {
             FROM good q JOIN good c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)
         SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score FROM pairs
         QUALIFY rank <= 10""",
+    "op12_quality_rules": rf"""
+        WITH docs AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS text FROM documents),
+        words AS (SELECT n, regexp_extract_all(text, '{_WORD}') AS w FROM docs),
+        windows AS (
+            SELECT n, i, {{'a': w[i], 'b': w[i + 1], 'c': w[i + 2]}} AS gram FROM (SELECT n, w, unnest(range(1, len(w) - 1)) AS i FROM words WHERE len(w) > 2)),
+        again AS (SELECT n, i FROM windows QUALIFY count(*) OVER (PARTITION BY n, gram) > 1),
+        covered AS (SELECT n, count(DISTINCT i + k) AS n_repeat_words FROM again, range(0, 3) t(k) GROUP BY n),
+        lines AS (
+            SELECT n, place, lines[place] AS line, regexp_extract_all(lines[place], '{_WORD}') AS w
+            FROM (SELECT n, lines, unnest(range(1, len(lines) + 1)) AS place FROM (SELECT n, string_split(text, chr(10)) AS lines FROM docs))),
+        told AS (
+            SELECT n, len(w) AS n_words, row_number() OVER (PARTITION BY n, line ORDER BY place) > 1 AS seen,
+                   translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+                   regexp_matches(line, '([.!?]|…)([ "'')\]]|”|»)*[\x20\x09-\x0D]*$') AS ends,
+                   len(list_filter(w, lambda x: x IN ({", ".join(f"'{s}'" for s in SEPARATORS)}))) AS bars,
+                   len(regexp_extract_all(line, '[#*$%&|<>]')) + len(regexp_extract_all(line, '[!?]{{2,}}')) AS marks
+            FROM lines WHERE len(w) > 0),
+        ruled AS (
+            SELECT n, n_words, seen,
+                   CASE WHEN seen OR regexp_matches(low, '{"|".join(BOILERPLATE)}') THEN 'boilerplate'
+                        WHEN (bars >= 2 AND 5 * bars >= n_words) OR (NOT ends AND n_words <= 6 AND regexp_matches(low, '^[\x20\x09-\x0D]*({"|".join(NAVIGATION)})\b')) THEN 'navigation'
+                        WHEN NOT ends OR 4 * marks > n_words THEN 'punctuation' END AS rule
+            FROM told),
+        summed AS (
+            SELECT n, count_if(seen) AS n_dup_lines, coalesce(sum(n_words) FILTER (rule IS NOT NULL), 0) AS lost_words, count_if(rule = 'punctuation') AS punctuation_lines,
+                   count_if(rule = 'navigation') AS navigation_lines, count_if(rule = 'boilerplate') AS boilerplate_lines
+            FROM ruled GROUP BY n),
+        counts AS (
+            SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+                   CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
+                   CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(lost_words, 0) AS BIGINT) AS lost_words,
+                   CAST(coalesce(punctuation_lines, 0) AS BIGINT) AS punctuation_lines, CAST(coalesce(navigation_lines, 0) AS BIGINT) AS navigation_lines,
+                   CAST(coalesce(boilerplate_lines, 0) AS BIGINT) AS boilerplate_lines
+            FROM docs JOIN words USING (n) LEFT JOIN covered USING (n) LEFT JOIN summed USING (n))
+        SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed,
+               NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words) AND 100 * lost_words <= {MOST_LOST} * n_words AS kept
+        FROM counts""",
+    "op13_vector_codes": _codes(),
 }

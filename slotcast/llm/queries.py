@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotcast.llm import embeddings, langid, neighbours, packing, pieces, quality, sharding, simhash, suffix, urls
+from slotcast.llm import embeddings, langid, linerules, neighbours, packing, periods, pieces, quality, sharding, simhash, suffix, urls, vectorcodes
 from slotcast.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,7 +88,37 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return placed.select(F.col("id").alias("doc_id"), "piece", "start", "n_tokens", "bin", "position", "offset", "capacity")
 
 
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """A tenth of the documents, by checksum of the id, has its tail replaced by repeats of a few of its words before runs are sought."""
+    h = quality.checksum("doc_id")
+    words = F.expr("filter(split(text, '[ \\\\t\\\\n\\\\x0B\\\\f\\\\r]+'), w -> w <> '')")
+    docs = table(spark, folder, "documents").select("doc_id", "text", h.alias("h"))
+    hit = (F.col("h") % 10 == 0) & (F.size("words") > 0)
+    cut = docs.withColumn("words", F.when(F.col("h") % 10 == 0, words)).select("doc_id", "text", "words", hit.alias("hit"), F.size("words").cast("long").alias("n"), F.expr("h div 10").alias("g"))
+    tail = cut.withColumn("a", F.when(F.col("hit"), F.expr("g % n"))).withColumn("p", F.when(F.col("hit"), F.expr("1 + (n - a) div (3 + g % 8)")))
+    looped = F.expr(
+        "array_join(concat(slice(words, 1, int(a)), slice(flatten(array_repeat(slice(words, int(a) + 1, int(p)), int((n - a + p - 1) div p))), 1, int(n - a))), ' ')"
+    )
+    found = periods.periodic_runs(tail.select("doc_id", F.when(F.col("hit"), looped).otherwise(F.col("text")).alias("text")))
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    best = F.col("strongest")
+    return found.select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
+        F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"), F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return linerules.judge(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id").drop("cleaned")
+
+
+def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    coded, books = vectorcodes.compress(table(spark, folder, "embeddings"))
+    return coded.select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(books.digest() if books else None).cast("string").alias("codebooks_sha256"))
+
+
 def registered() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        op1_sharding, op2_url_filter, op3_sentencepiece, op4_embedding_dedup, op5_simhash, op6_suffix_dedup, op7_language, op8_nearest, op9_quality, op10_packing
+        op1_sharding, op2_url_filter, op3_sentencepiece, op4_embedding_dedup, op5_simhash, op6_suffix_dedup, op7_language, op8_nearest, op9_quality, op10_packing,
+        op11_periodic_runs, op12_quality_rules, op13_vector_codes,
     )}

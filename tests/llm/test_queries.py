@@ -21,7 +21,7 @@ def docs(spark):
 
 
 def test_one_query_for_each_operator():
-    assert [n.split("_")[0] for n in registered()] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in registered()] == [f"op{k}" for k in range(1, 14)]
 
 
 def test_sentencepiece(spark, docs):
