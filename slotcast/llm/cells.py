@@ -14,8 +14,8 @@ CELL = ["_i", "_j"]
 SMALL = 32
 
 
-def deal(keyed: DataFrame, keys: list[str], spread: str, block: int, rare: bool = True) -> DataFrame:
-    """Deal the buckets named by ``keys`` into cells, sorted so that a cell's rows follow each other.
+def cut(keyed: DataFrame, keys: list[str], spread: str, block: int, rare: bool = True) -> DataFrame:
+    """Cut the buckets named by ``keys`` into cells.
 
     A bucket of n rows is cut into ceil(n / block) parts by a hash of ``spread``; cell (i, j) holds parts i and j,
     so that every pair of rows meets in one cell and no task ever holds more than one cell. If ``rare``, most buckets are taken to
@@ -24,7 +24,7 @@ def deal(keyed: DataFrame, keys: list[str], spread: str, block: int, rare: bool
     # written, so that both sides of the join are shuffled for it and a hot bucket can be split
     sizes = materialise(keyed.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > (1 if rare else block)))
     parts = F.ceil(F.coalesce("_n", F.lit(1)) / F.lit(block)).cast("int")
-    cut = (
+    return (
         keyed.join(sizes, keys, "inner" if rare else "left")
         .withColumn("_parts", parts)
         .withColumn("_part", F.pmod(F.xxhash64(spread), F.col("_parts").cast("long")).cast("int"))
@@ -33,8 +33,17 @@ def deal(keyed: DataFrame, keys: list[str], spread: str, block: int, rare: bool
         .withColumn("_j", F.greatest("_part", "_other"))
         .drop("_n", "_parts", "_other")
     )
+
+
+def arranged(cells: DataFrame, keys: list[str], then: list[str] | None = None) -> DataFrame:
+    """Rows of cells, sorted so that a cell's rows follow each other, by part and the columns ``then``."""
     order = [*keys, *CELL]
-    return cut.repartition(*order).sortWithinPartitions(*order, "_part")
+    return cells.repartition(*order).sortWithinPartitions(*order, "_part", *(then or []))
+
+
+def deal(keyed: DataFrame, keys: list[str], spread: str, block: int, rare: bool = True) -> DataFrame:
+    """:func:`cut` and :func:`arranged`."""
+    return arranged(cut(keyed, keys, spread, block, rare), keys)
 
 
 def bounds(columns: list[np.ndarray]) -> np.ndarray:

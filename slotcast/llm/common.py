@@ -103,3 +103,20 @@ def carried(docs: DataFrame, text: str, names: list[str] | None) -> tuple[DataFr
 def put_back(batch: pa.RecordBatch, text: str, names: list[str]) -> list[pa.Array]:
     """The columns ``names`` of a batch whose text is in ``_text``."""
     return [batch.column(batch.schema.get_field_index("_text" if n == text else n)) for n in names]
+
+
+def positional(docs: DataFrame) -> DataFrame:
+    """``docs`` with columns named by position, so that no name clashes with those a step adds or holds a dot."""
+    return docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+
+
+def fresh(names: list[str], taken: list[str]) -> list[str]:
+    """``names``, each with as many further underscores in front as it takes to differ from all that are taken."""
+    seen = {t.lower() for t in taken}
+    out = []
+    for n in names:
+        while n.lower() in seen:
+            n = f"_{n}"
+        seen.add(n.lower())
+        out.append(n)
+    return out

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
-from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -12,10 +12,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotcast.llm.cells import CELL, bounds, deal, meetings
-from slotcast.llm.common import carried, put_back, runs, ship, slices
+from slotcast.llm.cells import CELL, arranged, bounds, cut, deal, meetings
+from slotcast.llm.common import carried, positional, put_back, runs, ship, slices
 from slotcast.llm.components import components, local_roots
-from slotcast.session import materialise
+from slotcast.operators.sizing import lookup_side, settle
+from slotcast.session import materialise, release
 
 BITS = 64
 BLOCK = 1024
@@ -30,6 +31,10 @@ NEAR = (4, 5)
 #: Min-hash bands that propose pairs beyond the limit of bits: a pair at a Jaccard similarity of 0.8 misses all with probability (1 - 0.8^5)^30 < 1e-5.
 BANDS = 30
 BAND_ROWS = 5
+#: Min-hash bytes that tell before sets are compared whether a pair can be near.
+SKETCH = 128
+#: Bits within which every pair of fingerprints meets in a covering table before sets are compared: one in each part.
+CLOSE = 7
 _CHUNK = 1 << 16
 
 
@@ -186,10 +191,10 @@ def shingle_digests(text: bytes, words: int, seed: int) -> np.ndarray:
     return h[np.unique(h[:, 0], return_index=True)[1]]
 
 
-def sketch(digests: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Majority bits over the different shingles, and a key for each min-hash band."""
+def sketch(digests: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Majority bits over the different shingles, a key for each min-hash band, and a byte of each of the first ``SKETCH`` min-hashes."""
     if not len(digests):
-        return np.zeros(len(WIDE), dtype=np.uint64), np.zeros(BANDS, dtype=np.uint64)
+        return np.zeros(len(WIDE), dtype=np.uint64), np.zeros(BANDS, dtype=np.uint64), np.zeros(SKETCH, dtype=np.uint8)
     random = np.random.default_rng(seed)
     times, plus = (random.integers(0, 1 << 64, BANDS * BAND_ROWS, dtype=np.uint64, endpoint=False) | np.uint64(1) for _ in range(2))
     ones, least = np.zeros(BITS * len(WIDE), dtype=np.int64), np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max)
@@ -198,7 +203,7 @@ def sketch(digests: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
         ones += np.unpackbits(part.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         least = np.minimum(least, (part[:, 1, None] * times + plus).min(axis=0))
     bands = [xxhash.xxh3_64_intdigest(b.tobytes(), seed) for b in least.reshape(BANDS, BAND_ROWS)]
-    return np.packbits(ones * 2 > len(digests), bitorder="little").view("<u8"), np.array(bands, dtype=np.uint64)
+    return np.packbits(ones * 2 > len(digests), bitorder="little").view("<u8"), np.array(bands, dtype=np.uint64), (least[:SKETCH] >> np.uint64(16)).astype(np.uint8)
 
 
 def _set_sketcher(words: int, seed: int, text: str, names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -206,13 +211,13 @@ def _set_sketcher(words: int, seed: int, text: str, names: list[str]) -> Callabl
         for batch in slices(batches, "_text"):
             found = [shingle_digests(t or b"", words, seed) for t in batch.column("_text").cast(pa.binary()).to_pylist()]
             made = [sketch(d, seed) for d in found]
-            bits = np.array([b for b, _ in made], dtype=np.uint64).reshape(-1, len(WIDE)).view(np.int64)
+            bits = np.array([b for b, _, _ in made], dtype=np.uint64).reshape(-1, len(WIDE)).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
                     *put_back(batch, text, names), *(pa.array(np.ascontiguousarray(v)) for v in bits.T), pa.array([xxhash.xxh3_128_digest(d.tobytes(), seed) for d in found], pa.binary()),
-                    pa.array([len(d) for d in found], pa.int64()), pa.array([b.view(np.int64) for _, b in made], pa.list_(pa.int64())),
+                    pa.array([len(d) for d in found], pa.int64()), pa.array([b.view(np.int64) for _, b, _ in made], pa.list_(pa.int64())), pa.array([m.tobytes() for _, _, m in made], pa.binary()),
                 ],
-                [*names, *WIDE, "_set", "_size", "_bands"],
+                [*names, *WIDE, "_set", "_size", "_bands", "_sketch"],
             )
 
     return step
@@ -220,116 +225,214 @@ def _set_sketcher(words: int, seed: int, text: str, names: list[str]) -> Callabl
 
 def set_sketched(docs: DataFrame, text_column: str = "text", words: int = 5, seed: int = 42) -> DataFrame:
     """``docs`` with what :func:`near_links` needs of each text's set of shingles: a fingerprint of 128 bits, a digest and the size of the set,
-    and min-hash bands. A repeated shingle counts once."""
+    min-hash bands and a sketch of min-hash bytes. A repeated shingle counts once."""
     ship(docs.sparkSession)
     rows, schema = carried(docs, text_column, docs.columns)
-    added = "".join(f", {c} long" for c in WIDE) + ", _set binary, _size long, _bands array<long>"
+    added = "".join(f", {c} long" for c in WIDE) + ", _set binary, _size long, _bands array<long>, _sketch binary"
     return rows.mapInArrow(_set_sketcher(words, seed, text_column, docs.columns), schema + added)
 
 
-def _proposer(limit: int | None, near: tuple[int, int], take: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Pairs of a cell with different labels that may be near: sizes allow it, and no more than ``limit`` bits differ, if given."""
+def least_equal(near: tuple[int, int]) -> int:
+    """Equal sketch bytes below which a pair is not proposed: four standard deviations under the mean at the limit (a near pair falls below with
+    probability 4e-5)."""
+    p = near[0] / near[1]
+    p += (1 - p) / 256
+    return math.floor(SKETCH * p - 4 * math.sqrt(SKETCH * p * (1 - p)))
+
+
+def _alike(size: np.ndarray, sketches: np.ndarray, near: tuple[int, int]) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Number of equal sketch bytes of row pairs that may be near, else -1: sizes must allow it, and enough bytes be equal."""
+    least = least_equal(near)
+
+    def score(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.full(len(a), -1, dtype=np.int16)
+        fit = np.flatnonzero(near[1] * np.minimum(size[a], size[b]) >= near[0] * np.maximum(size[a], size[b]))
+        for k in range(0, len(fit), _CHUNK):
+            at = fit[k : k + _CHUNK]
+            equal = (sketches[a[at]] == sketches[b[at]]).sum(axis=1, dtype=np.int16)
+            out[at] = np.where(equal >= least, equal, -1)
+        return out
+
+    return score
+
+
+def _sketches(rows: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(rows.column("_sketch").to_pylist()), dtype=np.uint8).reshape(-1, SKETCH)
+
+
+def _forester(near: tuple[int, int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For each row of a cell the row before it that is most alike, if any: never more pairs than rows."""
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in runs(batches, ["table", "key", *CELL]):
+            table, key, i, j, part, value, size = (rows.column(c).to_numpy() for c in ("table", "key", *CELL, "_part", "value", "_size"))
+            at, score = bounds([table, key, i, j]), _alike(size, _sketches(rows), near)
+            best, parent = np.full(len(value), -1, dtype=np.int64), np.full(len(value), -1, dtype=np.int64)
+            for a, b in meetings(at, part, (i != j)[at[:-1]]):
+                equal = score(a, b).astype(np.int64)
+                good = equal >= 0
+                a, b = a[good], b[good]
+                # most equal bytes first, then the smaller value, by which rows of a part are sorted
+                rank = (equal[good] << 40) + (len(value) - a)
+                np.maximum.at(best, b, rank)
+                hit = best[b] == rank
+                parent[b[hit]] = a[hit]
+            child = np.flatnonzero(parent >= 0)
+            a, b = value[child], value[parent[child]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+
+    return step
+
+
+def _opener(near: tuple[int, int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The rows of each cell that have a proposed partner with another label, with the cell's table and key."""
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in runs(batches, ["table", "key", *CELL]):
             table, key, i, j, part, value, size, label = (rows.column(c).to_numpy() for c in ("table", "key", *CELL, "_part", "value", "_size", "label"))
-            words = [rows.column(c).to_numpy().view(np.uint64) for c in WIDE] if limit is not None else []
-            at = bounds([table, key, i, j])
-            left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            at, score = bounds([table, key, i, j]), _alike(size, _sketches(rows), near)
+            wanted = np.zeros(len(value), dtype=bool)
             for a, b in meetings(at, part, (i != j)[at[:-1]]):
-                good = (label[a] != label[b]) & (near[1] * np.minimum(size[a], size[b]) >= near[0] * np.maximum(size[a], size[b]))
+                apart = label[a] != label[b]
+                a, b = a[apart], b[apart]
+                good = score(a, b) >= 0
+                wanted[a[good]] = wanted[b[good]] = True
+            yield pa.RecordBatch.from_arrays([pa.array(c[wanted]) for c in (table, key, value)], ["table", "key", "value"])
+
+    return step
+
+
+def _is_near(x: np.ndarray, y: np.ndarray, near: tuple[int, int]) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return near[1] * both >= near[0] * (len(x) + len(y) - both)
+
+
+def _shingles(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, dtype=np.uint64)
+
+
+def _closer(near: tuple[int, int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Near pairs of each cell that connect what all its near pairs connect. Sets are compared here, so that only found links leave the task.
+
+    A pair whose rows meet in an earlier table is left to that table's cell.
+    """
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in runs(batches, ["table", "key", *CELL]):
+            table, key, i, j, part, value, size, label = (rows.column(c).to_numpy() for c in ("table", "key", *CELL, "_part", "value", "_size", "label"))
+            at, score = bounds([table, key, i, j]), _alike(size, _sketches(rows), near)
+            keys = rows.column("_keys").combine_chunks().flatten().to_numpy().reshape(len(value), -1)
+            blobs = rows.column("_shingles")
+            root = dict(zip(label.tolist(), label.tolist()))
+
+            def top(k: int) -> int:
+                while root[k] != k:
+                    root[k] = root[root[k]]
+                    k = root[k]
+                return k
+
+            found: list[tuple[int, int]] = []
+            for a, b in meetings(at, part, (i != j)[at[:-1]]):
+                apart = label[a] != label[b]
+                a, b = a[apart], b[apart]
+                good = score(a, b) >= 0
                 a, b = a[good], b[good]
-                if limit is not None:
-                    good = sum(np.bitwise_count(w[a] ^ w[b]) for w in words) <= limit
-                    a, b = a[good], b[good]
-                if take != "all":
-                    left.append(a)
-                    right.append(b)
-                elif len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(value[a], value[b])), pa.array(np.minimum(value[a], value[b]))], ["a", "b"])
-            if take != "all":
-                a, b = np.concatenate(left), np.concatenate(right)
-                if take == "stars":
-                    root = local_roots(len(value), a, b)
-                    a = np.flatnonzero(root != np.arange(len(root)))
-                    b = root[a]
-                else:
-                    # a drawn pair for each label of a cell: the lowest of random ranks
-                    group = np.unique(np.stack([np.repeat(np.arange(len(at) - 1), np.diff(at)), label]), axis=1, return_inverse=True)[1].ravel()
-                    mixed = np.random.default_rng(int(at[-1])).permutation(len(a))
-                    best = np.full(len(value), len(a))
-                    np.minimum.at(best, group[a], mixed)
-                    np.minimum.at(best, group[b], mixed)
-                    chosen = np.isin(mixed, best)
-                    a, b = a[chosen], b[chosen]
-                a, b = value[a], value[b]
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+                for k in range(0, len(a), _CHUNK):
+                    x, y = a[k : k + _CHUNK], b[k : k + _CHUNK]
+                    first = (keys[x] == keys[y]).argmax(axis=1) == table[x]
+                    for m, n in zip(x[first].tolist(), y[first].tolist()):
+                        p, q = top(int(label[m])), top(int(label[n]))
+                        if p != q and _is_near(_shingles(blobs[m].as_py()), _shingles(blobs[n].as_py()), near):
+                            root[p] = q
+                            found.append((int(value[m]), int(value[n])))
+            yield pa.RecordBatch.from_arrays([pa.array([max(f) for f in found], pa.int64()), pa.array([min(f) for f in found], pa.int64())], ["a", "b"])
 
     return step
 
 
-def proposals(labelled: DataFrame, radius: int, limit: int, near: tuple[int, int], block: int, take: str) -> DataFrame:
-    """Pairs ``(a, b)`` of ``labelled`` (``value``, ``label``, fingerprint, ``_size``, ``_bands``) that meet in a table of masked fingerprints, within ``limit`` bits, or in
-    a min-hash band: ``all`` of them, ``stars`` that connect what they connect in a cell, or ``some`` of the bands' pairs, one or more for each label in a cell."""
-    width = BITS * len(WIDE) // WIDE_PARTS
-    cover = [(WIDE[p * width // BITS], m << (p * width % BITS)) for p in range(WIDE_PARTS) for m in masks(radius // WIDE_PARTS, width)]
-    signed = [(c, m - (1 << BITS) if m >> (BITS - 1) else m) for c, m in cover]
-    tables = F.array(*[F.struct(F.lit(n).alias("table"), F.col(c).bitwiseAND(F.lit(m).cast("long")).alias("key")) for n, (c, m) in enumerate(signed)])
-    full = labelled.where("_size > 0")
-    masked = full.select("value", "label", "_size", *WIDE, F.explode(tables).alias("t")).select("value", "label", "_size", *WIDE, "t.table", "t.key")
-    banded = full.select("value", "label", "_size", F.posexplode("_bands").alias("table", "key"))
-    found = [
-        deal(keyed, ["table", "key"], "value", block, rare=most is None).select("table", "key", *CELL, "_part", *columns).mapInArrow(_proposer(most, near, take), "a long, b long")
-        for keyed, most, columns in ([(masked, limit, ["value", "label", "_size", *WIDE])] if take != "some" else []) + [(banded, None, ["value", "label", "_size"])]
-    ]
-    return reduce(DataFrame.union, found).distinct()
+def _verifier(near: tuple[int, int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Near pairs of rows sorted by (a, _salt, b), where the set of a comes first, with a NULL b."""
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = None
+        for batch in batches:
+            found = []
+            for a, b, blob in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("_shingles")):
+                if b is None:
+                    head = _shingles(blob.as_py())
+                elif _is_near(head, _shingles(blob.as_py()), near):
+                    found.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
+
+    return step
+
 
+def verified(pairs: DataFrame, sets: DataFrame, near: tuple[int, int]) -> DataFrame:
+    """The pairs whose sets (``value``, ``_shingles``) have a Jaccard similarity of ``near[0] / near[1]`` or more, in whole numbers. The set of
+    ``a`` goes once to each 64 or so of its pairs, however many there are."""
+    hubs, n = settle(pairs.groupBy(F.col("a").alias("_hub")).agg(F.count("*").alias("_n")).where("_n > 64"))
+    spread = pairs.join(lookup_side(hubs, n), F.col("a") == F.col("_hub"), "left")
+    salted = spread.select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce(F.ceil(F.col("_n") / 64), F.lit(1))).cast("int").alias("_salt"))
+    tails = salted.join(sets.withColumnRenamed("value", "b"), "b").select("a", "_salt", "b", "_shingles")
+    heads = salted.select("a", "_salt").distinct().join(sets.withColumnRenamed("value", "a"), "a").select("a", "_salt", F.lit(None).cast("long").alias("b"), "_shingles")
+    dealt = heads.union(tails).repartition("a", "_salt").sortWithinPartitions("a", "_salt", F.col("b").asc_nulls_first())
+    found = materialise(dealt.mapInArrow(_verifier(near), "a long, b long"))
+    release(hubs)
+    return found
 
-def _verifier(near: tuple[int, int], words: int, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+
+def _set_reader(words: int, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-
-        def shingles(node: int, text: bytes) -> np.ndarray:
-            if node not in held:
-                if len(held) >= 64:
-                    held.pop(next(iter(held)))
-                held[node] = shingle_digests(text, words, seed)[:, 0]
-            return held[node]
-
-        for batch in slices(batches, "text_a"):
-            good = []
-            a, b = batch.column("a"), batch.column("b")
-            text_a, text_b = (batch.column(c).cast(pa.binary()) for c in ("text_a", "text_b"))
-            for k, (i, j) in enumerate(zip(a.to_pylist(), b.to_pylist())):
-                x, y = shingles(i, text_a[k].as_py()), shingles(j, text_b[k].as_py())
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(near[1] * both >= near[0] * (len(x) + len(y) - both))
-            keep = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], ["a", "b"])
+        for batch in slices(batches, "_text"):
+            sets = [np.ascontiguousarray(shingle_digests(t, words, seed)[:, 0]).tobytes() for t in batch.column("_text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("value"), pa.array(sets, pa.binary())], ["value", "_shingles"])
 
     return step
 
 
-def verified(pairs: DataFrame, texts: DataFrame, near: tuple[int, int], words: int, seed: int) -> DataFrame:
-    """The pairs (a written table) whose texts (``value``, ``_text``) have a Jaccard similarity of ``near[0] / near[1]`` or more, in whole numbers."""
-    one = pairs.join(texts.select(F.col("value").alias("a"), F.col("_text").alias("text_a")), "a")
-    both = one.join(texts.select(F.col("value").alias("b"), F.col("_text").alias("text_b")), "b")
-    return materialise(both.select("a", "b", "text_a", "text_b").mapInArrow(_verifier(near, words, seed), "a long, b long"))
+def shingle_sets(wanted: DataFrame, texts: DataFrame, words: int, seed: int) -> DataFrame:
+    """``(value, _shingles)``: the sorted shingle hashes of the texts of the wanted values, written."""
+    few, n = settle(wanted.distinct())
+    made = materialise(texts.join(lookup_side(few, n), "value").select("value", "_text").mapInArrow(_set_reader(words, seed), "value long, _shingles binary"))
+    release(few)
+    return made
 
 
-def near_links(distinct: DataFrame, texts: DataFrame, radius: int, limit: int, near: tuple[int, int], words: int, seed: int, block: int = BLOCK) -> DataFrame:
-    """Edges ``(a, b)``, each verified on the texts, that connect what all pairs of near sets connect.
+def near_links(distinct: DataFrame, texts: DataFrame, radius: int, near: tuple[int, int], words: int, seed: int, block: int = BLOCK) -> DataFrame:
+    """Edges ``(a, b)`` between near sets that connect what all proposed near pairs connect, each verified on the sets in whole numbers.
 
-    Fingerprints and min-hash bands only propose. First stars in each cell are verified, which join most of a large group, then a few pairs of each
-    label; then all proposed pairs whose nodes are not yet connected, so a pair turned down before hides no other.
+    Proposed are pairs that meet in a covering table of fingerprints, as all within ``radius`` bits do, or in a min-hash band, if their sizes
+    and sketches allow the similarity. First each row of a cell is verified against the one before it that is most alike, which joins most of a
+    group. Then the rows that still have a proposed partner in another group are sent with their sets to the cells where they meet it, and compared
+    there. So no step makes more rows than there are rows in cells, whatever the size of a group; only comparisons inside cells grow with the square of groups
+    that are proposed but not near.
     """
     ship(distinct.sparkSession)
-    labelled, edges = distinct.withColumn("label", F.col("value")), None
-    for take in ("stars", "some", "all"):
-        more = verified(materialise(proposals(labelled, radius, limit, near, block, take)), texts, near, words, seed)
-        edges = more if edges is None else edges.union(more)
-        if take != "all":
-            labelled = rooted(distinct, edges).withColumnRenamed("root", "label")
-    return edges
+    width = BITS * len(WIDE) // WIDE_PARTS
+    cover = [(WIDE[p * width // BITS], m << (p * width % BITS)) for p in range(WIDE_PARTS) for m in masks(radius // WIDE_PARTS, width)]
+    signed = [(c, m - (1 << BITS) if m >> (BITS - 1) else m) for c, m in cover]
+    keys = F.concat(F.array(*[F.col(c).bitwiseAND(F.lit(m).cast("long")) for c, m in signed]), F.col("_bands"))
+    keyed = distinct.where("_size > 0").select("value", F.posexplode(keys).alias("table", "key"))
+    order = ["table", "key", *CELL]
+
+    cells = materialise(cut(keyed, ["table", "key"], "value", block))
+    sketches = distinct.select("value", "_size", "_sketch")
+    forest = arranged(cells.join(sketches, "value"), ["table", "key"], ["value"]).select(*order, "_part", "value", "_size", "_sketch").mapInArrow(_forester(near), "a long, b long")
+    pairs = materialise(forest.distinct())
+    sets = shingle_sets(pairs.select(F.col("a").alias("value")).union(pairs.select("b")), texts, words, seed)
+    edges = verified(pairs, sets, near)
+    release(pairs, sets)
+
+    labelled = rooted(distinct.select("value", "_size", "_sketch"), edges).withColumnRenamed("root", "label")
+    open_rows = arranged(cells.join(labelled, "value"), ["table", "key"]).select(*order, "_part", "value", "_size", "_sketch", "label").mapInArrow(
+        _opener(near), "table int, key long, value long"
+    )
+    left = materialise(open_rows.distinct())
+    release(cells)
+    sets = shingle_sets(left.select("value"), texts, words, seed)
+    # the open rows of a cell, cut anew: sets take more room than sketches
+    again = cut(left, ["table", "key"], "value", max(1, block // 4))
+    whole = distinct.select("value", keys.alias("_keys")).join(sets, "value")
+    dealt = arranged(again.join(labelled, "value").join(whole, "value"), ["table", "key"])
+    more = materialise(dealt.select(*order, "_part", "value", "_size", "_sketch", "label", "_keys", "_shingles").mapInArrow(_closer(near), "a long, b long"))
+    release(left, sets)
+    return edges.union(more)
 
 
 def without_copies(
@@ -344,21 +447,24 @@ def without_copies(
     ``limit`` differing bits if they meet in a table, which all pairs up to ``radius`` bits do; by default that is the limit.
 
     With ``near``, two numbers, the similarity of the texts decides instead: rows are linked if their sets of shingles have a Jaccard similarity
-    of ``near[0] / near[1]`` or more. See :func:`near_links`.
+    of ``near[0] / near[1]`` or more. See :func:`near_links`. Columns may have any names.
     """
     names = docs.columns
-    sketched = wide_fingerprinted(docs, text_column, words, seed) if near is None else set_sketched(docs, text_column, words, seed)
+    inner = positional(docs)
+    place = dict(zip(names, inner.columns))
+    id_column, text_column = place[id_column], place[text_column]
+    sketched = wide_fingerprinted(inner, text_column, words, seed) if near is None else set_sketched(inner, text_column, words, seed)
     marked = materialise(sketched.withColumn("_row", F.monotonically_increasing_id()))
-    first = F.min(F.struct(F.col(f"`{id_column}`").isNull().alias("none"), F.col(f"`{id_column}`").alias("id"), "_row", *([] if near is None else [*WIDE, "_bands"])))
+    first = F.min(F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"), "_row", *([] if near is None else [*WIDE, "_bands", "_sketch"])))
     if near is None:
         distinct = materialise(marked.groupBy(*WIDE).agg(first.alias("first")).withColumn("value", F.monotonically_increasing_id()))
         edges = links(distinct, radius, block, WIDE, WIDE_PARTS, limit)
     else:
         # rows of one set of shingles are one node, whose text is that of the first row
         one = marked.groupBy("_set", "_size").agg(first.alias("first"))
-        distinct = materialise(one.select("first", F.col("first._row").alias("value"), *[F.col(f"first.{c}").alias(c) for c in (*WIDE, "_bands")], "_size"))
-        texts = marked.select(F.col("_row").alias("value"), F.col(f"`{text_column}`").alias("_text"))
-        edges = near_links(distinct, texts, radius, limit, near, words, seed, block)
-    nodes = rooted(distinct, edges)
+        distinct = materialise(one.select("first", F.col("first._row").alias("value"), *[F.col(f"first.{c}").alias(c) for c in (*WIDE, "_bands", "_sketch")], "_size"))
+        texts = marked.select(F.col("_row").alias("value"), F.col(text_column).alias("_text"))
+        edges = near_links(distinct, texts, CLOSE, near, words, seed, block)
+    nodes = rooted(distinct.select("value", F.struct("first.none", "first.id", "first._row").alias("first")), edges)
     stay = nodes.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first._row").alias("_row"))
-    return marked.join(stay, "_row", "left_semi").select(*[f"`{n}`" for n in names])
+    return marked.join(stay, "_row", "left_semi").select(*inner.columns).toDF(*names)

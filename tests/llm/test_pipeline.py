@@ -5,7 +5,7 @@ import pytest
 import corpus_pipeline as pipeline
 from slotcast.llm import langid, packing, quality, suffix
 from slotcast.session import materialise
-from tests.llm.test_simhash import near_and_met, near_sets, plain_components, plain_wide, shingle_set
+from tests.llm.test_simhash import near_sets, plain_components, shingle_set
 from tests.llm.test_suffix import plain
 
 FOLDER = "/root/testdata/sf0.001"
@@ -33,7 +33,7 @@ def test_stages_equal_plain_versions(spark):
     assert {r.doc_id: r.text for r in docs.collect()} == kept
 
     ids = sorted(kept)
-    roots = plain_components([plain_wide(kept[i]) for i in ids], 0, near_and_met)
+    roots = plain_components([shingle_set(kept[i]) for i in ids], 0, near_sets)
     first = {}
     for i, r in zip(ids, roots):
         first.setdefault(r, i)

@@ -1,9 +1,10 @@
 import random
 from itertools import combinations
 
+import numpy as np
 import xxhash
 
-from slotcast.llm.simhash import NEAR, WIDE_LIMIT, WIDE_PARTS, WIDE_RADIUS, fingerprint, masks, near_duplicates, without_copies
+from slotcast.llm.simhash import CLOSE, NEAR, SKETCH, WIDE_LIMIT, WIDE_PARTS, WIDE_RADIUS, fingerprint, least_equal, masks, near_duplicates, shingle_digests, sketch, without_copies
 
 
 def plain_fingerprint(text, words=4, hashed=lambda s: xxhash.xxh64_intdigest(s, 42), bits=64):
@@ -194,3 +195,59 @@ def test_near_copies_are_those_of_brute_force(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     for block in (1024, 8):
         assert sorted(r.doc_id for r in without_copies(docs, block=block, near=NEAR).collect()) == sorted(first.values())
+
+
+def family(n, seed, words=250, changed=(0, 60)):
+    """Texts of a family whose members are more or less alike, near ones and others."""
+    source = random.Random(seed)
+    base = [f"b{seed}w{k}" for k in range(words)]
+    rows = []
+    for i in range(n):
+        w, at = list(base), source.randrange(words)
+        for k in range(source.randrange(*changed)):
+            w[(at + k) % words] = f"e{source.randrange(9999)}"
+        rows.append((10_000 * seed + i, " ".join(w)))
+    return rows
+
+
+def test_families_of_half_similar_texts(spark):
+    """Many proposed pairs fail; none of the others may be lost, in cells of any size."""
+    rows = family(150, 1) + family(60, 2, 120, (0, 40)) + family(40, 3, 300, (20, 25))
+    sets = [shingle_set(t) for _, t in rows]
+    near = sum(near_sets(a, b) for a, b in combinations(sets, 2))
+    assert 300 < near < 0.6 * 150 * 149 / 2
+    roots = plain_components(sets, 0, near_sets)
+    first = {}
+    for (i, _), r in zip(rows, roots):
+        first[r] = min(first.get(r, i), i)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (1024, 16):
+        assert sorted(r.doc_id for r in without_copies(docs, block=block, near=NEAR).collect()) == sorted(first.values())
+
+
+def test_sketches_pass_near_pairs():
+    source = random.Random(4)
+    shared = [f"s{k}" for k in range(4000)]
+    fell = 0
+    for _ in range(60):
+        own = [[f"o{source.random()}" for _ in range(500)] for _ in range(2)]
+        a, b = (sketch(shingle_digests(" ".join(shared + o).encode(), 1, 42), 42)[2] for o in own)
+        fell += int((a == b).sum()) < least_equal(NEAR)
+    assert fell == 0 and least_equal(NEAR) > 0.6 * SKETCH
+
+
+def test_close_fingerprints_meet():
+    source, width = random.Random(6), 128 // WIDE_PARTS
+    cover = masks(CLOSE // WIDE_PARTS, width)
+    for _ in range(2000):
+        bits = sum(1 << b for b in source.sample(range(128), CLOSE))
+        assert any(not m & (bits >> width * p & (1 << width) - 1) for p in range(WIDE_PARTS) for m in cover)
+
+
+def test_any_column_names(spark):
+    names = ["_row", "_text", "_first", "_set", "value", "a.b", "Value2", "root", "_size"]
+    rows = [(i, t, *[777] * len(names)) for i, t in ((1, "a b c d e f g"), (2, "a b c d e f g"), (3, "x y z u v w t"))]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    for near in (NEAR, None):
+        out = without_copies(docs, near=near)
+        assert out.columns == docs.columns and sorted(tuple(r) for r in out.collect()) == [rows[0], rows[2]]
