@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 def usable(vector: str) -> Column:
     """Neither NULL, empty or zero, nor with NULL or non-finite components."""
-    v = F.col(vector)
+    v = F.col(f"`{vector}`")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return F.coalesce(v.isNotNull() & (F.size(v) > 0) & ~bad & F.exists(v, lambda x: x != 0), F.lit(False))
 

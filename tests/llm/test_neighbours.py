@@ -9,10 +9,11 @@ from slotcast.llm.neighbours import Quantised, products, search
 
 
 def plain(rows, k, every):
+    """Every pair of rows with different ids."""
     ok = [(i, tuple(v)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     out = []
     for q in sorted({i for i, _ in ok if i % every == 0}):
-        best = {}
+        found = []
         for i, v in ok:
             for o, w in ok:
                 if i == q and o != q and len(v) == len(w):
@@ -20,8 +21,8 @@ def plain(rows, k, every):
                     for a, b in zip(v, w):
                         step = float(np.float32(a)) - float(np.float32(b))
                         d += step * step
-                    best[o] = min(best.get(o, np.inf), math.sqrt(d))
-        out += [(q, r, o, d) for r, (d, o) in enumerate(sorted((d, o) for o, d in best.items())[:k], 1)]
+                    found.append((math.sqrt(d), o))
+        out += [(q, r, o, d) for r, (d, o) in enumerate(sorted(found)[:k], 1)]
     return out
 
 
@@ -69,3 +70,19 @@ def test_edge_rows(spark):
     check(spark, [])
     with pytest.raises(ValueError):
         search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.lit(True), k=0)
+
+
+def test_repeated_ids_hide_no_candidates(spark):
+    """Rows that share an id fill ranks one by one, as in the SQL; with fewer ranks than repeats too."""
+    rows = [(0, [0.0, 1.0]), (1, [1.0, 1.0]), (1, [2.0, 1.0]), (1, [3.0, 1.0]), (2, [4.0, 1.0]), (3, [5.0, 1.0]), (4, [6.0, 1.0]), (10, [0.5, 1.0]), (10, [0.5, 1.0])]
+    for k in (1, 2, 3, 5, 20):
+        check(spark, rows, k=k)
+        check(spark, rows, k=k, cell_rows=2)
+
+
+def test_components_beyond_squares(spark):
+    big = [(0, [1e200, 0.0]), (1, [1e200, 3e180]), (2, [-1e308, 1e308]), (3, [1e200, 1e170]), (4, [1.0, 2.0]), (10, [1e-200, 0.0]), (11, [1e-200, 2e-200]), (12, [1e-200, 5e-200])]
+    frame = spark.createDataFrame(big, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"]): (r.id, r.score) for r in search(frame, F.col("vec_id") % 10 == 0, k=7).collect()}
+    assert [got[0, r][0] for r in (1, 2)] == [3, 1] and got[0, 1][1] == pytest.approx(1e170) and got[0, 7] == (2, pytest.approx(math.sqrt(2) * 1e308))
+    assert [got[10, r][0] for r in (1, 2, 3)] == [11, 12, 4] and got[10, 1][1] == pytest.approx(2e-200) and len(got) == 14
