@@ -74,44 +74,51 @@ def judge(pages: DataFrame, rules: DataFrame, url_column: str = "url", default:
     of equal rules with different verdicts ``block``. Without one, ``rule`` is NULL and the verdict is ``default``. Rules with NULL parts
     or an empty host are ignored. Every page row gives one row, whatever repeats.
 
-    Each distinct host and path makes the canonical entries that could be listed: suffixes of the host with as many labels, and
-    starts of the path with as many characters, as some rule has. The blocked Bloom filter lets listed ones through and few others, which the
-    exact join removes.
+    Columns may have any names.
+
+    Each distinct host makes the suffixes with as many labels as some rule has; those that a rule names go on with the starts of the path that have as many
+    characters as a rule of that host. So the candidates of a url follow the rules of its own hosts, not the list. Blocked Bloom filters let listed hosts and
+    entries through and few others, which exact joins remove.
     """
-    host, path = parts(F.col(url_column))
+    host, path = parts(F.col(f"`{url_column}`"))
     listed = rules.where("host <> '' and path is not null and verdict is not null").groupBy(
         F.translate("host", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("host"), "path"
     ).agg(F.max("verdict").alias("listed"))  # "block" is after "allow"
-    listed = materialise(listed.select(F.concat("host", "path").alias("entry"), "listed", _labels(F.col("host")).alias("labels"), F.length("path").alias("letters")))
-    shapes = listed.select("labels", "letters").distinct()
-    size = listed.count()
-    blocks = min(MOST_BLOCKS, max(1, math.ceil(size / ENTRIES_PER_BLOCK)))
-    # shapes are bounded by the labels of a host and the characters of a path, not by the number of rules
-    wanted = [(r["labels"], r["letters"]) for r in shapes.collect()]
-    bare = pages.drop("host", "path", "rule", "verdict")
-    split = bare.withColumn("host", host).withColumn("path", path)
-    if not wanted:
-        return split.withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(default))
-    seen = split.select("host", "path").distinct()
-    shape = F.explode(F.array(*[F.struct(F.lit(a).alias("labels"), F.lit(b).alias("letters")) for a, b in sorted(wanted)]))
-    candidates = (
-        seen.withColumn("_shape", shape)
-        .where((F.col("host") != "") & (_labels(F.col("host")) >= F.col("_shape.labels")) & (F.length("path") >= F.col("_shape.letters")))
-        .select("host", "path", F.expr("concat(substring_index(host, '.', -_shape.labels), substring(path, 1, _shape.letters))").alias("entry"), "_shape.labels", "_shape.letters")
+    listed = materialise(listed.select(F.concat("host", "path").alias("entry"), "listed", "host", _labels(F.col("host")).alias("labels"), F.length("path").alias("letters")))
+    # as many lengths as a path has characters at most
+    hosts = materialise(listed.groupBy(F.col("host").alias("entry"), "labels").agg(F.collect_set("letters").alias("lengths")))
+    # bounded by the labels of a host, not by the number of rules
+    labels = sorted(r["labels"] for r in hosts.select("labels").distinct().collect())
+    names = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
+    own = [f"c{k}" for k in range(len(names))]
+    split = pages.select(host.alias("host"), path.alias("path"), *[F.col(f"`{n}`").alias(c) for c, n in zip(own, names)])
+    if not labels:
+        return split.select(*own, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict")).toDF(*names, "host", "path", "rule", "verdict")
+    seen = split.select("host", "path").distinct().where("host <> ''")
+    suffixes = (
+        seen.withColumn("labels", F.explode(F.array(*[F.lit(n) for n in labels]))).where(_labels(F.col("host")) >= F.col("labels"))
+        .select("host", "path", F.expr("substring_index(host, '.', -labels)").alias("entry"), "labels")
     )
-    hits = possible(candidates, materialise(bloom(listed, blocks)), blocks)
-    keys = ["entry", "labels", "letters"]
-    if size and _bytes(listed) <= broadcast_bytes:
-        exact = hits.join(F.broadcast(listed), keys)
-    else:
-        salted = listed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        exact = hits.withColumn("_salt", F.pmod(F.xxhash64("host", "path"), F.lit(SALTS)).cast("int")).join(salted, [*keys, "_salt"])
+    known = _matched(suffixes, hosts, ["entry", "labels"], broadcast_bytes)
+    starts = known.select("host", "path", F.col("entry").alias("named"), "labels", F.explode(F.filter("lengths", lambda n: n <= F.length("path"))).alias("letters"))
+    candidates = starts.select("host", "path", F.expr("concat(named, substring(path, 1, letters))").alias("entry"), "labels", "letters")
+    exact = _matched(candidates, listed.drop("host"), ["entry", "labels", "letters"], broadcast_bytes)
     # written, so that a hot page can be split in the join
     verdicts = materialise(exact.groupBy(F.col("host").alias("_host"), F.col("path").alias("_path")).agg(F.max(F.struct(F.length("entry"), "entry", "listed")).alias("_best")))
     joined = split.join(verdicts, (F.col("host") == F.col("_host")) & (F.col("path") == F.col("_path")), "left")
     return joined.select(
-        *[F.col(f"`{c}`") for c in bare.columns], "host", "path", F.col("_best.entry").alias("rule"), F.coalesce(F.col("_best.listed"), F.lit(default)).alias("verdict")
-    )
+        *own, "host", "path", F.col("_best.entry").alias("rule"), F.coalesce(F.col("_best.listed"), F.lit(default)).alias("verdict")
+    ).toDF(*names, "host", "path", "rule", "verdict")
+
+
+def _matched(candidates: DataFrame, listed: DataFrame, keys: list[str], broadcast_bytes: int) -> DataFrame:
+    """Candidates joined with what is listed (a written table): through a Bloom filter of its entries, then exactly."""
+    blocks = min(MOST_BLOCKS, max(1, math.ceil(listed.count() / ENTRIES_PER_BLOCK)))
+    hits = possible(candidates, materialise(bloom(listed, blocks)), blocks)
+    if _bytes(listed) <= broadcast_bytes:
+        return hits.join(F.broadcast(listed), keys)
+    salted = listed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return hits.withColumn("_salt", F.pmod(F.xxhash64("host", "path"), F.lit(SALTS)).cast("int")).join(salted, [*keys, "_salt"])
 
 
 def _bytes(table: DataFrame) -> int:

@@ -52,3 +52,20 @@ def test_no_python_in_the_plan(spark, plan):
     pages = spark.createDataFrame([(1, "http://a.com/")], "page_id long, url string")
     text = plan(judge(pages, rule_table(spark, RULES)))
     assert "Python" not in text and "Arrow" not in text and "Cartesian" not in text
+
+
+def test_any_column_names(spark):
+    names = ["_host", "_path", "_best", "entry", "labels", "a.b", "Host"]
+    pages = spark.createDataFrame([(1, "http://x.example.com/en/1", *[777] * 7), (2, None, *[778] * 7)], ["page_id", "url", *names])
+    out = judge(pages, rule_table(spark, RULES))
+    assert out.columns == ["page_id", "url", *names[:-1], "host", "path", "rule", "verdict"]
+    assert sorted(map(tuple, out.collect())) == [
+        (1, "http://x.example.com/en/1", *[777] * 6, "x.example.com", "/en/1", "example.com/en/", "block"), (2, None, *[778] * 6, "", "", None, "allow")]
+
+
+def test_candidates_follow_the_hosts_of_a_url(spark, plan):
+    """Rules of other hosts, of whatever lengths, add nothing to a url's candidates."""
+    rules = [("block", f"h{i}.org", "/" + "p" * i) for i in range(400)] + [("block", "only.org", "/ab")]
+    pages = spark.createDataFrame([(i, f"http://only.org/ab{'c' * 500}{i}") for i in range(50)], "page_id long, url string")
+    out = judge(pages, rule_table(spark, rules))
+    assert {(r.rule, r.verdict) for r in out.collect()} == {("only.org/ab", "block")} and out.count() == 50
