@@ -10,12 +10,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slotcast.llm.common import carried, put_back, ship, slices
+from slotcast.llm.common import carried, fresh, positional, put_back, ship, slices
+from slotcast.session import materialise, release
 
 BUCKETS = 1 << 13
 DIMENSIONS = 16
-#: Training rows per language at most, in expectation; all of them reach the driver as bucket counts.
+#: Bounds of the training sample, which reaches the driver as bucket counts: different rows per language and in all, in expectation, and languages.
 ROWS_PER_LANGUAGE = 800
+MOST_ROWS = 16_000
+MOST_LANGUAGES = 256
 UNKNOWN = "und"
 #: No text is rejected whose most likely language has at least this calibrated probability.
 CEILING = 0.4
@@ -76,30 +79,37 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(labelled: DataFrame, text_column: str = "text", lang_column: str = "lang", rows: int = ROWS_PER_LANGUAGE, seed: int = 7, target: float = 0.999) -> LanguageModel | None:
-    """Train on a hash sample of about ``rows`` rows per language (all rows of rarer ones), copies taken once; whole texts are counted by tasks.
+    """Train on a hash sample of about ``rows`` different rows per language (all different rows of rarer ones, ``MOST_ROWS`` in all); whole texts are
+    counted by tasks.
 
-    Stochastic gradient descent runs on the bounded sample. A fifth is held back: the temperature minimises
-    its log loss, and the threshold is the highest up to ``CEILING`` that keeps the share ``target`` of its rows. NULL languages and texts without letters
-    are no training rows; without any row there is no model.
+    Shares follow the different texts of a language, so neither copies nor the size of the table change how many are learned from. Of more than
+    ``MOST_LANGUAGES`` values of the language column those with most different texts are learned. Stochastic gradient descent runs on the bounded sample. A fifth
+    is held back: the temperature minimises its log loss, and the threshold is the highest up to ``CEILING`` that keeps the share ``target`` of its rows. NULL
+    languages and texts without letters are no training rows; without any row there is no model.
     """
     ship(labelled.sparkSession)
-    pairs = labelled.select(F.col(text_column).alias("text"), F.col(lang_column).alias("lang")).where("lang is not null and text is not null")
-    share = pairs.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(rows)) / F.count("*")).alias("share"))
-    rates = {r["lang"]: r["share"] for r in share.collect()}  # a row per language
-    if not rates:
+    pairs = labelled.select(F.col(f"`{text_column}`").alias("text"), F.col(f"`{lang_column}`").cast("string").alias("lang")).where("lang is not null and text is not null")
+    place = F.xxhash64("text", F.lit(seed))
+    # texts are told apart by 64 bits: a chance collision only moves a share a little
+    texts = pairs.select("lang", place.alias("place")).distinct().groupBy("lang").agg(F.count("*").alias("n"))
+    known = materialise(texts.orderBy(F.col("n").desc(), "lang").limit(MOST_LANGUAGES))
+    languages = known.count()
+    if not languages:
         return None
-    place = F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rate = F.coalesce(*[F.when(F.col("lang") == k, F.lit(v)) for k, v in rates.items()])
+    wanted = min(float(rows), MOST_ROWS / languages)
+    rates = known.select("lang", F.least(F.lit(1.0), F.lit(wanted) / F.col("n")).alias("rate"))
     # copies share a place: a hot text is one row of the sample
-    sample = pairs.where(place < rate).distinct().mapInArrow(_counter, "lang string, bucket array<int>, count array<int>").toArrow()
+    drawn = pairs.join(F.broadcast(rates), "lang").where(F.pmod(place, F.lit(1 << 30)) / F.lit(float(1 << 30)) < F.col("rate"))
+    sample = drawn.select("text", "lang").distinct().mapInArrow(_counter, "lang string, bucket array<int>, count array<int>").toArrow()
+    release(known)
     buckets, counts, names = sample.column("bucket").to_pylist(), sample.column("count").to_pylist(), sample.column("lang").to_pylist()
     order = sorted((i for i in range(len(names)) if buckets[i]), key=lambda i: (names[i], buckets[i], counts[i]))
     if not order:
         return None
-    languages = tuple(sorted({names[i] for i in order}))
+    learned = tuple(sorted({names[i] for i in order}))
     x = [(np.array(buckets[i]), np.array(counts[i], dtype=np.float32) / sum(counts[i])) for i in order]
-    y = np.array([languages.index(names[i]) for i in order])
-    return train(x, y, languages, seed, target)
+    y = np.array([learned.index(names[i]) for i in order])
+    return train(x, y, learned, seed, target)
 
 
 def dense(rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -170,17 +180,33 @@ def _predictor(model: LanguageModel | None, text: str, names: list[str]) -> Call
     return step
 
 
+def _flagged(docs: DataFrame, model: LanguageModel | None, text_column: str) -> DataFrame:
+    """Columns named by position, then ``_lang``, ``_score`` and ``_rejected``."""
+    ship(docs.sparkSession)
+    inner = positional(docs)
+    text = inner.columns[docs.columns.index(text_column)]
+    rows, schema = carried(inner, text, inner.columns)
+    return rows.mapInArrow(_predictor(model, text, inner.columns), f"{schema}, _lang string, _score double, _rejected boolean")
+
+
 def predict(docs: DataFrame, model: LanguageModel | None, text_column: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """The columns ``carry`` of every row, with ``_lang``, ``_score`` (calibrated probability, 0 to 1) and ``_rejected``.
+    """The columns ``carry`` of every row, with ``_lang``, ``_score`` (calibrated probability, 0 to 1) and ``_rejected``. A name that ``docs`` has
+    already gets further underscores in front.
 
     NULL, and texts without a letter, are ``und`` with score 0 and rejected. A score below the model's threshold is
     rejected too. Without a model every row is ``und`` with score 0, and only texts without a letter are rejected.
-    Only the text is used, and all of it.
+    Only the text is used, and all of it. Columns may have any names.
     """
-    ship(docs.sparkSession)
     names = carry if carry is not None else docs.columns
-    rows, schema = carried(docs, text_column, names)
-    return rows.mapInArrow(_predictor(model, text_column, names), f"{schema}, _lang string, _score double, _rejected boolean")
+    flagged = _flagged(docs, model, text_column)
+    own = [flagged.columns[docs.columns.index(n)] for n in names]
+    return flagged.select(*own, "_lang", "_score", "_rejected").toDF(*names, *fresh(["_lang", "_score", "_rejected"], names))
+
+
+def accepted(docs: DataFrame, model: LanguageModel | None, text_column: str = "text") -> DataFrame:
+    """The rows of ``docs`` that :func:`predict` does not reject, with all columns, whatever their names."""
+    flagged = _flagged(docs, model, text_column)
+    return flagged.where("not _rejected").select(*flagged.columns[:-3]).toDF(*docs.columns)
 
 
 def sampled_out(id_column: str) -> Column:

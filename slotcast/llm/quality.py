@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slotcast.llm.common import carried, put_back, ship, slices
+from slotcast.llm.common import carried, fresh, positional, put_back, ship, slices
 from slotcast.session import materialise
 
 FEATURES = 256
@@ -226,11 +226,25 @@ def _judge(model: QualityModel | None, text: str, names: list[str]) -> Callable[
     return step
 
 
-def judged(docs: DataFrame, model: QualityModel | None, text_column: str = "text") -> DataFrame:
-    """``docs`` with ``_score``, measured and scored in one pass; 0.5 everywhere without a model."""
+def _flagged(docs: DataFrame, model: QualityModel | None, text_column: str) -> DataFrame:
+    """Columns named by position, then ``_score``."""
     ship(docs.sparkSession)
-    rows, schema = carried(docs, text_column, docs.columns)
-    return rows.mapInArrow(_judge(model, text_column, docs.columns), f"{schema}, _score double")
+    inner = positional(docs)
+    text = inner.columns[docs.columns.index(text_column)]
+    rows, schema = carried(inner, text, inner.columns)
+    return rows.mapInArrow(_judge(model, text, inner.columns), f"{schema}, _score double")
+
+
+def judged(docs: DataFrame, model: QualityModel | None, text_column: str = "text") -> DataFrame:
+    """``docs`` with ``_score``, measured and scored in one pass; 0.5 everywhere without a model. Columns may have any names; if there is
+    a ``_score``, the added one gets further underscores in front."""
+    return _flagged(docs, model, text_column).toDF(*docs.columns, *fresh(["_score"], docs.columns))
+
+
+def accepted(docs: DataFrame, model: QualityModel | None, least: float = ACCEPT, text_column: str = "text") -> DataFrame:
+    """The rows of ``docs`` with a score of ``least`` and more, with all columns, whatever their names."""
+    flagged = _flagged(docs, model, text_column)
+    return flagged.where(F.col("_score") >= least).select(*flagged.columns[:-1]).toDF(*docs.columns)
 
 
 def checksum(id_column: str) -> Column:

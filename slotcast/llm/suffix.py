@@ -8,10 +8,10 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slotcast.llm.common import ship, slices
+from slotcast.llm.common import positional, ship, slices
 from slotcast.session import materialise, release
 
 MIN_WORDS = 50
@@ -122,6 +122,11 @@ def _window_batch(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["span", "step", "window"])
 
 
+def _version(text_column: str) -> Column:
+    """Tells texts of one id apart, by 64 bits."""
+    return F.xxhash64(F.col(f"`{text_column}`"), F.lit(1))
+
+
 def repeated_passages(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_words: int = MIN_WORDS, gram: int = GRAM
 ) -> DataFrame:
@@ -142,8 +147,8 @@ def repeated_passages(
         raise ValueError("gram must be between 1 and min_words")
     ship(docs.sparkSession)
     kind = docs.schema[id_column].dataType.simpleString()
-    texts = docs.select(F.col(id_column).alias("id"), F.hash(F.lit(1), F.col(text_column)).alias("version"), F.col(text_column).alias("text")).where("text is not null")
-    kept = materialise(texts.mapInArrow(_anchors(min_words, gram), f"id {kind}, version int, start int, count int, seed long, span long"))
+    texts = docs.select(F.col(f"`{id_column}`").alias("id"), _version(text_column).alias("version"), F.col(f"`{text_column}`").alias("text")).where("text is not null")
+    kept = materialise(texts.mapInArrow(_anchors(min_words, gram), f"id {kind}, version long, start int, count int, seed long, span long"))
     # a gram that occurs at one place has no partner; counts are written, so that Spark can split a hot gram in the join
     shared = materialise(kept.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed"))
     # written before rows are made distinct: else both would share one shuffle by gram, which can not be split
@@ -228,16 +233,20 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """``docs`` with all columns, the texts without the later occurrences of repeated passages.
 
     A word that belongs to the first occurrence of any passage stays. A document none of whose words stay
-    is left out; texts that had no words before stay as they are.
+    is left out; texts that had no words before stay as they are. Columns may have any names.
     """
-    found = repeated_passages(docs, id_column, text_column, min_words, gram)
+    names = docs.columns
+    inner = positional(docs)
+    place = dict(zip(names, inner.columns))
+    id_column, text_column = place[id_column], place[text_column]
+    found = repeated_passages(inner, id_column, text_column, min_words, gram)
     cuts = found.groupBy(F.col("id").alias("_id"), F.col("version").alias("_version")).agg(
         F.max(~F.col("kept")).alias("_some"), F.collect_list(F.struct("start", "n_words", "kept")).alias("_cuts")
     ).where("_some").drop("_some")
-    names = docs.columns
-    keyed = docs.withColumn("_v", F.hash(F.lit(1), F.col(text_column)))
+    keyed = inner.withColumn("_v", _version(text_column))
     joined = keyed.join(cuts, F.col(id_column).eqNullSafe(F.col("_id")) & (F.col("_v") == F.col("_version")), "left")
-    rows = joined.select(*[f"`{c}`" for c in names if c != text_column], F.col(text_column).alias("_text"), "_cuts")
+    rows = joined.select(*[c for c in inner.columns if c != text_column], F.col(text_column).alias("_text"), "_cuts")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     done = rows.mapInArrow(_cutter, schema)
-    return done.where("_cuts is null or length(trim(_text)) > 0").withColumnRenamed("_text", text_column).select(*names)
+    stay = done.where("_cuts is null or length(trim(_text)) > 0").withColumnRenamed("_text", text_column)
+    return stay.select(*inner.columns).toDF(*names)

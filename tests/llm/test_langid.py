@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from slotcast.llm.langid import BUCKETS, fit, predict, sampled_out, softmax, subwords, train
+from slotcast.llm.langid import BUCKETS, MOST_LANGUAGES, accepted, fit, predict, sampled_out, softmax, subwords, train
 
 WORDS = {"en": ["the", "house", "with", "and", "thing", "other"], "de": ["der", "und", "über", "nicht", "straße", "ein"], "el": ["και", "το", "είναι", "για", "δεν"]}
 
@@ -38,7 +38,7 @@ def test_edge_rows(spark):
     rows = [(1, None, "q"), (2, "", None), (3, "12 +", "q"), (3, "12 +", "q"), (None, "the house and the other thing", "q"), (5, "και το " * 20_000, "q"), (6, "x", "q")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     out = sorted(predict(docs, model).collect(), key=repr)
-    assert [r.text for r in out] == [t for _, t, _ in sorted(rows, key=lambda r: repr(next(x for x in out if x.doc_id == r[0])))] or len(out) == len(rows)
+    assert sorted(((r.doc_id, r.text, r.lang) for r in out), key=repr) == sorted(rows, key=repr)
     by = {r.doc_id: r for r in out}
     assert all(by[k]["_lang"] == "und" and by[k]["_score"] == 0 and by[k]["_rejected"] for k in (1, 2, 3))
     assert by[None]["_lang"] == "en" and by[5]["_lang"] == "el" and not by[5]["_rejected"] and by[6]["_lang"] in WORDS
@@ -65,3 +65,47 @@ def test_temperature_lowers_the_loss():
 def test_a_quarter_is_held_out(spark):
     held = spark.range(4000).select(sampled_out("id").alias("h")).agg(F.sum(F.col("h").cast("int"))).first()[0]
     assert 900 < held < 1100
+
+
+def test_any_column_names(spark):
+    model = fit(spark.createDataFrame(corpus(300), "doc_id long, text string, lang string"))
+    names = ["_text", "_score", "_lang", "_Rejected", "a.b", "c0"]
+    docs = spark.createDataFrame([(1, "the house and the other thing", *[777] * 6), (2, None, *[777] * 6)], ["doc_id", "text", *names])
+    out = predict(docs, model)
+    assert out.columns == ["doc_id", "text", *names, "__lang", "__score", "__rejected"]
+    assert sorted(tuple(r)[:9] for r in out.collect()) == [(1, "the house and the other thing", *[777] * 6, "en"), (2, None, *[777] * 6, "und")]
+    kept = accepted(docs, model)
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(1, "the house and the other thing", *[777] * 6)]
+
+
+def test_a_hot_text_does_not_push_its_language_out(spark):
+    """Copies count once in the share, so a rare language with a hot text is learned from as many different rows as any."""
+    rows = corpus(600)
+    hot = [(10_000 + i, "και το είναι για δεν", "el") for i in range(20_000)]
+    a = fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows=100)
+    b = fit(spark.createDataFrame(rows + hot, "doc_id long, text string, lang string").repartition(8), rows=100)
+    assert a.languages == b.languages == ("de", "el", "en")
+    texts = spark.createDataFrame([(i, t, k) for i, t, k in corpus(900)[600:]], "doc_id long, text string, lang string")
+    assert np.mean([r["lang"] == r["_lang"] for r in predict(texts, b).collect()]) > 0.98
+
+
+def test_very_many_language_values_are_bounded(spark):
+    many = [(i, f"word{i} and more", f"x{i}") for i in range(3000)]
+    model = fit(spark.createDataFrame(many + [(9000 + i, t, k) for i, t, k in corpus(300)], "doc_id long, text string, lang string"))
+    assert set(WORDS) <= set(model.languages) and len(model.languages) <= MOST_LANGUAGES
+
+
+def test_scores_equal_a_plain_softmax(spark):
+    """Prediction against the model's definition, text by text: mean of subword rows, softmax at the temperature, the threshold."""
+    docs = corpus(200) + [(900, "μια άλλη", "q"), (901, "x", "q"), (902, None, "q")]
+    model = fit(spark.createDataFrame(corpus(300), "doc_id long, text string, lang string"))
+    got = {r.doc_id: r for r in predict(spark.createDataFrame(docs, "doc_id long, text string, lang string"), model).collect()}
+    for i, text, _ in docs:
+        found = subwords(text) if text else []
+        if not len(found):
+            assert (got[i]["_lang"], got[i]["_score"], got[i]["_rejected"]) == ("und", 0.0, True)
+            continue
+        z = (sum(model.table[b].astype(float) for b in found) / len(found) + model.bias) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert got[i]["_lang"] == model.languages[int(p.argmax())] and abs(got[i]["_score"] - p.max()) < 1e-4
+        assert got[i]["_rejected"] == (got[i]["_score"] < model.threshold)

@@ -1,6 +1,6 @@
 import numpy as np
 
-from slotcast.llm.quality import STATISTICS, fit, judged, measured, pool, scored, statistics, training_rows
+from slotcast.llm.quality import STATISTICS, accepted, fit, judged, measured, pool, scored, statistics, training_rows
 
 
 def corpus(n):
@@ -74,3 +74,29 @@ def test_no_labels(spark):
     assert {r["_score"] for r in judged(docs, None).collect()} == {0.5}
     only = fit(training_rows(measured(docs, carry=["doc_id"]), spark.createDataFrame([(1, 1)], "doc_id long, quality int"), left_out=None))
     assert all(r["_score"] > 0.9 for r in judged(docs, only).collect())
+
+
+def test_any_column_names(spark):
+    rows, labels = corpus(200)
+    model = fit(training_rows(measured(spark.createDataFrame(rows, "doc_id long, text string"), carry=["doc_id"]), spark.createDataFrame(labels, "doc_id long, quality int"), left_out=None))
+    names = ["_text", "_score", "_stats", "a.b", "c1"]
+    docs = spark.createDataFrame([(i, t, *[777] * 5) for i, t in rows[:40]], ["doc_id", "text", *names])
+    out = judged(docs, model)
+    assert out.columns == ["doc_id", "text", *names, "__score"]
+    got = {r.doc_id: r for r in out.collect()}
+    assert all(got[i].text == t and tuple(got[i])[2:7] == (777,) * 5 for i, t in rows[:40])
+    kept = accepted(docs, model, 0.5)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i in got if got[i]["__score"] >= 0.5}
+
+
+def test_fit_equals_a_plain_ridge(spark):
+    """Weights against one dense least-squares solution on the same features."""
+    rows, labels = corpus(300)
+    train = training_rows(measured(spark.createDataFrame(rows, "doc_id long, text string"), carry=["doc_id"]), spark.createDataFrame(labels, "doc_id long, quality int"), left_out=None)
+    model = fit(train, ridge=1e-4)
+    got = [(np.array(r["_stats"], dtype=float), r["label"]) for r in train.collect()]
+    z, y = model.features(np.stack([s for s, _ in got])), np.array([k for _, k in got], dtype=float)
+    d = z.shape[1]
+    rows_ = np.vstack([z, np.sqrt(1e-4 * len(y) / (d - 1)) * np.eye(d)])
+    weights = np.linalg.lstsq(rows_, np.append(y, np.zeros(d)), rcond=None)[0]
+    assert np.allclose(z @ weights, z @ model.weights, atol=1e-5)

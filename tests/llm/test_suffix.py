@@ -75,3 +75,12 @@ def test_texts_without_later_occurrences(spark):
     out = without_repeats(docs)
     assert out.columns == docs.columns
     assert sorted(map(tuple, out.collect())) == [(1, f"one {passage} two", "_v"), (2, "three four", None), (4, "", None), (5, None, "n")]
+
+
+def test_any_column_names(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    names = ["_v", "_id", "_cuts", "_text", "a.b", "c0"]
+    docs = spark.createDataFrame([(1, f"one {passage} two", *[777] * 6), (2, f"three {passage} four", *[777] * 6)], ["doc_id", "text", *names])
+    out = without_repeats(docs)
+    assert out.columns == docs.columns
+    assert sorted(map(tuple, out.collect())) == [(1, f"one {passage} two", *[777] * 6), (2, "three four", *[777] * 6)]
