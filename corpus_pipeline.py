@@ -19,15 +19,13 @@ ORACLE_SQL = None
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts. It is fitted on all labelled documents."""
-    names = docs.columns
     rows = quality.training_rows(quality.measured(docs, carry=["doc_id"]), table(spark, sf_dir, "labels"), left_out=None)
-    return quality.judged(docs, quality.fit(rows)).where(F.col("_score") >= quality.ACCEPT).select(*names)
+    return quality.accepted(docs, quality.fit(rows))
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with enough confidence. It is learned from a bounded sample of the documents."""
-    names = docs.columns
-    return langid.predict(docs, langid.fit(docs)).where("not _rejected").select(*names)
+    return langid.accepted(docs, langid.fit(docs))
 
 
 def copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +35,8 @@ def copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def passages_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the later occurrences of passages of 50 words and more; documents of which nothing stays go."""
-    names = docs.columns
     cut = suffix.without_repeats(docs)
-    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*names)
+    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
