@@ -7,9 +7,11 @@ Without ``by`` columns the statistics are literals and there is no join at all.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotcast.functions.quoting import name
@@ -30,8 +32,8 @@ def _adjust(x: str, mean: str, sd: str, impute: bool, center: bool, scale: bool)
 def _statistics(c: str, imputed: bool) -> list[str]:
     """Aggregates of one column: mean, population variance and known rows, and the sample
     deviation. Imputed rows lie on the mean: they add nothing to the squares but count as
-    rows, so the known rows' variance is spread over all n - 1."""
-    x = f"double({name(c)})"
+    rows, so the known rows' variance is spread over all n - 1. NaN is taken as not known."""
+    x = f"nanvl(double({name(c)}), cast(NULL AS double))"
     rows = "count(1)" if imputed else f"count({x})"
     return [
         f"avg({x}) AS {name(c + '__mean')}",
@@ -42,7 +44,9 @@ def _statistics(c: str, imputed: bool) -> list[str]:
 
 
 def _number(value: float | None) -> str:
-    return "cast(NULL AS double)" if value is None else f"{value!r}D"
+    if value is None:
+        return "cast(NULL AS double)"
+    return f"{value!r}D" if math.isfinite(value) else f"double('{value!r}')"
 
 
 @dataclass(frozen=True)
@@ -107,14 +111,16 @@ class GroupImputeGlobalScale:
     the overall mean and deviation of the imputed rows follow from the group statistics.
 
     With ``rescale=False`` the second step only fills, with the overall mean, what the groups
-    could not fill."""
+    could not fill. With ``within``, "all rows" are those that agree in these columns (say, the repeats of a split), and one
+    pass fits all of them."""
 
     columns: list[str]
     by: list[str]
     rescale: bool = True
+    within: list[str] = field(default_factory=list)
 
     def fit(self, train: DataFrame) -> "GroupImputeGlobalScaleModel":
-        imputer = Standardiser(self.columns, self.by, center=False, scale=False).fit(train)
+        imputer = Standardiser(self.columns, [*self.within, *self.by], center=False, scale=False).fit(train)
         numeric = imputer.columns
         if not numeric:
             return GroupImputeGlobalScaleModel(imputer, imputer)
@@ -122,6 +128,9 @@ class GroupImputeGlobalScale:
         def rows(c: str) -> str:
             return f"CASE WHEN {name(c + '__mean')} IS NOT NULL THEN n_ END"
 
+        if self.within:
+            return GroupImputeGlobalScaleModel(imputer, self._within(imputer, rows))
+
         first = imputer.stats.selectExpr(
             *[f"sum({rows(c)}) AS {name(c + '_n')}" for c in numeric],
             *[f"sum({rows(c)} * {name(c + '__mean')}) / nullif(sum({rows(c)}), 0) AS {name(c + '_mean')}" for c in numeric],
@@ -141,6 +150,31 @@ class GroupImputeGlobalScale:
         scaler = Standardiser(self.columns, na_replace=not self.rescale, center=self.rescale, scale=self.rescale)
         return GroupImputeGlobalScaleModel(imputer, StandardiserModel(scaler, numeric, None, 1, constants))
 
+    def _within(self, imputer: "StandardiserModel", rows: Callable[[str], str]) -> "StandardiserModel":
+        """The same second step for each value of the ``within`` columns, from tables instead of literals."""
+        keys = [f"{w}__by" for w in self.within]
+        numeric = imputer.columns
+        overall = imputer.stats.groupBy(*keys).agg(
+            *[F.expr(f"sum({rows(c)})").alias(f"{c}_n") for c in numeric],
+            *[F.expr(f"sum({rows(c)} * {name(c + '__mean')}) / nullif(sum({rows(c)}), 0)").alias(f"{c}_mean") for c in numeric],
+        ).withColumnsRenamed({k: f"{k}_" for k in keys})
+        match = F.expr(" AND ".join(f"{name(k)} <=> {name(k + '_')}" for k in keys))
+        both = imputer.stats.join(overall, match)
+
+        def squares(c: str) -> Column:
+            away = f"({name(c + '__mean')} - {name(c + '_mean')})"
+            return F.expr(f"sum({name(c + '__var')} * {name(c + '__known')} + {rows(c)} * {away} * {away})")
+
+        def number(c: str) -> Column:
+            return F.max(f"`{c}_n`")
+
+        table, groups = settle(both.groupBy(*keys).agg(
+            *[F.max(f"`{c}_mean`").alias(f"{c}__mean") for c in numeric],
+            *[F.when(number(c) > 1, F.sqrt(squares(c) / (number(c) - 1))).alias(f"{c}__sd") for c in numeric],
+        ))
+        scaler = Standardiser(self.columns, self.within, na_replace=not self.rescale, center=self.rescale, scale=self.rescale)
+        return StandardiserModel(scaler, numeric, table, groups, {})
+
 
 @dataclass(frozen=True)
 class GroupImputeGlobalScaleModel:

@@ -59,26 +59,28 @@ def union_of(sets: list[FeatureSet]) -> FeatureSet:
     return FeatureSet(factors, numerics, others)
 
 
-def _scaler(preparation: str, numerics: list[str], by: list[str] | None) -> Standardiser | GroupImputeGlobalScale:
+def _scaler(preparation: str, numerics: list[str], by: list[str] | None, within: list[str] | None = None) -> Standardiser | GroupImputeGlobalScale:
     by = ["Month", "Hour"] if by is None else by
+    within = within or []
     if preparation == "impute_global_scale_global":
-        return Standardiser(numerics)
+        return Standardiser(numerics, within)
     if preparation == "impute_group":
         # models can not take what a group leaves unknown, and 0 is no mean here
-        return GroupImputeGlobalScale(numerics, by, rescale=False)
+        return GroupImputeGlobalScale(numerics, by, rescale=False, within=within)
     if preparation == "impute_group_scale_global":
-        return GroupImputeGlobalScale(numerics, by)
+        return GroupImputeGlobalScale(numerics, by, within=within)
     if preparation == "scale_group":
-        return Standardiser(numerics, by)
+        return Standardiser(numerics, [*within, *by])
     raise ValueError(f"preparation is one of {PREPARATIONS}")
 
 
 def prepare_many(train: DataFrame, test: DataFrame, sets: dict[int, FeatureSet], preparation: str = "scale_group",
-                 by: list[str] | None = None) -> tuple[DataFrame, DataFrame, dict[int, list[str]]]:
+                 by: list[str] | None = None, within: list[str] | None = None) -> tuple[DataFrame, DataFrame, dict[int, list[str]]]:
     """Impute, scale and one-hot encode for several feature sets at once; everything is fitted
-    on ``train``. Returns both tables and the model columns of each set, in order."""
+    on ``train``, separately for each value of the ``within`` columns (say, the repeats of a split) but in one pass. Returns both
+    tables and the model columns of each set, in order."""
     every = union_of(list(sets.values()))
-    fitted = _scaler(preparation, every.numerics, by).fit(train)
+    fitted = _scaler(preparation, every.numerics, by, within).fit(train)
     encoder = OneHot(every.factors, remove=False).fit(train)
 
     def columns(features: FeatureSet) -> list[str]:

@@ -243,6 +243,8 @@ SELECT '{scenario}' AS scenario, count(*) AS n, {r6('avg(abs((y - p) / nullif(y,
        {r6('avg(abs(y - p))')} AS mae, 'scale_group' AS preparation, count(*) AS hours, min(datetime) AS first_hour FROM scored)"""
 
 
+NUMERICS = ["temp", "pression", "hr", "p_rosee", "visi", "vt_moy", "vt_raf", "vt_dir", "rr_3h"]
+
 ORACLE = {
     "rename_project": "SELECT ts AS datetime, value AS puissance FROM events",
     "time_bound_filter": "SELECT event_id, ts, value FROM events WHERE ts <= TIMESTAMP '2024-01-22 23:00:00'",
@@ -407,6 +409,15 @@ SELECT datetime, {r6('P0')} AS "P0", {r6('DP1')} AS "DP1", {r6('DP2')} AS "DP2"
 FROM asked JOIN means ON hour(datetime) = k""",
     "scenario_sweep": " UNION ALL ".join(
         f"SELECT * FROM ({_holdout(k, name, 1, 5)}) CROSS JOIN (SELECT unnest([{', '.join(repr(p) for p in PREPARATIONS)}]) AS preparation)" for name, k in GROUPS.items()),
+    "scenario_sweep_means": " UNION ALL ".join(f"SELECT *, 'scale_group' AS preparation FROM ({_holdout(k, name, 0, 69)})" for name, k in GROUPS.items()),
+    "repeat_statistics": f"""WITH {LOAD}, {LEVELS}, {WEATHER},
+train AS (SELECT weather.* FROM levels JOIN weather USING (datetime) WHERE P0 IS NOT NULL AND datetime < {START}),
+hashed AS (SELECT *, CAST(hour(datetime) AS INTEGER) AS Hour, {_split_hash('CAST(repeat AS VARCHAR)', 'datetime')} AS hash
+           FROM train, (SELECT CAST(unnest(range(0, 70)) AS INTEGER) AS repeat)),
+runs AS (SELECT *, row_number() OVER (PARTITION BY repeat ORDER BY hash, datetime)
+         <= floor(0.79 * (SELECT count(*) FROM train)) AS is_train FROM hashed) """ + " UNION ALL ".join(
+        f"""SELECT repeat, Hour, count(*) AS n, '{c}' AS variable, {r6(f'avg({c})')} AS mean,
+  {r6(f'sqrt(var_pop({c}) * count({c}) / nullif(count(*) - 1, 0))')} AS sd FROM runs WHERE is_train GROUP BY repeat, Hour""" for c in NUMERICS),
     "repeated_holdout": f"SELECT *, 'scale_group' AS preparation FROM ({_holdout(GROUPS['hour'], 'hour', 0, 69)})",
     "forecast_sweep": " UNION ALL ".join(_forecast_errors(k, name) for name, k in GROUPS.items()),
     "holdout_hour_means": f"""WITH {LOAD}, {LEVELS}, {WEATHER},

@@ -19,7 +19,7 @@ from slotcast.operators.encode import OneHot
 from slotcast.operators.quantiles import exact_quantiles
 from slotcast.operators.scaling import GroupImputeGlobalScale, Standardiser
 from slotcast.operators.split import exact_split, exact_splits
-from slotcast.plans import evaluate, plotdata
+from slotcast.plans import evaluate, many, plotdata
 from slotcast.plans.build import build_tables
 from slotcast.plans.features import PREPARATIONS, SCENARIOS, FeatureSet, project, training_table, weather_features
 from slotcast.plans.features import prepare as prepare_features
@@ -500,12 +500,9 @@ def _train_and_ahead(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame
 
 
 def gbt_forecast(spark: SparkSession, sf: str) -> DataFrame:
-    """Slot-level predictions of the three boosted models with the final set's fixed parameters."""
+    """Slot-level predictions of the three boosted models with the final set's fixed parameters, all 300 rounds."""
     train, slots = _train_and_ahead(spark, sf)
-    features, preparation = SCENARIOS[7], "impute_group_scale_global"
-    predicted, _ = evaluate.fit_predict(
-        project(train, features, fixed.TARGETS), project(slots, features), features, Boosting.of(preparation, 7), preparation)
-    return predicted
+    return many.predict_ahead(train, slots, {7: SCENARIOS[7]}, preparation="impute_group_scale_global").drop("scenario")
 
 
 def rf_forecast(spark: SparkSession, sf: str) -> DataFrame:
@@ -596,15 +593,51 @@ def submission_file(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def final_forecast(spark: SparkSession, sf: str) -> DataFrame:
-    """The whole way: features, final scenario, three models, hourly forecast, row errors."""
+    """The whole way: features, final scenario, three models of 300 rounds, hourly forecast, row errors."""
     train, slots = _train_and_ahead(spark, sf)
-    hourly, _ = evaluate.forecast(train, slots)
+    hourly = many.forecast(train, slots)
     reality = hourly_load(spark, sf).select("datetime", F.col("puissance").alias("reality"))
     scored = metrics.with_row_error(hourly.join(reality, "datetime", "left"))
     front = ["datetime", "puissance", "reality", "mape"]
     return scored.select(*front, *[c for c in scored.columns if c not in front])
 
 
+def repeated_holdout_full(spark: SparkSession, sf: str) -> DataFrame:
+    """The published evaluation: 70 repeats of the final set, three models of 300 rounds each."""
+    train, _ = _train_and_ahead(spark, sf)
+    return many.sweep(train, sets={7: SCENARIOS[7]})
+
+
+def scenario_sweep_full(spark: SparkSession, sf: str) -> DataFrame:
+    """All eight sets under the four preparations, 70 repeats each, with single trees."""
+    train, _ = _train_and_ahead(spark, sf)
+    one = Boosting(rounds=1, step=1.0, min_rows=5)
+    return reduce(DataFrame.unionByName, [many.sweep(train, one, sets=SCENARIOS, preparation=p, penalty=0.0) for p in PREPARATIONS])
+
+
+def scenario_sweep_means(spark: SparkSession, sf: str) -> DataFrame:
+    """Three one-variable sets over all 70 repeats; single trees predict training means, which SQL can follow."""
+    train, _ = _train_and_ahead(spark, sf)
+    return _rounded(many.sweep(train, ONE_TREE, sets=GROUP_SETS, penalty=0.0), ["mape", "rmse", "mae"])
+
+
+def repeat_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean and deviation of each numeric variable on the train side of each of 70 splits, by hour, from one aggregation."""
+    train, _ = _train_and_ahead(spark, sf)
+    numerics = SCENARIOS[2].numerics
+    long = many.split_rows(train.select("datetime", "Hour", *numerics), "datetime", range(fixed.HOLDOUT_REPEATS), fixed.HOLDOUT_TRAIN_SHARE)
+    fitted = Standardiser(numerics, ["repeat", "Hour"]).fit(long.where("train"))
+    long_stats = F.inline(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(f"{c}__mean").alias("mean"), F.col(f"{c}__sd").alias("sd")) for c in numerics]))
+    return _rounded(fitted.stats.select(F.col("repeat__by").alias("repeat"), F.col("Hour__by").alias("Hour"), F.col("n_").alias("n"), long_stats), ["mean", "sd"])
+
+
+def forecast_sweep_full(spark: SparkSession, sf: str) -> DataFrame:
+    """The final forecast of each of the eight sets with its own fixed boosting parameters, against what was observed."""
+    train, slots = _train_and_ahead(spark, sf)
+    reality = hourly_load(spark, sf).select("datetime", F.col("puissance").alias("reality"))
+    return many.forecast_errors(train, slots, reality, strict=False)
+
+
 QUERIES = {
     "rename_project": rename_project,
     "time_bound_filter": time_bound_filter,
@@ -670,6 +703,11 @@ QUERIES = {
     "forecast_sweep": forecast_sweep,
     "submission_file": submission_file,
     "final_forecast": final_forecast,
+    "repeated_holdout_full": repeated_holdout_full,
+    "scenario_sweep_full": scenario_sweep_full,
+    "scenario_sweep_means": scenario_sweep_means,
+    "repeat_statistics": repeat_statistics,
+    "forecast_sweep_full": forecast_sweep_full,
 }
 
 

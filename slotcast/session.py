@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: set[str] = set()
+
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Pin the session to UTC, so that TIMESTAMP holds plain wall-clock time."""
@@ -58,3 +62,23 @@ def release(*tables: DataFrame) -> None:
             spark = table.sparkSession
             place = spark._jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def ship_code(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers of executors, once per application.
+
+    The archive is made on the driver and served by it; executors keep it as any added file.
+    """
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        home = os.path.dirname(os.path.abspath(__file__))
+        path = os.path.join(tempfile.mkdtemp(prefix="slotcast-code-"), "slotcast-main.zip")
+        with zipfile.ZipFile(path, "w") as out:
+            for folder, _, names in os.walk(home):
+                for name in names:
+                    if name.endswith(".py"):
+                        full = os.path.join(folder, name)
+                        out.write(full, os.path.join("slotcast", os.path.relpath(full, home)))
+        spark.sparkContext.addPyFile(path)
+        _shipped.add(app)
+    return spark
