@@ -278,6 +278,18 @@ def fit_models(rows: DataFrame, models: list[TreeModel], key_rows: int = KEY_ROW
     return _fit_by_levels(rows, models)
 
 
+def bag_counts(rows: DataFrame, row: str, model: TreeModel) -> DataFrame:
+    """``(row, tree, times)``: how often each tree's bag holds each row, the rows not in it with 0. It depends on seed, tree and row alone."""
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row = batch.column("row").to_numpy()
+            for t in range(model.rounds):
+                yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(np.full(len(row), t, np.int32)), pa.array(weights(model, t, row).astype(np.int32))], ["row", "tree", "times"])
+
+    ship_code(rows.sparkSession)
+    return rows.select(F.col(f"`{row}`").cast("bigint").alias("row")).where("row is not null").mapInArrow(step, "row bigint, tree int, times int")
+
+
 #: Tasks wanted for the fits of small keys; few keys are worked off by several tasks, each with some of the models.
 KEY_TASKS = 64
 

@@ -85,6 +85,18 @@ def sweep(data: DataFrame, learner: Learner | None = None, seeds: Sequence[int]
     return result
 
 
+def out_of_bag(train: DataFrame, columns: list[str], learner: Forest, targets: list[str] | None = None, max_bins: int = 255, key_rows: int = KEY_ROWS) -> DataFrame:
+    """``datetime`` and, for each target, the mean prediction of the trees whose bag does not hold the row; NULL where every bag does."""
+    targets = targets or fixed.TARGETS
+    rows = _tree_rows(train.select("datetime", F.lit(True).alias("train"), *targets, *columns), F.lit("all"), columns, targets, [], max_bins)
+    found = fit_models(rows, tree_models(learner, list(range(len(columns))), len(targets), 0.0), key_rows)
+    time = F.timestamp_seconds("row").cast(train.schema["datetime"].dataType).alias("datetime")
+    known = [F.nanvl(F.col("out")[k], F.lit(None).cast("double")).alias(t) for k, t in enumerate(targets)]
+    result = materialise(found.select(time, *known))
+    release(rows)
+    return result
+
+
 def predict_ahead(train: DataFrame, ahead: DataFrame, sets: dict[int | str, FeatureSet], learner: Learner | None = None, preparation: str = "scale_group",
                   by: list[str] | None = None, targets: list[str] | None = None, penalty: float = 1.0, max_bins: int = 255, key_rows: int = KEY_ROWS) -> DataFrame:
     """Fit each set on ``train`` and predict ``ahead``: ``scenario``, ``datetime`` and a column for each target. Sets and learners as in :func:`sweep`."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 # fixed values, as in fixed.py: written out again so that the SQL stands on its own
 START = "TIMESTAMP '2024-01-23 00:00:00'"
 MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October",
@@ -243,6 +245,27 @@ SELECT '{scenario}' AS scenario, count(*) AS n, {r6('avg(abs((y - p) / nullif(y,
        {r6('avg(abs(y - p))')} AS mae, 'scale_group' AS preparation, count(*) AS hours, min(datetime) AS first_hour FROM scored)"""
 
 
+def _mixed(source: str, numbers: list[str], keep: str) -> str:
+    """Subqueries that mix whole numbers into 64 bits (``h``) with products modulo 2^64."""
+    def times(h: str, by: str) -> str:
+        return f"CAST((CAST({h} AS UHUGEINT) * CAST({by} AS UHUGEINT)) % CAST(18446744073709551616 AS UHUGEINT) AS UBIGINT)"
+
+    out = f"SELECT {keep}, CAST(0 AS UBIGINT) AS h FROM {source}"
+    for x in numbers:
+        out = f"SELECT {keep}, CAST((CAST(h AS UHUGEINT) + CAST({x} AS UHUGEINT) + CAST(11400714819323198485 AS UHUGEINT)) % CAST(18446744073709551616 AS UHUGEINT) AS UBIGINT) AS h FROM ({out})"
+        for shift, by in ((30, "13787848793156543929"), (27, "10723151780598845931")):
+            out = f"SELECT {keep}, {times(f'xor(h, h >> {shift})', by)} AS h FROM ({out})"
+        out = f"SELECT {keep}, xor(h, h >> 31) AS h FROM ({out})"
+    return out
+
+
+def _bags(source: str, row: str, keep: str) -> str:
+    """Poisson(1) counts of a row in a tree, by hash of seed 1, tree and row."""
+    edges = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(12)]
+    u = "CAST(h >> 11 AS DOUBLE) * 1.1102230246251565e-16"
+    return f"SELECT {keep}, {' + '.join(f'CAST({e!r} <= {u} AS INTEGER)' for e in edges)} AS times FROM ({_mixed(source, ['1', 'tree', row], keep)})"
+
+
 NUMERICS = ["temp", "pression", "hr", "p_rosee", "visi", "vt_moy", "vt_raf", "vt_dir", "rr_3h"]
 
 ORACLE = {
@@ -410,6 +433,26 @@ FROM asked JOIN means ON hour(datetime) = k""",
     "scenario_sweep": " UNION ALL ".join(
         f"SELECT * FROM ({_holdout(k, name, 1, 5)}) CROSS JOIN (SELECT unnest([{', '.join(repr(p) for p in PREPARATIONS)}]) AS preparation)" for name, k in GROUPS.items()),
     "scenario_sweep_means": " UNION ALL ".join(f"SELECT *, 'scale_group' AS preparation FROM ({_holdout(k, name, 0, 69)})" for name, k in GROUPS.items()),
+    "forest_bags": f"""SELECT tree, times, count(*) AS rows, CAST(sum(o_orderkey) AS BIGINT) AS keys
+FROM ({_bags("(SELECT o_orderkey, CAST(unnest(range(0, 20)) AS INTEGER) AS tree FROM orders)", "o_orderkey", "o_orderkey, tree")}) GROUP BY tree, times""",
+    "forest_out_of_bag": f"""WITH {LOAD}, {LEVELS}, {WEATHER},
+train AS (SELECT datetime, hour(datetime) AS k, P0, P1 - P0 AS DP1, P2 - P0 AS DP2, CAST(epoch(datetime) AS BIGINT) AS second
+          FROM levels JOIN weather USING (datetime) WHERE P0 IS NOT NULL AND datetime < {START}),
+dealt AS (SELECT *, CAST(unnest(range(0, 25)) AS INTEGER) AS tree FROM train),
+bags AS ({_bags("dealt", "second", "datetime, tree, second")}),
+rows AS (SELECT datetime, k, tree, times, target, y FROM (
+    SELECT datetime, k, 'P0' AS target, P0 AS y FROM train UNION ALL SELECT datetime, k, 'DP1', DP1 FROM train UNION ALL SELECT datetime, k, 'DP2', DP2 FROM train)
+    JOIN bags USING (datetime) WHERE y IS NOT NULL),
+sums AS (SELECT target, tree, k, sum(times) AS n, sum(times * y) AS s FROM rows WHERE times > 0 GROUP BY ALL),
+cuts AS (SELECT target, tree, k, sum(n) OVER up AS nl, sum(s) OVER up AS sl, sum(n) OVER whole AS n, sum(s) OVER whole AS s FROM sums
+         WINDOW up AS (PARTITION BY target, tree ORDER BY k), whole AS (PARTITION BY target, tree)),
+gains AS (SELECT *, sl * sl / nl + (s - sl) * (s - sl) / (n - nl) - s * s / n AS gain FROM cuts WHERE nl >= 5 AND n - nl >= 5),
+best AS (SELECT * FROM gains WHERE gain > 1e-12 * (gain + s * s / n) QUALIFY row_number() OVER (PARTITION BY target, tree ORDER BY gain DESC, k) = 1),
+roots AS (SELECT DISTINCT target, tree, n, s FROM cuts),
+unseen AS (SELECT datetime, target, avg(CASE WHEN best.k IS NULL THEN roots.s / roots.n WHEN rows.k <= best.k THEN sl / nl ELSE (best.s - sl) / (best.n - nl) END) AS hat
+           FROM rows JOIN roots USING (target, tree) LEFT JOIN best USING (target, tree) WHERE times = 0 GROUP BY ALL)
+SELECT train.datetime, {", ".join(f"{r6(f'h_{t}.hat')} AS {t}_hat, {r6(f'abs(train.{t} - h_{t}.hat)')} AS {t}_error" for t in ("P0", "DP1", "DP2"))}
+FROM train {" ".join(f"LEFT JOIN unseen h_{t} ON h_{t}.datetime = train.datetime AND h_{t}.target = '{t}'" for t in ("P0", "DP1", "DP2"))}""",
     "repeat_statistics": f"""WITH {LOAD}, {LEVELS}, {WEATHER},
 train AS (SELECT weather.* FROM levels JOIN weather USING (datetime) WHERE P0 IS NOT NULL AND datetime < {START}),
 hashed AS (SELECT *, CAST(hour(datetime) AS INTEGER) AS Hour, {_split_hash('CAST(repeat AS VARCHAR)', 'datetime')} AS hash

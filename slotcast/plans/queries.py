@@ -19,6 +19,7 @@ from slotcast.operators.encode import OneHot
 from slotcast.operators.quantiles import exact_quantiles
 from slotcast.operators.scaling import GroupImputeGlobalScale, Standardiser
 from slotcast.operators.split import exact_split, exact_splits
+from slotcast.operators.trees import TreeModel, bag_counts
 from slotcast.plans import evaluate, many, plotdata
 from slotcast.plans.build import build_tables
 from slotcast.plans.features import PREPARATIONS, SCENARIOS, FeatureSet, project, training_table, weather_features
@@ -631,6 +632,32 @@ def repeat_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(fitted.stats.select(F.col("repeat__by").alias("repeat"), F.col("Hour__by").alias("Hour"), F.col("n_").alias("n"), long_stats), ["mean", "sd"])
 
 
+def forest_bags(spark: SparkSession, sf: str) -> DataFrame:
+    """How often each of 20 bags holds each order."""
+    orders = table(spark, sf, "orders")
+    return bag_counts(orders, "o_orderkey", TreeModel(0, (0,), rounds=20, bagging=True)).groupBy("tree", "times").agg(F.count(F.lit(1)).alias("rows"), F.sum("row").alias("keys"))
+
+
+def forest_out_of_bag(spark: SparkSession, sf: str) -> DataFrame:
+    """Out-of-bag predictions of a forest of 25 stumps on the hour, with their errors."""
+    train, _ = _train_and_ahead(spark, sf)
+    unseen = many.out_of_bag(train, ["Hour"], Forest(trees=25, depth=1)).withColumnsRenamed({t: f"{t}_hat" for t in fixed.TARGETS})
+    both = unseen.join(train.select("datetime", *fixed.TARGETS), "datetime")
+    return _rounded(both.select("datetime", *[f"{t}_hat" for t in fixed.TARGETS], *[F.abs(F.col(t) - F.col(f"{t}_hat")).alias(f"{t}_error") for t in fixed.TARGETS]),
+                    [f"{t}_{k}" for t in fixed.TARGETS for k in ("hat", "error")])
+
+
+def forest_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """Out-of-bag errors of forests of 500 deep trees that draw a third of the final set's columns for each node."""
+    train, _ = _train_and_ahead(spark, sf)
+    numbers = [c for c in SCENARIOS[7].numerics + SCENARIOS[7].others]
+    ready = Standardiser(SCENARIOS[7].numerics, ["Month", "Hour"]).fit(train).transform(train)
+    unseen = many.out_of_bag(ready, numbers, Forest()).withColumnsRenamed({t: f"{t}_hat" for t in fixed.TARGETS})
+    both = unseen.join(train.select("datetime", *fixed.TARGETS), "datetime")
+    each = F.array(*[F.struct(F.lit(t).alias("target"), F.col(f"{t}_hat").alias("puissance"), F.col(t).alias("reality")) for t in fixed.TARGETS])
+    return metrics.error_metrics(both.select(F.inline(each)), by=["target"], strict=False).drop("mape", "zero_truths")
+
+
 def forecast_sweep_full(spark: SparkSession, sf: str) -> DataFrame:
     """The final forecast of each of the eight sets with its own fixed boosting parameters, against what was observed."""
     train, slots = _train_and_ahead(spark, sf)
@@ -708,6 +735,9 @@ QUERIES = {
     "scenario_sweep_means": scenario_sweep_means,
     "repeat_statistics": repeat_statistics,
     "forecast_sweep_full": forecast_sweep_full,
+    "forest_bags": forest_bags,
+    "forest_out_of_bag": forest_out_of_bag,
+    "forest_errors": forest_errors,
 }
 
 
