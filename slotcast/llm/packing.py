@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from slotcast.llm.common import ship
 from slotcast.session import materialise
@@ -108,7 +110,7 @@ def pack(
     ship(docs.sparkSession)
     kind = docs.schema[id_column].dataType.simpleString()
     most = capacities[-1]
-    long = docs.select(F.col(id_column).alias("id"), F.greatest(F.coalesce(size.cast("long"), F.lit(1)), F.lit(1)).alias("_size"))
+    long = docs.select(F.col(f"`{id_column}`").alias("id"), F.greatest(F.coalesce(size.cast("long"), F.lit(1)), F.lit(1)).alias("_size"))
     pieces = long.select("id", "_size", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_size") - 1) / most))).alias("_piece")).select(
         "id", F.col("_piece").cast("int").alias("piece"), (F.col("_piece") * most).alias("start"), F.least(F.lit(most).cast("long"), F.col("_size") - F.col("_piece") * most).cast("int").alias("n_tokens"),
         F.monotonically_increasing_id().alias("_item"),
@@ -118,3 +120,60 @@ def pack(
     dealt = items.withColumn("_group", F.pmod(F.xxhash64("_item"), F.lit(groups)))
     schema = f"id {kind}, piece int, start long, n_tokens int, bin long, position int, offset int, capacity int"
     return dealt.groupBy("_group").applyInPandas(_group(capacities, prices), schema)
+
+
+#: Marks the end of a text among byte tokens.
+END = 256
+_SOURCES = "array<struct<position: int, id: {0}, piece: int, start: bigint, n_tokens: int, offset: int>>"
+
+
+def _joiner(whole: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sequences from their pieces, in the order of position."""
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = []
+            for parts in batch.column("parts"):
+                made = []
+                for part in parts:
+                    if whole:
+                        made.append(part["tokens"].values.to_numpy())
+                    else:
+                        raw = np.frombuffer(part["tokens"].as_py(), dtype=np.uint8).astype(np.int32)
+                        made.append(raw if len(raw) == part["n_tokens"].as_py() else np.append(raw, np.int32(END)))
+                ids.append(np.concatenate(made))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("bin"), batch.column("capacity"), pa.array([len(i) for i in ids], pa.int32()), pa.array(ids, pa.list_(pa.int32())), batch.column("sources")],
+                ["bin", "capacity", "n_tokens", "ids", "sources"],
+            )
+
+    return step
+
+
+def sequences(
+    docs: DataFrame, tokens: Column, id_column: str = "doc_id", capacities: tuple[int, ...] = CAPACITIES, prices: tuple[float, ...] | None = None, group_items: int = GROUP_ITEMS
+) -> DataFrame:
+    """Packed token sequences, one row each: ``(bin, capacity, n_tokens, ids, sources)``.
+
+    ``tokens`` is a text, whose tokens are its UTF-8 bytes and the mark ``END``, or an array of token ids, taken as it is. ``ids`` holds the tokens of the
+    bin's pieces one after the other, ``sources`` says which piece of which row lies where, in order. Every token of every row is in one sequence. A NULL or empty text has the mark
+    only; a NULL or empty array is in no sequence. Ids may be NULL or repeat; other columns are not read; an empty table gives no sequences.
+
+    Rows are numbered in a written table, placed by :func:`pack`, cut, and brought together by bin, which bounds what a group holds.
+    """
+    ship(docs.sparkSession)
+    picked = docs.select(F.col(f"`{id_column}`").alias("id"), tokens.alias("tokens"))
+    kind = picked.schema["id"].dataType.simpleString()
+    whole = isinstance(picked.schema["tokens"].dataType, ArrayType)
+    if whole:
+        picked = picked.where(F.size("tokens") > 0).select("id", F.col("tokens").cast("array<int>").alias("tokens"))
+        size, cut = F.size("tokens"), F.expr("slice(tokens, int(start + 1), n_tokens)")
+    else:
+        picked = picked.select("id", F.coalesce(F.col("tokens").cast("binary"), F.lit(b"")).alias("tokens"))
+        size, cut = F.octet_length("tokens") + 1, F.expr("substring(tokens, int(start + 1), n_tokens)")
+    rows = materialise(picked.withColumn("row", F.monotonically_increasing_id()))
+    placed = materialise(pack(rows, size, "row", capacities, prices, group_items))
+    pieces = rows.join(placed.withColumnRenamed("id", "row"), "row").withColumn("tokens", cut)
+    source = F.struct("position", "id", "piece", "start", "n_tokens", "offset")
+    held = pieces.groupBy("bin", "capacity").agg(F.array_sort(F.collect_list(F.struct("position", "n_tokens", "tokens"))).alias("parts"), F.array_sort(F.collect_list(source)).alias("sources"))
+    sources = _SOURCES.format(kind)
+    return held.mapInArrow(_joiner(whole), f"bin bigint, capacity int, n_tokens int, ids array<int>, sources {sources}")

@@ -8,7 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slotcast.session import materialise
+from slotcast.llm.common import fresh, positional
+from slotcast.operators.sizing import lookup_side, settle
+from slotcast.session import materialise, release
 
 BITS = 60
 LIMIT = 1 << 20
@@ -55,7 +57,7 @@ def shard(docs: DataFrame, key: Column, size: Column, tie: Column, id_column: st
     """
     if limit < 1:
         raise ValueError("limit must be positive")
-    rows = materialise(docs.select(F.col(id_column).alias("id"), hash_bits(key).alias("_h"), hash_bits(tie).alias("_t"), F.greatest(F.coalesce(size.cast("long"), F.lit(0)), F.lit(0)).alias("size")))
+    rows = materialise(docs.select(F.col(f"`{id_column}`").alias("id"), hash_bits(key).alias("_h"), hash_bits(tie).alias("_t"), F.greatest(F.coalesce(size.cast("long"), F.lit(0)), F.lit(0)).alias("size"), F.monotonically_increasing_id().alias("_row")))
     total = rows.agg(F.sum("size")).first()[0] or 0
     low, high = 0, min(2 * BITS, max(1, math.ceil(math.log2(max(1.0, total / limit))) + 3))
     left = rows.withColumn("_bits", F.concat(_digits("_h"), _digits("_t")))
@@ -76,11 +78,54 @@ def shard(docs: DataFrame, key: Column, size: Column, tie: Column, id_column: st
     fitting = placed.where(F.col("held") <= limit).select("id", "shard", "depth", F.lit(0).cast("long").alias("page"), "size")
     over = placed.where(F.col("held") > limit)
     # the rows of such a shard are equal in all that is kept here but the id: counted, then numbered
-    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))
+    # salted by their number in the first written table, which no lost executor changes
+    salt = F.pmod(F.col("_row"), F.lit(SALTS))
     counted = over.withColumn("salt", salt).groupBy("shard", "depth", "size", "id", "salt").agg(F.count("*").alias("n"))
     return fitting.union(_paged(counted, limit))
 
 
+def write_shards(docs: DataFrame, key: Column, size: Column, tie: Column, path: str, limit: int = LIMIT) -> DataFrame:
+    """Write ``docs`` with all columns as Parquet under ``path``/rows, one folder for each shard and page, and the directory under ``path``/directory, which is returned.
+
+    The directory has a row for each shard: ``(shard, depth, pages, rows, bytes)``; :func:`locate` finds the shard of any row in it, new ones too. Each page is
+    written by one task, so ``limit`` should be the size of a file that is worth reading. Columns may have any names but ``shard`` and ``page``; an empty table gives
+    an empty directory and no rows.
+    """
+    if {c.lower() for c in docs.columns} & {"shard", "page"}:
+        raise ValueError("the folders are named after the columns shard and page")
+    # rows are told apart by their number, since ids may repeat
+    inner = positional(docs.select("*", key.cast("string").alias("_key"), size.cast("long").alias("_size"), tie.cast("string").alias("_tie")).withColumn("_row", F.monotonically_increasing_id()))
+    *own, by, held, tied, row = inner.columns
+    stored = materialise(inner)
+    placed = materialise(shard(stored, F.col(by), F.col(held), F.col(tied), row, limit))
+    both = stored.join(placed.withColumnRenamed("id", row), row).select(*own, "shard", "page").toDF(*docs.columns, "shard", "page")
+    both.repartition("shard", "page").write.partitionBy("shard", "page").parquet(f"{path.rstrip('/')}/rows")
+    counted = placed.groupBy("shard", "depth").agg((F.max("page") + 1).alias("pages"), F.count("*").alias("rows"), F.sum("size").alias("bytes"))
+    counted.write.parquet(f"{path.rstrip('/')}/directory")
+    release(stored, placed)
+    return docs.sparkSession.read.parquet(f"{path.rstrip('/')}/directory")
+
+
+def locate(docs: DataFrame, directory: DataFrame, key: Column, tie: Column) -> DataFrame:
+    """``docs`` with the ``shard`` that the directory holds for each row, the one it was written to or, for new rows, belongs to; NULL where no shard has its prefix yet.
+
+    The prefixes of a row are looked up at the depths that occur, 120 at most; the directory is broadcast only if its measured size fits.
+    """
+    depths = sorted(r["depth"] for r in directory.select("depth").distinct().collect())
+    names = docs.columns
+    inner = positional(docs.select("*", F.concat(_bits(key), _bits(tie)).alias("_bits")).withColumn("_row", F.monotonically_increasing_id()))
+    *own, bits, row = inner.columns
+    stored = materialise(inner)
+    tried = stored.select(row, F.explode(F.array(*[F.expr(f"substring({bits}, 1, {d})") for d in depths] or [F.lit(None).cast("string")])).alias("shard"))
+    known, n = settle(directory.select("shard"))
+    found = materialise(tried.join(lookup_side(known, n), "shard"))
+    return stored.join(found, row, "left").select(*own, "shard").toDF(*names, *fresh(["shard"], names))
+
+
+def _bits(value: Column) -> Column:
+    return F.lpad(F.conv(hash_bits(value).cast("string"), 10, 2), BITS, "0")
+
+
 def _paged(counted: DataFrame, limit: int) -> DataFrame:
     """Pages of shards whose rows share key and tie: numbers are dealt in the order of id within even id ranges."""
     counted = materialise(counted)

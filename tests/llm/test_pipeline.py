@@ -5,6 +5,7 @@ import pytest
 import corpus_pipeline as pipeline
 from slotcast.llm import langid, packing, quality, suffix
 from slotcast.session import materialise
+from tests.llm.test_packing import unpacked
 from tests.llm.test_simhash import near_sets, plain_components, shingle_set
 from tests.llm.test_suffix import plain
 
@@ -51,13 +52,8 @@ def test_stages_equal_plain_versions(spark):
     assert {r.doc_id: r.text for r in rows} == kept and all(r.n_chars == len(r.text) for r in rows)
 
     out = stages["packing"](spark, docs, FOLDER).collect()
-    tokens = {}
-    fill = {}
-    for r in out:
-        tokens[r.doc_id] = tokens.get(r.doc_id, 0) + r.n_tokens
-        fill[r.bin, r.capacity] = fill.get((r.bin, r.capacity), 0) + r.n_tokens
-    assert tokens == {i: len(t.encode()) + 1 for i, t in kept.items()}
-    assert all(c == min(x for x in packing.CAPACITIES if x >= f) for (_, c), f in fill.items())
+    assert unpacked(out) == {i: [*t.encode(), packing.END] for i, t in kept.items()}
+    assert all(r.capacity == min(x for x in packing.CAPACITIES if x >= r.n_tokens) for r in out)
 
 
 @needs_data
@@ -74,7 +70,7 @@ def test_near_copies_stage_is_the_similarity_of_texts(spark):
 
 @needs_data
 def test_run_gives_the_last_stage(spark):
-    assert pipeline.run(spark, FOLDER).columns == ["doc_id", "piece", "start", "n_tokens", "bin", "position", "offset", "capacity"]
+    assert pipeline.run(spark, FOLDER).columns == ["bin", "capacity", "n_tokens", "ids", "sources"]
 
 
 @needs_data

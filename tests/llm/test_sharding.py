@@ -3,7 +3,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from slotcast.llm.sharding import shard
+from slotcast.llm.sharding import locate, shard, write_shards
 
 
 def bits(value):
@@ -53,3 +53,31 @@ def test_hot_key_and_equal_rows(spark):
 def test_edge_rows(spark):
     run(spark, [(None, None, None), (None, "", 0), (1, None, 500), (2, "x", 10), (2, "x", 10)], 100)
     run(spark, [], 100)
+
+
+def test_written_shards_hold_their_rows_and_find_new_ones(spark, tmp_path):
+    rows = [(i % 90, f"t{i % 200}", "x" * (i % 50), 777) for i in range(500)] + [(None, None, None, 1), (7, "same", "y" * 60, 2), (7, "same", "y" * 60, 2)]
+    docs = spark.createDataFrame(rows, "`doc.id` long, text string, body string, size int")
+    key, size, tie = F.col("`doc.id`"), F.octet_length("body"), F.col("text")
+    directory = write_shards(docs, key, size, tie, f"{tmp_path}/out", limit=400)
+    back = spark.read.option("basePath", f"{tmp_path}/out/rows").schema("`doc.id` long, text string, body string, size int, shard string, page long").parquet(f"{tmp_path}/out/rows")
+    got = back.collect()
+    assert sorted((tuple(r)[:4] for r in got), key=repr) == sorted(rows, key=repr)
+    held = defaultdict(int)
+    for r in got:
+        held[r.shard, r.page] += len(r.body or "")
+    assert max(held.values()) <= 400 and len(held) > 20
+    assert {(r.shard, r.rows) for r in directory.collect()} == {(s, sum(r.shard == s for r in got)) for s, _ in held}
+    found = locate(docs, directory, key, tie).collect()
+    assert sorted(((r["doc.id"], r.text, r.shard) for r in found), key=repr) == sorted(((r["doc.id"], r.text, r.shard) for r in got), key=repr)
+    new = locate(spark.createDataFrame([(10_000 + i, "new", 1) for i in range(50)], "id long, text string, shard int"), directory, F.col("id"), F.col("text"))
+    assert new.columns == ["id", "text", "shard", "_shard"]
+    assert all(r["_shard"] is None or (bits(r.id) + bits(r.text)).startswith(r["_shard"]) for r in new.collect())
+
+
+def test_an_empty_table_has_an_empty_directory(spark, tmp_path):
+    docs = spark.createDataFrame([], "id long, text string")
+    directory = write_shards(docs, F.col("id"), F.octet_length("text"), F.col("text"), f"{tmp_path}/none")
+    assert directory.count() == 0
+    some = spark.createDataFrame([(1, "a")], "id long, text string")
+    assert [r.shard for r in locate(some, directory, F.col("id"), F.col("text")).collect()] == [None]
