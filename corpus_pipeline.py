@@ -40,8 +40,8 @@ def passages_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte tokens and an end mark of every document, in sequences of 2048, 4096 or 8192 tokens."""
-    return packing.pack(docs, F.coalesce(F.octet_length("text"), F.lit(0)) + 1).withColumnRenamed("id", "doc_id")
+    """Byte tokens and an end mark of every document, in sequences of up to 2048, 4096 or 8192 tokens: token ids, and where each document lies."""
+    return packing.sequences(docs, F.col("text"))
 
 
 STAGES: list[tuple[str, Stage]] = [
