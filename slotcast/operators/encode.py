@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, StringIndexer
+from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotcast.fixed import LEVELS
 from slotcast.functions.quoting import name, text
+from slotcast.operators.levels import Dictionary, sorted_levels
 
 _SHORT = {"y", "n", "Y", "N"}
 
@@ -91,29 +91,36 @@ class SparseOneHot:
     remove: bool = True
 
     def fit(self, train: DataFrame) -> "SparseOneHotModel":
-        """Levels are the known values as text, in alphabetical order."""
-        texts = train.select(*[F.col(name(v)).cast("string").alias(f"{v}_text_") for v in self.variables])
-        steps = [
-            StringIndexer(inputCols=[f"{v}_text_" for v in self.variables], outputCols=[f"{v}_index_" for v in self.variables],
-                          handleInvalid="keep", stringOrderType="alphabetAsc"),
-            # unknown texts and NULL have the index after the last level: the category that is dropped
-            OneHotEncoder(inputCols=[f"{v}_index_" for v in self.variables], outputCols=[f"{v}_vector" for v in self.variables], dropLast=True),
-        ]
-        return SparseOneHotModel(self.variables, Pipeline(stages=steps).fit(texts), self.remove)
+        """Levels are the known values as text, in alphabetical order, in a written table for each variable."""
+        return SparseOneHotModel(self.variables, {v: sorted_levels(train, v, as_text=True) for v in self.variables}, self.remove)
 
 
 @dataclass(frozen=True)
 class SparseOneHotModel:
     variables: list[str]
-    model: PipelineModel
+    dictionaries: dict[str, Dictionary]
     remove: bool
 
     @property
     def levels(self) -> dict[str, list[str]]:
-        return dict(zip(self.variables, map(list, self.model.stages[0].labelsArray)))
+        """The levels themselves, for variables with few of them."""
+        return {v: [r["level"] for r in d.table.orderBy("index").collect()] for v, d in self.dictionaries.items()}
+
+    def indexed(self, df: DataFrame) -> DataFrame:
+        """``<variable>_index``: the place of the level, NULL for NULL and unknown ones."""
+        out = df.withColumns({f"{v}_text_": F.col(name(v)).cast("string") for v in self.variables})
+        for v in self.variables:
+            out = self.dictionaries[v].index(out, f"{v}_text_", f"{v}_index")
+        kept = [c for c in df.columns if not (self.remove and c in self.variables)]
+        return out.select(*[F.col(name(c)) for c in kept], *[F.col(name(f"{v}_index")) for v in self.variables])
 
     def transform(self, df: DataFrame) -> DataFrame:
         """A NULL or an unknown level has an all-zero vector."""
-        texts = df.withColumns({f"{v}_text_": F.col(name(v)).cast("string") for v in self.variables})
-        kept = [c for c in df.columns if not (self.remove and c in self.variables)]
-        return self.model.transform(texts).select(*[F.col(name(c)) for c in kept], *[f"{v}_vector" for v in self.variables])
+        sizes = [float(self.dictionaries[v].levels) for v in self.variables]
+        inputs, outputs = [f"{v}_index" for v in self.variables], [f"{v}_vector" for v in self.variables]
+        # the index after the last level stands for the unknown: the category that is dropped
+        one = df.sparkSession.createDataFrame([tuple(sizes)], ", ".join(f"{name(c)} double" for c in inputs))
+        encoder = OneHotEncoder(inputCols=inputs, outputCols=outputs, dropLast=True).fit(one)
+        rows = self.indexed(df)
+        known = rows.withColumns({c: F.coalesce(F.col(name(c)).cast("double"), F.lit(n)) for c, n in zip(inputs, sizes)})
+        return encoder.transform(known).drop(*inputs)

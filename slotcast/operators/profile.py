@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from slotcast.functions.quoting import name, text
 from slotcast.operators.fold import unpivot_measures
+from slotcast.operators.levels import levels_in_order_seen
 from slotcast.operators.quantiles import exact_quantiles
 
 QUARTILES = [0.25, 0.5, 0.75]
@@ -22,10 +23,9 @@ def group_profile(df: DataFrame, keys: list[str], value: str = "puissance") -> D
 
 
 def first_seen_rank(df: DataFrame, label: str, time: str = "datetime") -> DataFrame:
-    """Levels in their order of first appearance, as ``label`` and ``level``.
-    The labels come from the calendar, so there are few of them."""
-    seen = df.groupBy(label).agg(F.min(time).alias("seen"))
-    return seen.select(label, F.row_number().over(Window.orderBy("seen", label)).alias("level"))
+    """Levels in their order of first appearance, as ``label`` and ``level``, a written table; a NULL label is none."""
+    ordered = levels_in_order_seen(df, label, time).table
+    return ordered.select(F.col("level").alias(label), (F.col("index") + 1).cast("int").alias("level"))
 
 
 def crosstab(df: DataFrame, row: str, column: str, levels: list[str], value: str) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+from slotcast.plans.features import SCENARIOS
+
 # fixed values, as in fixed.py: written out again so that the SQL stands on its own
 START = "TIMESTAMP '2024-01-23 00:00:00'"
 MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October",
@@ -152,6 +154,29 @@ FROM t LEFT JOIN m USING (Weekday, Hour) LEFT JOIN s USING (Weekday, Hour)"""
 FINAL_NUMBERS = ["temp", "pression", "hr", "p_rosee", "visi", "vt_raf", "rr_3h", "nebul"]
 
 
+def _cells() -> str:
+    """One SELECT for each variable of each set."""
+    texts = {"Month", "Weekday", "rose_vt", "f_season"}
+    flags_ = {"f_weekend", "f_evening"}
+    parts = []
+    for number, features in SCENARIOS.items():
+        for i, v in enumerate(features.variables):
+            value = f"CAST({v} AS INTEGER)" if v in flags_ else v
+            text, cell = (v, "CAST(NULL AS DOUBLE)") if v in texts else ("CAST(NULL AS VARCHAR)", f"CAST({value} AS DOUBLE)")
+            parts.append(f"SELECT CAST({number} AS INTEGER) AS scenario, datetime, CAST({i} AS INTEGER) AS position, '{v}' AS variable, {text} AS text, {cell} AS number FROM f")
+    return f"WITH {WEATHER}, f AS (SELECT *, {calendar('datetime')}, {flags('datetime')}, {rose('vt_dir')} AS rose_vt FROM weather) " + " UNION ALL ".join(parts)
+
+
+def _formula() -> str:
+    return """WITH o AS (SELECT o_orderkey, CAST(CAST(round(o_totalprice * 100) AS BIGINT) AS DOUBLE) AS price, nullif(o_orderpriority, '5-LOW') AS priority, o_orderstatus AS status FROM orders),
+levels AS (
+  SELECT 'priority' AS variable, priority AS level, 1 + row_number() OVER (ORDER BY count(*) DESC, priority) - 1 AS position FROM o WHERE status <> 'P' AND priority IS NOT NULL GROUP BY priority
+  UNION ALL
+  SELECT 'status', status, (SELECT count(DISTINCT priority) FROM o WHERE status <> 'P') + row_number() OVER (ORDER BY count(*) DESC, status) FROM o WHERE status <> 'P' GROUP BY status)
+SELECT o_orderkey, CAST(0 AS INTEGER) AS position, price AS value FROM o
+UNION ALL SELECT o_orderkey, CAST(position AS INTEGER), CAST(coalesce(CASE variable WHEN 'priority' THEN priority ELSE status END = level, FALSE) AS DOUBLE) FROM o, levels"""
+
+
 def _matrix() -> str:
     """Scaled numbers, then month, direction, weekday and season flags, then hour and weekend."""
     means = ", ".join(f"avg({c}) AS m_{c}" for c in FINAL_NUMBERS)
@@ -388,6 +413,11 @@ FROM t JOIN l USING (year_month) GROUP BY year_month, Month, Hour, level""",
         + ", CASE WHEN o_orderdate >= TIMESTAMP '1999-01-01' THEN 'test' ELSE 'train' END AS DATA_ FROM orders",
     "scenario_projection": f"""WITH {WEATHER}, f AS (SELECT *, {calendar('datetime')}, {flags('datetime')}, {rose('vt_dir')} AS rose_vt FROM weather)
 SELECT datetime, Month, rose_vt, Weekday, f_season, temp, pression, hr, p_rosee, visi, vt_raf, rr_3h, nebul, Hour, f_weekend FROM f""",
+    "scenario_cells": _cells(),
+    "formula_matrix": _formula(),
+    "sparse_onehot": """WITH known AS (SELECT CAST(o_orderkey AS VARCHAR) AS k, row_number() OVER (ORDER BY CAST(o_orderkey AS VARCHAR)) - 1 AS place FROM (SELECT DISTINCT o_orderkey FROM orders WHERE o_orderdate < DATE '1998-01-01'))
+SELECT l_orderkey, l_linenumber, place AS l_orderkey_index, CAST((SELECT count(*) FROM known) AS INTEGER) AS size FROM lineitem LEFT JOIN known ON k = CAST(l_orderkey AS VARCHAR)""",
+    "level_order": """SELECT l_orderkey, CAST(row_number() OVER (ORDER BY min(l_shipdate), l_orderkey) AS INTEGER) AS level FROM lineitem GROUP BY l_orderkey""",
     "exact_split": f"""SELECT event_id, value,
   CASE WHEN row_number() OVER (ORDER BY {_split_hash("'7'", 'event_id')}, event_id)
             <= round_even(0.79 * (SELECT count(*) FROM events), 0) THEN 'train' ELSE 'test' END AS DATA_ FROM events""",

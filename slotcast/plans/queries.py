@@ -15,7 +15,7 @@ from slotcast.functions import calendar as cal
 from slotcast.functions import stamps
 from slotcast.functions.direction import circular_mean, direction_class
 from slotcast.operators import clean, combine, fold, metrics, position, profile
-from slotcast.operators.encode import OneHot
+from slotcast.operators.encode import OneHot, SparseOneHot
 from slotcast.operators.quantiles import exact_quantiles
 from slotcast.operators.scaling import GroupImputeGlobalScale, Standardiser
 from slotcast.operators.split import exact_split, exact_splits
@@ -24,7 +24,7 @@ from slotcast.plans import evaluate, many, plotdata
 from slotcast.plans.build import build_tables
 from slotcast.plans.features import PREPARATIONS, SCENARIOS, FeatureSet, project, training_table, weather_features
 from slotcast.plans.features import prepare as prepare_features
-from slotcast.plans.models import Boosting, Forest, TargetModels, as_doubles, fit_formula, fit_targets
+from slotcast.plans.models import Boosting, Forest, TargetModels, as_doubles, fit_formula, fit_targets, formula
 from slotcast.plans.tables import ahead, cents, hourly_load, measures_with_gaps, slot_weather, table
 from slotcast.session import fresh_path, materialise, prepare
 from slotcast.sources.delimited import read_delimited, read_results, write_delimited, write_result, write_submission
@@ -416,6 +416,48 @@ def scenario_projection(spark: SparkSession, sf: str) -> DataFrame:
     return project(weather_features(slot_weather(spark, sf)), SCENARIOS[7])
 
 
+def scenario_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Every variable of each of the eight sets in its place: factors as text, the others as numbers."""
+    slots = materialise(weather_features(slot_weather(spark, sf)))
+
+    def cells(number: int) -> DataFrame:
+        features = SCENARIOS[number]
+        rows = project(slots, features)
+        kinds = {f.name: f.dataType for f in rows.schema.fields}
+        each = F.array(*[
+            F.struct(
+                F.lit(i).alias("position"), F.lit(v).alias("variable"),
+                (F.col(v) if isinstance(kinds[v], T.StringType) else F.lit(None).cast("string")).alias("text"),
+                (F.lit(None).cast("double") if isinstance(kinds[v], T.StringType) else F.col(v).cast("int" if isinstance(kinds[v], T.BooleanType) else "double").cast("double")).alias("number"),
+            ) for i, v in enumerate(features.variables)
+        ])
+        return rows.select(F.lit(number).alias("scenario"), "datetime", F.inline(each))
+
+    return reduce(DataFrame.unionByName, [cells(n) for n in SCENARIOS])
+
+
+def formula_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    """The matrix that a formula makes of a number and two texts: levels by falling frequency in training rows, no column for a NULL or an unseen level."""
+    orders = table(spark, sf, "orders").select(
+        "o_orderkey", cents(F.col("o_totalprice")).cast("double").alias("price"), F.nullif(F.col("o_orderpriority"), F.lit("5-LOW")).alias("priority"), F.col("o_orderstatus").alias("status"))
+    model = formula("price", ["price", "priority", "status"]).fit(orders.where("status <> 'P'"))
+    made = model.transform(orders)
+    return made.select("o_orderkey", F.posexplode(vector_to_array("features")).alias("position", "value"))
+
+
+def sparse_onehot(spark: SparkSession, sf: str) -> DataFrame:
+    """Places of order keys among the keys of orders before 1998, one level for each order, as sparse vectors would hold them."""
+    known = table(spark, sf, "orders").where("o_orderdate < '1998-01-01'").select(F.col("o_orderkey").alias("l_orderkey"))
+    model = SparseOneHot(["l_orderkey"], remove=False).fit(known)
+    items = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
+    return model.indexed(items).withColumn("size", F.lit(model.dictionaries["l_orderkey"].levels))
+
+
+def level_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Order keys in the order in which their first item was shipped."""
+    return profile.first_seen_rank(table(spark, sf, "lineitem"), "l_orderkey", "l_shipdate")
+
+
 def exact_split_rows(spark: SparkSession, sf: str) -> DataFrame:
     events = table(spark, sf, "events").select("event_id", "value")
     return exact_split(events, "event_id", fixed.HOLDOUT_TRAIN_SHARE, seed=7).tagged()
@@ -711,6 +753,10 @@ QUERIES = {
     "onehot": onehot,
     "onehot_fit_transfer": onehot_fit_transfer,
     "scenario_projection": scenario_projection,
+    "scenario_cells": scenario_cells,
+    "formula_matrix": formula_matrix,
+    "sparse_onehot": sparse_onehot,
+    "level_order": level_order,
     "exact_split": exact_split_rows,
     "per_target_rows": per_target_rows,
     "error_metrics": error_metrics,
