@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from slotcast.functions.quoting import name, text
 from slotcast.operators.fold import unpivot_measures
 from slotcast.operators.levels import levels_in_order_seen
-from slotcast.operators.quantiles import exact_quantiles
+from slotcast.operators.quantiles import box_counts, exact_quantiles
 
 QUARTILES = [0.25, 0.5, 0.75]
 
@@ -86,7 +86,10 @@ def _boxed(df: DataFrame, columns: list[str], reach: float) -> DataFrame:
 
 
 def box_numbers(df: DataFrame, columns: list[str], reach: float = 1.5) -> DataFrame:
-    """Quartiles, whisker ends (last values within ``reach`` box lengths) and outlier count."""
+    """Quartiles, whisker ends (last values within ``reach`` box lengths) and outlier count, from two passes over the table."""
+    found = box_counts(df, columns, reach)
+    if found is not None:
+        return found
     inside = "value BETWEEN low_fence AND high_fence"
     return _boxed(df, columns, reach).groupBy("variable", "q1", "median", "q3").agg(
         F.expr(f"min(CASE WHEN {inside} THEN value END) AS whisker_low"),

@@ -35,6 +35,33 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], by: l
 
     ``moments`` adds ``rows``, ``min``, ``mean``, ``max`` and ``sd`` from the first pass.
     """
+    return _counted_quantiles(df, columns, probs, by, moments)[0]
+
+
+def box_counts(df: DataFrame, columns: list[str], reach: float = 1.5, by: list[str] | None = None) -> DataFrame | None:
+    """One row per group and column: quartiles ``q1``, ``median``, ``q3``, the last values within ``reach`` box lengths (``whisker_low``, ``whisker_high``) and
+    the number of ``outliers`` beyond, from the two passes that find the quartiles.
+
+    The brackets of the quartiles bracket the fences too, so the second pass counts values near the fences one by one. All other regions lie on one side of a
+    fence as a whole and give their rows and extremes. None if a quartile lay beside its bracket and a region lies on both sides of a fence.
+    """
+    keys = [*(by or []), "variable"]
+    quantiles, frequencies, groups = _counted_quantiles(df, columns, [0.25, 0.5, 0.75], by, False, reach)
+    boxes = materialise(quantiles.selectExpr(
+        *[name(k) for k in keys], "q0 AS q1", "q1 AS median", "q2 AS q3", f"q0 - {reach!r}D * (q2 - q0) AS low_fence", f"q2 + {reach!r}D * (q2 - q0) AS high_fence"))
+    sides = frequencies.alias("a").join(lookup_side(boxes, groups).alias("b"), F.expr(_same(keys))).selectExpr(
+        *[f"a.{name(k)}" for k in keys], "q1", "median", "q3", "low", "high", "here", "low >= low_fence AND high <= high_fence AS inside", "high < low_fence OR low > high_fence AS beyond")
+    found = materialise(sides.groupBy(*keys, "q1", "median", "q3").agg(
+        F.expr("min(CASE WHEN inside THEN low END) AS whisker_low"), F.expr("max(CASE WHEN inside THEN high END) AS whisker_high"),
+        F.expr("coalesce(sum(CASE WHEN beyond THEN here END), 0) AS outliers"), F.expr("bool_or(NOT inside AND NOT beyond) AS torn")))
+    if not found.where("torn").isEmpty():
+        return None
+    return found.select(*keys, "whisker_low", "q1", "median", "q3", "whisker_high", "outliers")
+
+
+def _counted_quantiles(df: DataFrame, columns: list[str], probs: list[float], by: list[str] | None, moments: bool,
+                       reach: float | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """The quantiles, the stored frequencies they come from, and the number of groups. With ``reach``, for quartiles, the fences have brackets too."""
     by = list(by or [])
     keys = [*by, "variable"]
     names = [name(k) for k in keys]
@@ -56,10 +83,16 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], by: l
     # edges come in pairs (low, high); a value inside a pair is counted by itself. The region
     # grows with the value, and values of one region are all inside a pair or all outside.
     pairs = [(f"edges[{i}]", f"edges[{i + 1}]") for i in range(0, len(marks), 2)]
+    if reach is not None:
+        r = f"{reach!r}D"
+        pairs = [
+            (f"(edges[0] - {r} * (edges[5] - edges[0]))", f"(edges[1] - {r} * (edges[4] - edges[1]))"), *pairs,
+            (f"(edges[4] + {r} * (edges[4] - edges[1]))", f"(edges[5] + {r} * (edges[5] - edges[0]))"),
+        ]
     region = " + ".join(f"int(value >= {low}) + int(value > {high})" for low, high in pairs)
     inside = " OR ".join(f"value BETWEEN {low} AND {high}" for low, high in pairs)
-    bins = " ".join(f"WHEN {2 * i + 1} THEN coalesce(int(width_bucket(value, {low}, {high}, {BINS})), 0)"
-                    for i, (low, high) in enumerate(pairs))
+    # all values of a region are in the same pairs, so bins grow with the value in it
+    bins = " ".join(f"WHEN value BETWEEN {low} AND {high} THEN coalesce(int(width_bucket(value, {low}, {high}, {BINS})), 0)" for low, high in pairs)
     placed = (
         unpivot_measures(df, by, columns).filter("value IS NOT NULL").alias("a").join(edges.alias("b"), F.expr(_same(keys)))
         .selectExpr(*[f"a.{k}" for k in names], "n", "value", "edges", f"{region} AS region",
@@ -83,7 +116,7 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], by: l
         deep = " OR ".join(f"({rank} > before AND {rank} < before + here - 1)" for rank in ranks)
         return frequencies, cells.filter(hit).selectExpr("*", f"bin = -1 AND ({deep}) AS missed").drop("here", "n")
 
-    own_bin = f"CASE region {bins} ELSE 0 END"
+    own_bin = f"CASE {bins} ELSE 0 END"
     frequencies, cells = counted(placed, "keep", own_bin)
     cells = materialise(cells)
     missed = cells.filter("missed").select(*keys, "region")
@@ -115,8 +148,9 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], by: l
         f"floor{i} + (ceil{i} - floor{i}) * ({position} - floor({position})) AS q{i}"
         for i, position in enumerate(positions)])
     if not moments:
-        return quantiles
+        return quantiles, frequencies, groups
     # a column without known values has moments but no quantiles
     side = lookup_side(quantiles, groups)
-    return sketch.alias("a").join(side.alias("b"), F.expr(_same(keys)), "left").selectExpr(
+    whole = sketch.alias("a").join(side.alias("b"), F.expr(_same(keys)), "left").selectExpr(
         *[f"a.{k}" for k in names], "a.n", *extra, *[f"q{i}" for i in range(len(probs))])
+    return whole, frequencies, groups

@@ -418,6 +418,7 @@ SELECT datetime, Month, rose_vt, Weekday, f_season, temp, pression, hr, p_rosee,
     "sparse_onehot": """WITH known AS (SELECT CAST(o_orderkey AS VARCHAR) AS k, row_number() OVER (ORDER BY CAST(o_orderkey AS VARCHAR)) - 1 AS place FROM (SELECT DISTINCT o_orderkey FROM orders WHERE o_orderdate < DATE '1998-01-01'))
 SELECT l_orderkey, l_linenumber, place AS l_orderkey_index, CAST((SELECT count(*) FROM known) AS INTEGER) AS size FROM lineitem LEFT JOIN known ON k = CAST(l_orderkey AS VARCHAR)""",
     "level_order": """SELECT l_orderkey, CAST(row_number() OVER (ORDER BY min(l_shipdate), l_orderkey) AS INTEGER) AS level FROM lineitem GROUP BY l_orderkey""",
+    "csv_line_breaks": """SELECT o_orderkey, o_orderpriority || chr(10) || '"' || o_orderstatus || '";' || chr(10) || chr(10) || o_orderkey AS note, o_totalprice FROM orders""",
     "exact_split": f"""SELECT event_id, value,
   CASE WHEN row_number() OVER (ORDER BY {_split_hash("'7'", 'event_id')}, event_id)
             <= round_even(0.79 * (SELECT count(*) FROM events), 0) THEN 'train' ELSE 'test' END AS DATA_ FROM events""",

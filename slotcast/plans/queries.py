@@ -92,6 +92,15 @@ def csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return read_delimited(spark, path, _ORDERS_TEXT_SCHEMA, decimal=",")
 
 
+def csv_line_breaks(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells with line breaks, quotes and separators, written and read again by several tasks a file."""
+    note = F.concat("o_orderpriority", F.lit('\n"'), F.col("o_orderstatus"), F.lit('";\n\n'), F.col("o_orderkey").cast("string"))
+    path = fresh_path(spark, "notes")
+    write_delimited(table(spark, sf, "orders").select("o_orderkey", note.alias("note"), "o_totalprice"), path)
+    schema = T.StructType([T.StructField("o_orderkey", T.LongType()), T.StructField("note", T.StringType()), T.StructField("o_totalprice", T.DoubleType())])
+    return read_delimited(spark, path, schema, decimal=",", line_breaks=True)
+
+
 def result_sink(spark: SparkSession, sf: str) -> DataFrame:
     """Two runs in one folder, blank NULLs, read back with their labels."""
     base = fresh_path(spark, "results")
@@ -712,6 +721,7 @@ QUERIES = {
     "time_bound_filter": time_bound_filter,
     "run_label": run_labels,
     "csv_roundtrip": csv_roundtrip,
+    "csv_line_breaks": csv_line_breaks,
     "result_sink": result_sink,
     "parquet_roundtrip": parquet_roundtrip,
     "dedup_rows": dedup_rows,

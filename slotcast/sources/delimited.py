@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DecimalType, DoubleType, FloatType, NumericType, StringType, StructField, StructType
 
+from slotcast.functions.quoting import name
+from slotcast.sources.records import read_records
+
 
 def read_delimited(
     spark: SparkSession,
@@ -22,16 +25,21 @@ def read_delimited(
 
     Numbers may use a decimal comma. The ``missing`` texts are NULL in every column, as is
     text that can not be read as the column's type. ``carried`` names partition columns of the path.
-    A doubled quote inside a quoted cell is one quote. Cells may hold line breaks only with ``line_breaks``; a
-    file is then read by one task, so leave it off for large files that need not have it.
+    A doubled quote inside a quoted cell is one quote. Cells may hold line breaks only with ``line_breaks``, which
+    stores the lines once to count their quotes; see :func:`read_records`.
     """
     carried = list(carried)
-    text = StructType([StructField(n, StringType()) for n in [*schema.names, *carried]])
-    raw = (
-        spark.read.schema(text).option("sep", sep).option("header", header)
-        .option("enforceSchema", True).option("nullValue", "")
-        .option("quote", '"').option("escape", '"').option("multiLine", line_breaks).csv(path)
-    )
+    if line_breaks:
+        options = {"sep": sep, "quote": '"', "escape": '"', "nullValue": ""}
+        parsed = F.from_csv(F.col("value"), ", ".join(f"{name(n)} STRING" for n in schema.names), options).alias("cells")
+        raw = read_records(spark, path, header, carried).select(parsed, *carried).select("cells.*", *carried)
+    else:
+        text = StructType([StructField(n, StringType()) for n in [*schema.names, *carried]])
+        raw = (
+            spark.read.schema(text).option("sep", sep).option("header", header)
+            .option("enforceSchema", True).option("nullValue", "")
+            .option("quote", '"').option("escape", '"').csv(path)
+        )
 
     def typed(f: StructField) -> Column:
         cell = F.col(f"`{f.name}`")

@@ -140,3 +140,38 @@ def test_split_sides_are_plain_filters(spark, plan):
     split = exact_split(spark.range(1000), "id", 0.5)
     for side in (split.train, split.test):
         assert "Exchange" not in plan(side) and "Join" not in plan(side)
+
+
+def plain_box(values, reach=1.5):
+    v = np.sort(np.array([x for x in values if x is not None], dtype=float))
+    q1, median, q3 = np.quantile(v, [0.25, 0.5, 0.75])
+    low, high = q1 - reach * (q3 - q1), q3 + reach * (q3 - q1)
+    inside = v[(v >= low) & (v <= high)]
+    return (inside.min(), q1, median, q3, inside.max(), int(len(v) - len(inside)))
+
+
+def test_boxes_from_two_passes_equal_plain_numbers(spark):
+    """Fences far out, inside the box, among ties and in groups of any size; no third pass is needed for any of them."""
+    rng = np.random.default_rng(8)
+    made = {
+        "normal": rng.normal(size=4000), "heavy": rng.standard_t(1.2, size=5000), "ties": rng.integers(0, 4, 3000).astype(float), "one": np.array([3.0]),
+        "constant": np.append(np.full(500, 2.0), [1.0, 9.0]), "two": np.array([1.0, 100.0]), "few": np.append(rng.normal(size=9), [50.0, -70.0]), "skewed": rng.lognormal(0, 3, 20_000),
+    }
+    rows = [(g, float(x), None if i % 3 else float(-x)) for g, v in made.items() for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "g string, x double, y double").repartition(5)
+    got = {(r["g"], r["variable"]): r for r in quantiles.box_counts(df, ["x", "y"], by=["g"]).collect()}
+    for g, v in made.items():
+        for variable, values in (("x", v), ("y", [-x for i, x in enumerate(v) if i % 3 == 0])):
+            r = got[g, variable]
+            want = plain_box(values)
+            assert np.allclose([r["whisker_low"], r["q1"], r["median"], r["q3"], r["whisker_high"]], want[:5], rtol=1e-9, atol=1e-12), (g, variable)
+            assert r["outliers"] == want[5]
+
+
+def test_a_box_that_is_torn_is_counted_again(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "MARGIN", 0.0)
+    rng = np.random.default_rng(9)
+    df = spark.createDataFrame([(float(x),) for x in rng.standard_t(2, size=3001)], "x double")
+    box = profile.box_numbers(df, ["x"]).first()
+    want = plain_box([r["x"] for r in df.collect()])
+    assert np.allclose([box["whisker_low"], box["q1"], box["median"], box["q3"], box["whisker_high"]], want[:5]) and box["outliers"] == want[5]
