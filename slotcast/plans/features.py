@@ -13,7 +13,7 @@ from slotcast.functions.direction import direction_class
 from slotcast.operators.combine import join_covariates
 from slotcast.operators.encode import OneHot
 from slotcast.operators.fold import fold_hourly
-from slotcast.operators.scaling import GroupImputeGlobalScale, Standardiser
+from slotcast.operators.scaling import GroupImputeGlobalScale, GroupImputeGlobalScaleModel, Standardiser, StandardiserModel
 
 PREPARATIONS = ("impute_global_scale_global", "impute_group", "impute_group_scale_global", "scale_group")
 
@@ -74,13 +74,19 @@ def _scaler(preparation: str, numerics: list[str], by: list[str] | None, within:
     raise ValueError(f"preparation is one of {PREPARATIONS}")
 
 
+def fitted_scaler(train: DataFrame, numerics: list[str], preparation: str, by: list[str] | None = None,
+                  within: list[str] | None = None) -> StandardiserModel | GroupImputeGlobalScaleModel:
+    """The imputation and scaling of a preparation, fitted on ``train``."""
+    return _scaler(preparation, numerics, by, within).fit(train)
+
+
 def prepare_many(train: DataFrame, test: DataFrame, sets: dict[int, FeatureSet], preparation: str = "scale_group",
                  by: list[str] | None = None, within: list[str] | None = None) -> tuple[DataFrame, DataFrame, dict[int, list[str]]]:
     """Impute, scale and one-hot encode for several feature sets at once; everything is fitted
     on ``train``, separately for each value of the ``within`` columns (say, the repeats of a split) but in one pass. Returns both
     tables and the model columns of each set, in order."""
     every = union_of(list(sets.values()))
-    fitted = _scaler(preparation, every.numerics, by, within).fit(train)
+    fitted = fitted_scaler(train, every.numerics, preparation, by, within)
     encoder = OneHot(every.factors, remove=False).fit(train)
 
     def columns(features: FeatureSet) -> list[str]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,6 +26,7 @@ from slotcast.plans.build import build_tables
 from slotcast.plans.features import PREPARATIONS, SCENARIOS, FeatureSet, project, training_table, weather_features
 from slotcast.plans.features import prepare as prepare_features
 from slotcast.plans.models import Boosting, Forest, TargetModels, as_doubles, fit_formula, fit_targets, formula
+from slotcast.plans.stages import fit_pipeline
 from slotcast.plans.tables import ahead, cents, hourly_load, measures_with_gaps, slot_weather, table
 from slotcast.session import fresh_path, materialise, prepare
 from slotcast.sources.delimited import read_delimited, read_results, write_delimited, write_result, write_submission
@@ -599,6 +601,18 @@ def model_io(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(again.predict(as_doubles(slots, ["Hour"])).select("datetime", *fixed.TARGETS), fixed.TARGETS)
 
 
+def pipeline_io(spark: SparkSession, sf: str) -> DataFrame:
+    """Predictions for raw slots by a saved and loaded pipeline of preparation and models, and whether the pipeline gave them before it was saved."""
+    train, slots = _train_and_ahead(spark, sf)
+    model = fit_pipeline(train, SCENARIOS[7], Boosting(rounds=3, step=0.3, depth=5))
+    folder = fresh_path(spark, "pipeline")
+    model.write().save(folder)
+    hats = [f"{t}_hat" for t in fixed.TARGETS]
+    before = model.transform(slots).select("datetime", F.struct(*hats).alias("before"))
+    after = PipelineModel.load(folder).transform(slots).select("datetime", *hats)
+    return after.join(before, "datetime").select("datetime", *hats, F.struct(*hats).eqNullSafe(F.col("before")).alias("same"))
+
+
 def repeated_holdout(spark: SparkSession, sf: str) -> DataFrame:
     """All 70 repeats for a model that predicts the training mean of each hour."""
     train, _ = _train_and_ahead(spark, sf)
@@ -780,6 +794,7 @@ QUERIES = {
     "gbt_hour_means": gbt_hour_means,
     "rf_weekday_means": rf_weekday_means,
     "model_io": model_io,
+    "pipeline_io": pipeline_io,
     "repeated_holdout": repeated_holdout,
     "holdout_hour_means": holdout_hour_means,
     "scenario_sweep": scenario_sweep,
