@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -49,15 +49,34 @@ def subwords(text: str, buckets: int = BUCKETS) -> np.ndarray:
     return (np.concatenate([one, two, three]) >> np.uint64(40)).astype(np.int64) % buckets
 
 
+#: How far beyond the held-back rows of the known languages a text may be from its language's usual subwords.
+SLACK = 1.25
+#: Share of subwords that the usual distribution of a language leaves to ones it has not seen.
+UNSEEN = 0.02
+
+
 @dataclass(frozen=True)
 class LanguageModel:
-    """Embeddings times output weights, one row per bucket; temperature and threshold come from held-back rows."""
+    """Embeddings times output weights, one row per bucket; temperature and thresholds come from held-back rows.
+
+    A softmax is confident on texts of no learned language too, so each language also knows how usual each bucket is in it (``usual``: logarithm of the
+    share over an even one), with mean and deviation over its own subwords.
+    """
 
     languages: tuple[str, ...]
     table: np.ndarray
     bias: np.ndarray
     temperature: float
     threshold: float
+    usual: np.ndarray
+    centre: np.ndarray
+    spread: np.ndarray
+    farthest: float
+
+    def strangeness(self, means: np.ndarray, counts: np.ndarray, language: np.ndarray) -> np.ndarray:
+        """Deviations by which texts of so many subwords are less usual in their language than its own texts."""
+        own = np.einsum("ij,ji->i", means, self.usual[:, language])
+        return (self.centre[language] - own) * np.sqrt(counts) / self.spread[language]
 
     def probabilities(self, means: np.ndarray) -> np.ndarray:
         """Calibrated probabilities of rows of averaged bucket counts."""
@@ -84,7 +103,8 @@ def fit(labelled: DataFrame, text_column: str = "text", lang_column: str = "lang
 
     Shares follow the different texts of a language, so neither copies nor the size of the table change how many are learned from. Of more than
     ``MOST_LANGUAGES`` values of the language column those with most different texts are learned. Stochastic gradient descent runs on the bounded sample. A fifth
-    is held back: the temperature minimises its log loss, and the threshold is the highest up to ``CEILING`` that keeps the share ``target`` of its rows. NULL
+    is held back: the temperature minimises its log loss, and the thresholds keep the share ``target`` of its rows: the highest probability up to ``CEILING``, and
+    ``SLACK`` times the distance from a language's usual subwords. NULL
     languages and texts without letters are no training rows; without any row there is no model.
     """
     ship(labelled.sparkSession)
@@ -109,7 +129,7 @@ def fit(labelled: DataFrame, text_column: str = "text", lang_column: str = "lang
     learned = tuple(sorted({names[i] for i in order}))
     x = [(np.array(buckets[i]), np.array(counts[i], dtype=np.float32) / sum(counts[i])) for i in order]
     y = np.array([learned.index(names[i]) for i in order])
-    return train(x, y, learned, seed, target)
+    return train(x, y, learned, seed, target, sizes=np.array([sum(counts[i]) for i in order]))
 
 
 def dense(rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -119,7 +139,10 @@ def dense(rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return out
 
 
-def train(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, languages: tuple[str, ...], seed: int, target: float, epochs: int = 12, batch: int = 32) -> LanguageModel:
+def train(
+    x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, languages: tuple[str, ...], seed: int, target: float, epochs: int = 12, batch: int = 32, sizes: np.ndarray | None = None
+) -> LanguageModel:
+    """``x`` has the buckets of each row and their shares, ``sizes`` its number of subwords."""
     random = np.random.default_rng(seed)
     order = random.permutation(len(y))
     held = order[: len(y) // 5]
@@ -152,7 +175,19 @@ def train(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, languages: tupl
     temperature = float(grid[int(np.argmin(loss))])
     top = softmax(logits / temperature).max(axis=1) if len(held) else np.zeros(0)
     threshold = min(CEILING, float(np.quantile(top, 1 - target))) if len(top) else 0.0
-    return LanguageModel(languages, table.astype(np.float32), bias, temperature, threshold)
+    share = np.full((BUCKETS, len(languages)), UNSEEN / BUCKETS)
+    rows_of = np.bincount(y[used], minlength=len(languages))
+    for i in used:
+        share[x[i][0], y[i]] += (1 - UNSEEN) * x[i][1] / rows_of[y[i]]
+    usual = np.log(share * BUCKETS)
+    centre = (share * usual).sum(axis=0)
+    spread = np.sqrt(np.maximum((share * usual * usual).sum(axis=0) - centre * centre, 1e-6))
+    model = LanguageModel(languages, table.astype(np.float32), bias, temperature, threshold, usual, centre, spread, np.inf)
+    if sizes is None or not len(held):
+        return model
+    best = np.argmax(logits, axis=1)
+    far = np.array([float(model.strangeness(dense([x[i]]).astype(float), sizes[[i]], best[[k]])[0]) for k, i in enumerate(held)])
+    return replace(model, farthest=max(SLACK * float(np.quantile(far, target)), 1.0))
 
 
 def _predictor(model: LanguageModel | None, text: str, names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -162,19 +197,21 @@ def _predictor(model: LanguageModel | None, text: str, names: list[str]) -> Call
             lang, score, rejected = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), dtype=bool)
             for start in range(0, len(texts), 128):
                 part = texts[start : start + 128]
-                means, good = np.zeros((len(part), BUCKETS), dtype=np.float32), []
+                means, sizes, good = np.zeros((len(part), BUCKETS), dtype=np.float32), np.zeros(len(part)), []
                 for k, t in enumerate(part):
                     found = subwords(t) if t else ()
                     if len(found):
                         means[k] = np.bincount(found, minlength=BUCKETS) / len(found)
+                        sizes[k] = len(found)
                         good.append(k)
                 if model is None:
                     rejected[[start + k for k in good]] = False
                     continue
                 p = model.probabilities(means)
+                strange = model.strangeness(means, sizes, p.argmax(axis=1))
                 for k in good:
                     lang[start + k], score[start + k] = model.languages[int(p[k].argmax())], float(p[k].max())
-                    rejected[start + k] = score[start + k] < model.threshold
+                    rejected[start + k] = score[start + k] < model.threshold or strange[k] > model.farthest
             yield pa.RecordBatch.from_arrays([*put_back(batch, text, names), pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], [*names, "_lang", "_score", "_rejected"])
 
     return step
@@ -194,7 +231,7 @@ def predict(docs: DataFrame, model: LanguageModel | None, text_column: str = "te
     already gets further underscores in front.
 
     NULL, and texts without a letter, are ``und`` with score 0 and rejected. A score below the model's threshold is
-    rejected too. Without a model every row is ``und`` with score 0, and only texts without a letter are rejected.
+    rejected too, and a text whose subwords are less usual in its language than those of any known text by a calibrated margin. Without a model every row is ``und`` with score 0, and only texts without a letter are rejected.
     Only the text is used, and all of it. Columns may have any names.
     """
     names = carry if carry is not None else docs.columns

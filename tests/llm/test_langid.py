@@ -108,4 +108,34 @@ def test_scores_equal_a_plain_softmax(spark):
         z = (sum(model.table[b].astype(float) for b in found) / len(found) + model.bias) / model.temperature
         p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
         assert got[i]["_lang"] == model.languages[int(p.argmax())] and abs(got[i]["_score"] - p.max()) < 1e-4
-        assert got[i]["_rejected"] == (got[i]["_score"] < model.threshold)
+        usual = sum(model.usual[b, int(p.argmax())] for b in found) / len(found)
+        far = (model.centre[int(p.argmax())] - usual) * np.sqrt(len(found)) / model.spread[int(p.argmax())]
+        assert got[i]["_rejected"] == (got[i]["_score"] < model.threshold or far > model.farthest)
+
+
+def syllables(parts, n, seed):
+    """Texts of words made of a language's syllables, so that few words repeat."""
+    random = np.random.default_rng(seed)
+    return [" ".join("".join(random.choice(parts, random.integers(1, 4))) for _ in range(random.integers(30, 90))) for _ in range(n)]
+
+
+SYLLABLES = {
+    "en": ["the", "ing", "and", "tion", "er", "ou", "th", "ly", "wh", "ed"], "de": ["sch", "ung", "keit", "ein", "der", "ä", "ß", "ver", "zu", "ich"],
+    "fr": ["eau", "ment", "que", "é", "ou", "ai", "tre", "la", "ç", "oi"],
+}
+OTHERS = {
+    "cyrillic": ["при", "ст", "ова", "ние", "ко", "раз", "ый", "ла"], "greek": ["και", "ος", "ει", "του", "μα", "λό", "γη"], "finnish": ["kää", "ylly", "nen", "uus", "oja", "vii", "kko"],
+    "junk": list("qxzjkwvpfgbdhy"), "japanese": ["の", "を", "日", "本", "語", "です"],
+}
+
+
+def test_unlearned_languages_and_junk_are_rejected(spark):
+    """Both shares: known texts that stay, others that go."""
+    known = [(t, k) for n, (k, parts) in enumerate(SYLLABLES.items()) for t in syllables(parts, 300, n)]
+    model = fit(spark.createDataFrame(known, "text string, lang string"))
+    fresh = [(t, k) for n, (k, parts) in enumerate(SYLLABLES.items()) for t in syllables(parts, 200, 50 + n)]
+    strange = [(t, k) for n, (k, parts) in enumerate(OTHERS.items()) for t in syllables(parts, 60, 90 + n)]
+    out = predict(spark.createDataFrame(fresh + strange, "text string, lang string"), model).collect()
+    gone = {k: np.mean([r["_rejected"] for r in out if r["lang"] == k]) for k in [*SYLLABLES, *OTHERS]}
+    assert all(gone[k] <= 0.01 for k in SYLLABLES) and all(gone[k] >= 0.95 for k in OTHERS), gone
+    assert all(r["_lang"] == r["lang"] for r in out if r["lang"] in SYLLABLES)
