@@ -16,6 +16,8 @@ from slotcast.session import materialise, release
 
 MIN_WORDS = 50
 GRAM = 10
+#: Suffixes and windows are equal if two hashes of 64 bits are: that of the gram, and that of all words.
+KIND = ["seed", "span"]
 _BASE = 0x9E3779B97F4A7C15
 _powers = np.ones(1, dtype=np.uint64)
 _inverses = np.ones(1, dtype=np.uint64)
@@ -106,9 +108,9 @@ def _windows(min_words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
             for text, wanted in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("wanted").to_pylist()):
                 words = Rolling(text)
                 start, count = (np.array([w[k] for w in wanted]) for k in ("start", "count"))
-                span = np.repeat(np.array([w["span"] for w in wanted], dtype=np.int64), count)
+                seed, span = (np.repeat(np.array([w[k] for w in wanted], dtype=np.int64), count) for k in ("seed", "span"))
                 step_ = np.arange(len(span)) - np.repeat(np.cumsum(count) - count, count)
-                found.append((span, step_.astype(np.int32), words.of(np.repeat(start, count) + step_, min_words).view(np.int64)))
+                found.append((seed, span, step_.astype(np.int32), words.of(np.repeat(start, count) + step_, min_words).view(np.int64)))
                 if sum(len(f[0]) for f in found) > 1 << 17:
                     yield _window_batch(found)
                     found = []
@@ -119,7 +121,7 @@ def _windows(min_words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
 
 
 def _window_batch(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["span", "step", "window"])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["seed", "span", "step", "window"])
 
 
 def _version(text_column: str) -> Column:
@@ -162,22 +164,22 @@ def repeated_passages(
     # extend only where surroundings differ; the first member stands for its kind
     differing = materialise(spans.join(mixed, "seed", "left_semi"))
     wanted = differing.groupBy(F.col("first.id").alias("id"), F.col("first.version").alias("version")).agg(
-        F.collect_list(F.struct("span", F.col("first.start").alias("start"), F.col("first.count").alias("count"))).alias("wanted")
+        F.collect_list(F.struct("seed", "span", F.col("first.start").alias("start"), F.col("first.count").alias("count"))).alias("wanted")
     )
     near = texts.join(wanted.select(F.col("id").alias("_id"), F.col("version").alias("_version"), "wanted"), F.expr("id <=> _id and version = _version"))
     windows = materialise(
-        near.dropDuplicates(["id", "version"]).select("text", "wanted").mapInArrow(_windows(min_words), "span long, step int, window long")
-        .join(differing.select("span", "n", "first"), "span")
-        .select("span", "step", "window", "n", F.struct(F.col("first.id").alias("id"), (F.col("first.start") + F.col("step")).alias("start")).alias("source"))
+        near.dropDuplicates(["id", "version"]).select("text", "wanted").mapInArrow(_windows(min_words), "seed long, span long, step int, window long")
+        .join(differing.select(*KIND, "n", "first"), KIND)
+        .select(*KIND, "step", "window", "n", F.struct(F.col("first.id").alias("id"), (F.col("first.start") + F.col("step")).alias("start")).alias("source"))
     )
-    sources = materialise(windows.groupBy("window").agg(F.sum("n").alias("n"), F.min("source").alias("source")).where("n > 1").drop("n"))
-    extended = windows.select("span", "step", "window").join(sources, "window").select("span", "step", "source", F.lit(1).alias("length"))
+    sources = materialise(windows.groupBy("seed", "window").agg(F.sum("n").alias("n"), F.min("source").alias("source")).where("n > 1").drop("n"))
+    extended = windows.select(*KIND, "step", "window").join(sources, ["seed", "window"]).select(*KIND, "step", "source", F.lit(1).alias("length"))
     whole = (
         spans.where("n > 1").join(mixed, "seed", "left_anti")
-        .select("span", F.lit(0).alias("step"), F.struct(F.col("first.id").alias("id"), F.col("first.start").alias("start")).alias("source"), F.col("first.count").alias("length"))
+        .select(*KIND, F.lit(0).alias("step"), F.struct(F.col("first.id").alias("id"), F.col("first.start").alias("start")).alias("source"), F.col("first.count").alias("length"))
     )
-    pieces = _merged(extended, ["span"], "step", "length", "source").union(whole.select("span", "step", "length", "source"))
-    placed = members.select("id", "version", "start", "span").join(pieces, "span").select(
+    pieces = _merged(extended, KIND, "step", "length", "source").union(whole.select(*KIND, "step", "length", "source"))
+    placed = members.select("id", "version", "start", *KIND).join(pieces, KIND).select(
         "id", "version", (F.col("start") + F.col("step")).alias("start"), "length", "source"
     )
     passages = _merged(placed, ["id", "version"], "start", "length", "source")
