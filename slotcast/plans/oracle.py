@@ -490,8 +490,8 @@ hashed AS (SELECT *, CAST(hour(datetime) AS INTEGER) AS Hour, {_split_hash('CAST
            FROM train, (SELECT CAST(unnest(range(0, 70)) AS INTEGER) AS repeat)),
 runs AS (SELECT *, row_number() OVER (PARTITION BY repeat ORDER BY hash, datetime)
          <= floor(0.79 * (SELECT count(*) FROM train)) AS is_train FROM hashed) """ + " UNION ALL ".join(
-        f"""SELECT repeat, Hour, count(*) AS n, '{c}' AS variable, {r6(f'avg({c})')} AS mean,
-  {r6(f'sqrt(var_pop({c}) * count({c}) / nullif(count(*) - 1, 0))')} AS sd FROM runs WHERE is_train GROUP BY repeat, Hour""" for c in NUMERICS),
+        f"""SELECT repeat, Hour, count(*) AS n, '{c}' AS variable, round(avg({c}) + 1e-9::DOUBLE, 6) + 0.0 AS mean,
+  round(sqrt(var_pop({c}) * count({c}) / nullif(count(*) - 1, 0)) + 1e-9::DOUBLE, 6) + 0.0 AS sd FROM runs WHERE is_train GROUP BY repeat, Hour""" for c in NUMERICS),
     "repeated_holdout": f"SELECT *, 'scale_group' AS preparation FROM ({_holdout(GROUPS['hour'], 'hour', 0, 69)})",
     "forecast_sweep": " UNION ALL ".join(_forecast_errors(k, name) for name, k in GROUPS.items()),
     "holdout_hour_means": f"""WITH {LOAD}, {LEVELS}, {WEATHER},
