@@ -6,10 +6,13 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_watched: list[list[DataFrame]] = []
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -51,9 +54,22 @@ def materialise(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.stored_at_ = path
+    for made in _watched[-1:]:
+        made.append(table)
     return table
 
 
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """The tables that :func:`materialise` writes meanwhile, for :func:`release` once the result that needs them is stored itself."""
+    made: list[DataFrame] = []
+    _watched.append(made)
+    try:
+        yield made
+    finally:
+        _watched.remove(made)
+
+
 def release(*tables: DataFrame) -> None:
     """Delete what :func:`materialise` wrote for ``tables``; nothing built on them may be read afterwards."""
     for table in tables:
