@@ -16,7 +16,7 @@ from slotcast.llm.cells import CELL, arranged, bounds, cut, deal, meetings
 from slotcast.llm.common import carried, positional, put_back, runs, ship, slices
 from slotcast.llm.components import components, local_roots
 from slotcast.operators.sizing import lookup_side, settle
-from slotcast.session import materialise, release
+from slotcast.session import materialise, release, scratch
 
 BITS = 64
 BLOCK = 1024
@@ -455,16 +455,20 @@ def without_copies(
     id_column, text_column = place[id_column], place[text_column]
     sketched = wide_fingerprinted(inner, text_column, words, seed) if near is None else set_sketched(inner, text_column, words, seed)
     marked = materialise(sketched.withColumn("_row", F.monotonically_increasing_id()))
-    first = F.min(F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"), "_row", *([] if near is None else [*WIDE, "_bands", "_sketch"])))
-    if near is None:
-        distinct = materialise(marked.groupBy(*WIDE).agg(first.alias("first")).withColumn("value", F.monotonically_increasing_id()))
-        edges = links(distinct, radius, block, WIDE, WIDE_PARTS, limit)
-    else:
-        # rows of one set of shingles are one node, whose text is that of the first row
-        one = marked.groupBy("_set", "_size").agg(first.alias("first"))
-        distinct = materialise(one.select("first", F.col("first._row").alias("value"), *[F.col(f"first.{c}").alias(c) for c in (*WIDE, "_bands", "_sketch")], "_size"))
-        texts = marked.select(F.col("_row").alias("value"), F.col(text_column).alias("_text"))
-        edges = near_links(distinct, texts, CLOSE, near, words, seed, block)
-    nodes = rooted(distinct.select("value", F.struct("first.none", "first.id", "first._row").alias("first")), edges)
-    stay = nodes.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first._row").alias("_row"))
+    with scratch() as made:
+        first = F.min(F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"), "_row", *([] if near is None else [*WIDE, "_bands", "_sketch"])))
+        if near is None:
+            distinct = materialise(marked.groupBy(*WIDE).agg(first.alias("first")).withColumn("value", F.monotonically_increasing_id()))
+            edges = links(distinct, radius, block, WIDE, WIDE_PARTS, limit)
+        else:
+            # rows of one set of shingles are one node, whose text is that of the first row
+            one = marked.groupBy("_set", "_size").agg(first.alias("first"))
+            distinct = materialise(one.select("first", F.col("first._row").alias("value"), *[F.col(f"first.{c}").alias(c) for c in (*WIDE, "_bands", "_sketch")], "_size"))
+            texts = marked.select(F.col("_row").alias("value"), F.col(text_column).alias("_text"))
+            edges = near_links(distinct, texts, CLOSE, near, words, seed, block)
+        nodes = rooted(distinct.select("value", F.struct("first.none", "first.id", "first._row").alias("first")), edges)
+        kept = nodes.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first._row").alias("_row"))
+    # only the numbers of rows that stay are needed from here on
+    stay = materialise(kept)
+    release(*made)
     return marked.join(stay, "_row", "left_semi").select(*inner.columns).toDF(*names)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotcast.llm.common import positional, ship, slices
-from slotcast.session import materialise, release
+from slotcast.session import materialise, release, scratch
 
 MIN_WORDS = 50
 GRAM = 10
@@ -241,10 +241,14 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     inner = positional(docs)
     place = dict(zip(names, inner.columns))
     id_column, text_column = place[id_column], place[text_column]
-    found = repeated_passages(inner, id_column, text_column, min_words, gram)
+    with scratch() as made:
+        found = repeated_passages(inner, id_column, text_column, min_words, gram)
     cuts = found.groupBy(F.col("id").alias("_id"), F.col("version").alias("_version")).agg(
         F.max(~F.col("kept")).alias("_some"), F.collect_list(F.struct("start", "n_words", "kept")).alias("_cuts")
     ).where("_some").drop("_some")
+    # stored, so that the tables of suffixes can go before texts are joined
+    cuts = materialise(cuts)
+    release(*made)
     keyed = inner.withColumn("_v", _version(text_column))
     joined = keyed.join(cuts, F.col(id_column).eqNullSafe(F.col("_id")) & (F.col("_v") == F.col("_version")), "left")
     rows = joined.select(*[c for c in inner.columns if c != text_column], F.col(text_column).alias("_text"), "_cuts")
