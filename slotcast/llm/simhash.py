@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from slotcast.llm.cells import CELL, arranged, bounds, cut, deal, meetings
 from slotcast.llm.common import carried, positional, put_back, runs, ship, slices
 from slotcast.llm.components import components, local_roots
+from slotcast.llm.membership import told_apart
 from slotcast.operators.sizing import lookup_side, settle
 from slotcast.session import materialise, release, scratch
 
@@ -33,8 +34,10 @@ BANDS = 30
 BAND_ROWS = 5
 #: Min-hash bytes that tell before sets are compared whether a pair can be near.
 SKETCH = 128
-#: Bits within which every pair of fingerprints meets in a covering table before sets are compared: one in each part.
+#: Bits within which every pair of fingerprints meets in a covering table before sets are compared: three in each of two parts of 64 bits.
+#: Keys of 32 to 34 bits keep chance collisions few; those of shorter parts have about 20 and fill up from millions of rows on.
 CLOSE = 7
+CLOSE_PARTS = 2
 _CHUNK = 1 << 16
 
 
@@ -54,6 +57,12 @@ def masks(radius: int, bits: int = BITS) -> list[int]:
     return [sum(1 << i for i, m in enumerate(vectors) if (m & v).bit_count() % 2) for v in range(1, space + 1)]
 
 
+def covering(radius: int, bits: tuple[str, ...], parts: int) -> list[tuple[str, int]]:
+    """Columns and masks, one of which holds none of any ``radius`` bits of the columns ``bits``: of these some part has at most ``radius // parts``."""
+    width = BITS * len(bits) // parts
+    return [(bits[p * width // BITS], m << (p * width % BITS)) for p in range(parts) for m in masks(radius // parts, width)]
+
+
 def _narrow(shingles: Iterator[bytes], seed: int) -> bytes:
     return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), dtype="<u8").tobytes()
 
@@ -150,8 +159,7 @@ def links(distinct: DataFrame, radius: int, block: int = BLOCK, bits: tuple[str,
     """
     ship(distinct.sparkSession)
     width = BITS * len(bits) // parts
-    cover = [(bits[p * width // BITS], m << (p * width % BITS)) for p in range(parts) for m in masks(radius // parts, width)]
-    signed = [(c, m - (1 << BITS) if m >> (BITS - 1) else m) for c, m in cover]
+    signed = [(c, m - (1 << BITS) if m >> (BITS - 1) else m) for c, m in covering(radius, bits, parts)]
     # the masked value itself is the key, so a bucket holds no chance collisions
     tables = F.array(*[F.struct(F.lit(n).alias("table"), F.col(c).bitwiseAND(F.lit(m).cast("long")).alias("key")) for n, (c, m) in enumerate(signed)])
     columns = list(dict.fromkeys(["value", *bits]))
@@ -404,9 +412,7 @@ def near_links(distinct: DataFrame, texts: DataFrame, radius: int, near: tuple[i
     that are proposed but not near.
     """
     ship(distinct.sparkSession)
-    width = BITS * len(WIDE) // WIDE_PARTS
-    cover = [(WIDE[p * width // BITS], m << (p * width % BITS)) for p in range(WIDE_PARTS) for m in masks(radius // WIDE_PARTS, width)]
-    signed = [(c, m - (1 << BITS) if m >> (BITS - 1) else m) for c, m in cover]
+    signed = [(c, m - (1 << BITS) if m >> (BITS - 1) else m) for c, m in covering(radius, WIDE, CLOSE_PARTS)]
     keys = F.concat(F.array(*[F.col(c).bitwiseAND(F.lit(m).cast("long")) for c, m in signed]), F.col("_bands"))
     keyed = distinct.where("_size > 0").select("value", F.posexplode(keys).alias("table", "key"))
     order = ["table", "key", *CELL]
@@ -468,7 +474,14 @@ def without_copies(
             edges = near_links(distinct, texts, CLOSE, near, words, seed, block)
         nodes = rooted(distinct.select("value", F.struct("first.none", "first.id", "first._row").alias("first")), edges)
         kept = nodes.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first._row").alias("_row"))
-    # only the numbers of rows that stay are needed from here on
+    # only the numbers of rows that stay, or of those that go, whichever are fewer, are needed from here on
     stay = materialise(kept)
     release(*made)
-    return marked.join(stay, "_row", "left_semi").select(*inner.columns).toDF(*names)
+    if 2 * stay.count() <= marked.count():
+        few, how = stay, "left_semi"
+    else:
+        few, how = materialise(marked.select("_row").join(stay, "_row", "left_anti")), "left_anti"
+        release(stay)
+    listed, others = told_apart(marked, F.col("_row"), few.select("_row"))
+    rows = listed.join(few, "_row", how).select(*inner.columns)
+    return (rows if how == "left_semi" else rows.union(others.select(*inner.columns))).toDF(*names)

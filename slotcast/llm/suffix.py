@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotcast.llm.common import positional, ship, slices
+from slotcast.llm.membership import told_apart
 from slotcast.session import materialise, release, scratch
 
 MIN_WORDS = 50
@@ -249,10 +250,11 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     # stored, so that the tables of suffixes can go before texts are joined
     cuts = materialise(cuts)
     release(*made)
-    keyed = inner.withColumn("_v", _version(text_column))
-    joined = keyed.join(cuts, F.col(id_column).eqNullSafe(F.col("_id")) & (F.col("_v") == F.col("_version")), "left")
+    # texts without a cut are most, and are not shuffled
+    listed, others = told_apart(inner.withColumn("_v", _version(text_column)), F.col("_v"), cuts.select("_version"))
+    joined = listed.join(cuts, F.col(id_column).eqNullSafe(F.col("_id")) & (F.col("_v") == F.col("_version")), "left")
     rows = joined.select(*[c for c in inner.columns if c != text_column], F.col(text_column).alias("_text"), "_cuts")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     done = rows.mapInArrow(_cutter, schema)
     stay = done.where("_cuts is null or length(trim(_text)) > 0").withColumnRenamed("_text", text_column)
-    return stay.select(*inner.columns).toDF(*names)
+    return stay.select(*inner.columns).union(others.select(*inner.columns)).toDF(*names)

@@ -42,7 +42,7 @@ def _labels(host: Column) -> Column:
     return F.size(F.split(host, r"\."))
 
 
-def _probes(entry: Column, blocks: int) -> tuple[Column, list[Column]]:
+def probes(entry: Column, blocks: int) -> tuple[Column, list[Column]]:
     """Block of an entry, and the numbers of its bits in the block."""
     block = F.pmod(F.shiftrightunsigned(F.xxhash64(entry), 20), F.lit(blocks)).cast("int")
     second = F.xxhash64(entry, F.lit(1))
@@ -51,7 +51,7 @@ def _probes(entry: Column, blocks: int) -> tuple[Column, list[Column]]:
 
 def bloom(entries: DataFrame, blocks: int) -> DataFrame:
     """``(block, words)``: for each block that has entries its words of 64 bits."""
-    block, bits = _probes(F.col("entry"), blocks)
+    block, bits = probes(F.col("entry"), blocks)
     each = entries.select(block.alias("block"), F.explode(F.array(*bits)).alias("bit"))
     masks = each.groupBy("block", F.floor(F.col("bit") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, bit % 64)")).alias("mask"))
     words = [F.max(F.when(F.col("word") == w, F.col("mask"))) for w in range(BLOCK_WORDS)]
@@ -60,7 +60,7 @@ def bloom(entries: DataFrame, blocks: int) -> DataFrame:
 
 def possible(candidates: DataFrame, filter_: DataFrame, blocks: int) -> DataFrame:
     """The candidates (column ``entry``) whose bits are all set in their block. The filter is at most 64 MB, so it is broadcast."""
-    block, bits = _probes(F.col("entry"), blocks)
+    block, bits = probes(F.col("entry"), blocks)
     probed = candidates.withColumn("block", block).withColumns({f"_bit{k}": b for k, b in enumerate(bits)}).join(F.broadcast(filter_), "block")
     for k in range(PROBES):
         probed = probed.where(F.expr(f"(element_at(words, cast(_bit{k} div 64 as int) + 1) & shiftleft(1L, _bit{k} % 64)) <> 0"))

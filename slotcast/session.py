@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -13,6 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 _watched: list[list[DataFrame]] = []
+#: Spark deletes the shuffle files of a command that ends while this is set; else they stay until the driver collects garbage.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_lock = threading.Lock()
+_writing: dict[SparkSession, list] = {}
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -43,15 +48,36 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/slotcast/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def _tidy(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of writes go with their end; the session's own setting is back after the last of writes that run side by side."""
+    with _lock:
+        state = _writing.setdefault(spark, [0, spark.conf.get(TIDY, None)])
+        state[0] += 1
+        spark.conf.set(TIDY, "true")
+    try:
+        yield
+    finally:
+        with _lock:
+            state[0] -= 1
+            if not state[0]:
+                del _writing[spark]
+                if state[1] is None:
+                    spark.conf.unset(TIDY)
+                else:
+                    spark.conf.set(TIDY, state[1])
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and go on from a table written to the shared folder.
 
     The table survives the loss of executors, and its file sizes tell the optimizer whether
-    a later join may broadcast it.
+    a later join may broadcast it. Shuffle files of the write are deleted with its end: only the table is read again.
     """
     spark = df.sparkSession
     path = fresh_path(spark, "table")
-    df.write.parquet(path)
+    with _tidy(spark):
+        df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.stored_at_ = path
     for made in _watched[-1:]:

@@ -4,7 +4,7 @@ from itertools import combinations
 import numpy as np
 import xxhash
 
-from slotcast.llm.simhash import CLOSE, NEAR, SKETCH, WIDE_LIMIT, WIDE_PARTS, WIDE_RADIUS, fingerprint, least_equal, masks, near_duplicates, shingle_digests, sketch, without_copies
+from slotcast.llm.simhash import CLOSE, CLOSE_PARTS, NEAR, SKETCH, WIDE, WIDE_LIMIT, WIDE_PARTS, WIDE_RADIUS, covering, fingerprint, least_equal, masks, near_duplicates, shingle_digests, sketch, without_copies
 
 
 def plain_fingerprint(text, words=4, hashed=lambda s: xxhash.xxh64_intdigest(s, 42), bits=64):
@@ -251,3 +251,32 @@ def test_any_column_names(spark):
     for near in (NEAR, None):
         out = without_copies(docs, near=near)
         assert out.columns == docs.columns and sorted(tuple(r) for r in out.collect()) == [rows[0], rows[2]]
+
+
+def test_tables_before_sets_hold_few_chance_collisions():
+    cover = covering(CLOSE, WIDE, CLOSE_PARTS)
+    assert min(m.bit_count() for _, m in cover) >= 32  # 21 bits would fill up from millions of rows on
+    source = random.Random(9)
+    for _ in range(2000):
+        apart = sum(1 << b for b in source.sample(range(128), CLOSE))
+        halves = dict(zip(WIDE, (apart & (1 << 64) - 1, apart >> 64)))
+        assert any(not m & halves[c] for c, m in cover)
+
+
+def test_texts_that_stay_are_not_shuffled(spark, plan):
+    """Where most rows stay only those that may go are joined, where most go only those that may stay; any group keeps its first row."""
+    own = [(i, " ".join(f"o{i}w{k}" for k in range(30))) for i in range(300)]
+    copies = [(1000 + i, own[i % 10][1]) for i in range(900)]
+    for rows, union in ((own + copies[:40], True), (own[:10] + copies, False)):
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        for near in (NEAR, None):
+            out = without_copies(docs, near=near)
+            assert sorted(map(tuple, out.collect())) == sorted(r for r in rows if r[0] < 1000)
+            text = plan(out)
+            assert ("Union" in text) == union and text.count("BroadcastHashJoin") >= 1 + union
+
+
+def test_repeated_collection_of_a_result(spark):
+    docs = spark.createDataFrame(edited(40, 5), "doc_id long, text string")
+    out = without_copies(docs, near=NEAR)
+    assert sorted(out.collect()) == sorted(out.collect())

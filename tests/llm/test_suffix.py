@@ -84,3 +84,14 @@ def test_any_column_names(spark):
     out = without_repeats(docs)
     assert out.columns == docs.columns
     assert sorted(map(tuple, out.collect())) == [(1, f"one {passage} two", *[777] * 6), (2, "three four", *[777] * 6)]
+
+
+def test_texts_without_cuts_are_not_shuffled(spark, plan):
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, f"own{i} {passage} end{i}") for i in range(5)] + [(10 + i, " ".join(f"o{i}w{k}" for k in range(80))) for i in range(200)]
+    out = without_repeats(spark.createDataFrame(rows, SCHEMA))
+    assert sorted(map(tuple, out.collect())) == [rows[0], *((i, f"own{i} end{i}") for i in range(1, 5)), *rows[5:]]
+    # the side behind the texts with cuts: a filter of the texts' own hashes, and no exchange by key
+    sides = plan(out).split("Union")
+    assert len(sides) > 1 and "BroadcastHashJoin" in sides[-1]
+    assert "Exchange hashpartitioning" not in sides[-1][sides[-1].rindex("BroadcastHashJoin"):]
